@@ -83,6 +83,19 @@ def conversation_facts(messages: Column) -> Column:
     )
 
 
+def pair_facts(has_null_text: Column) -> Column:
+    """Facts of one user message followed by one assistant message."""
+    return F.struct(
+        F.lit(2).cast("bigint").alias("n_messages"),
+        F.lit(True).alias("has_user"),
+        F.lit(True).alias("has_assistant"),
+        F.lit(False).alias("has_system"),
+        F.lit(1).cast("bigint").alias("last_assistant"),
+        has_null_text.alias("malformed"),
+        F.lit(True).alias("alternates"),
+    )
+
+
 def is_eligible(facts: Column) -> Column:
     """At least one user and one assistant message; empty content passes."""
     return facts["has_user"] & facts["has_assistant"]

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 from turnloom.config import SourceSpec
 from turnloom.functions.messages import (
     MESSAGES_TYPE,
+    conversation_facts,
     from_instruction,
     from_prompt_completion,
     from_sharegpt,
     message,
+    pair_facts,
 )
-from turnloom.operators.examples import keep_eligible
+from turnloom.operators.examples import computed_once, keep_eligible, with_facts
 from turnloom.operators.ordered import RowOrder, by_column, first_n
 from turnloom.sources.readers import read_corpus
 
@@ -26,19 +28,23 @@ _GROUPS_PER_BROADCAST = 100_000
 
 
 def normalise(df: DataFrame, presence: str = "schema") -> DataFrame:
-    """Add ``messages`` and ``format``; both null where no layout fits.
+    """Add ``messages``, ``format`` and ``facts``; null where no layout fits.
 
     Tried in order: messages, conversations, prompt + completion, instruction.
     A list layout fits a row whose list is not null. With ``presence="schema"``
     a flat layout fits every row of a table that has its columns. Files that
     mix layouts get the union of all columns, so for those ``"value"`` asks for
     non-null values in each row instead.
+
+    The facts of a flat layout are known without reading its texts, so testing
+    and capping such a source reads no text at all. Facts that came with the
+    table describe whole conversations and are kept.
     """
     if presence not in ("schema", "value"):
         raise ValueError("presence must be 'schema' or 'value'")
     types = {f.name: f.dataType for f in df.schema.fields}
     by_value = presence == "value"
-    layouts = []  # (name, does it fit this row, messages)
+    lists, flat = [], []  # (name, does it fit this row, messages, null text)
 
     def is_turn_list(name: str) -> bool:
         kind = types.get(name)
@@ -47,15 +53,16 @@ def normalise(df: DataFrame, presence: str = "schema") -> DataFrame:
     if is_turn_list("messages"):
         turns = F.col("messages")
         plain = F.transform(turns, lambda m: message(m["role"], m["content"]))
-        layouts.append(("messages", turns.isNotNull(), plain))
+        lists.append(("messages", turns.isNotNull(), plain))
     if is_turn_list("conversations"):
         turns = F.col("conversations")
         fields = types["conversations"].elementType.fieldNames()
-        layouts.append(("conversations", turns.isNotNull(), from_sharegpt(turns, fields)))
+        lists.append(("conversations", turns.isNotNull(), from_sharegpt(turns, fields)))
     if "prompt" in types and "completion" in types:
         prompt, completion = F.col("prompt"), F.col("completion")
         fits = prompt.isNotNull() & completion.isNotNull() if by_value else F.lit(True)
-        layouts.append(("prompt", fits, from_prompt_completion(prompt, completion)))
+        blank = prompt.isNull() | completion.isNull()
+        flat.append(("prompt", fits, from_prompt_completion(prompt, completion), blank))
     if "instruction" in types:
         instruction = F.col("instruction")
         output = F.col("output") if "output" in types else None
@@ -63,20 +70,28 @@ def normalise(df: DataFrame, presence: str = "schema") -> DataFrame:
             output = F.coalesce(output, F.lit(""))
         extra = F.col("input") if "input" in types else None
         fits = instruction.isNotNull() if by_value else F.lit(True)
-        layouts.append(("instruction", fits, from_instruction(instruction, extra, output)))
+        blank = instruction.isNull() | (output.isNull() if output is not None else F.lit(False))
+        flat.append(("instruction", fits, from_instruction(instruction, extra, output), blank))
 
+    layouts = lists + [f[:3] for f in flat]
     if not layouts:
-        return df.withColumns(
-            {"messages": F.lit(None).cast(MESSAGES_TYPE), "format": F.lit(None).cast("string")}
+        missing = F.lit(None).cast(MESSAGES_TYPE)
+        return with_facts(
+            df.withColumns({"messages": missing, "format": F.lit(None).cast("string")})
         )
-    return df.withColumns(
+    made = df.withColumns(
         {
-            "messages": F.coalesce(
-                *[F.when(fits, made.cast(MESSAGES_TYPE)) for _, fits, made in layouts]
-            ),
+            "messages": F.coalesce(*[F.when(fits, m.cast(MESSAGES_TYPE)) for _, fits, m in layouts]),
             "format": F.coalesce(*[F.when(fits, F.lit(name)) for name, fits, _ in layouts]),
         }
     )
+    if "facts" in types:
+        return made
+    if lists:
+        return with_facts(computed_once(made, ["messages", "format"]))
+    known = [F.when(fits, pair_facts(blank)) for _, fits, _, blank in flat]
+    nothing = [conversation_facts(F.col("messages"))] if by_value else []
+    return made.withColumn("facts", F.coalesce(*known, *nothing))
 
 
 def cap_per_group(

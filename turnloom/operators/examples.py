@@ -6,6 +6,8 @@ example, in a fixed order of precedence, and stays null for the good ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,9 @@ def message_skip_reason(cfg: PrepConfig, template: ChatTemplate | None) -> Colum
 
 
 def keep_eligible(df: DataFrame) -> DataFrame:
-    """Only recognised rows with a user and an assistant message."""
+    """Only rows with a user and an assistant message, so recognised ones."""
     df = with_facts(df)
-    return df.filter(F.col("messages").isNotNull() & is_eligible(F.col("facts")))
+    return df.filter(is_eligible(F.col("facts")))
 
 
 def prepare_messages(df: DataFrame, cfg: PrepConfig, template: ChatTemplate | None) -> DataFrame:
@@ -86,12 +88,25 @@ def render_texts(
     return df.withColumns(texts).drop("formatted", "answer_at")
 
 
+def computed_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same rows, with these columns behind a one-row ``inline``.
+
+    A filter is otherwise pushed below the columns it tests by repeating their
+    whole derivation, here from rendering to label counting. It stops at the
+    generator, so each text is tokenised once per row.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def _finish(df: DataFrame, labels: Column, too_short: Column) -> DataFrame:
     df = df.withColumn("labels", labels).withColumn("n_unmasked", count_unmasked(F.col("labels")))
     failed = too_short | (F.col("n_unmasked") == 0)
     df = df.withColumn(
         "skip_reason", F.coalesce("skip_reason", F.when(failed, F.lit("too_short")))
     )
+    made = ("skip_reason", "n_tokens", "prompt_len", "n_unmasked", "input_ids", "labels")
+    df = computed_once(df, [c for c in made if c in df.columns])
     good = F.col("skip_reason").isNull()
     return df.withColumns(
         {

@@ -3,9 +3,10 @@
 A DataFrame has no order, so every operator here takes a ``RowOrder``: a bigint
 key, a tie-break, and the bit shifts that cut the key into nested blocks. Rows
 are only ever sorted inside their finest block; sums or counts per block are
-combined one level up at a time. Given unique keys no window holds more than
-2**20 rows, however the rows spread over groups, so one group may own any share
-of the table.
+combined one level up at a time. So one group may own any share of the table:
+with unique keys a window over rows never holds more than 4,096 of them, and
+one over block totals at most 2**24 (2**27 at the top, for ids that use all of
+63 bits; a single total for ids below 2**36).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class RowOrder:
 
     key: Column
     tie: tuple[str, ...] = ()
-    shifts: tuple[int, ...] = (20, 40)
+    shifts: tuple[int, ...] = (12, 36)
 
 
 def shuffle_key(*ids: str, seed: int = DEFAULT_SEED) -> Column:
@@ -186,15 +187,19 @@ def cutoff(df: DataFrame, order: RowOrder, position: Callable[[Column], Column])
         rows = rows.filter(F.shiftright("__k", shift) == found["b"])
     w = W.partitionBy(F.shiftright("__k", shifts[-1])).orderBy("__k", *order.tie)
     ranked = rows.withColumn("__rn", F.row_number().over(w).cast("bigint"))
-    return ranked.filter(F.col("__rn") == found["r"]).select(F.struct("__k", *order.tie)).scalar()
+    # A bare key where there is no tie-break: file scans can compare with that.
+    key = F.struct("__k", *order.tie) if order.tie else F.col("__k")
+    return ranked.filter(F.col("__rn") == found["r"]).select(key).scalar()
 
 
 def not_after(order: RowOrder, cut: Column) -> Column:
-    """Whether a row comes no later than a cutoff; false if there is none."""
+    """Whether a row comes no later than a cutoff; null if there is none.
+
+    Without a tie-break this is a plain comparison, which file scans take over.
+    """
     if order.tie:
-        here = F.struct(order.key.alias("__k"), *order.tie)
-        return F.coalesce(here <= cut, F.lit(False))
-    return F.coalesce(order.key <= cut["__k"], F.lit(False))
+        return F.struct(order.key.alias("__k"), *order.tie) <= cut
+    return order.key <= cut
 
 
 def first_n(df: DataFrame, order: RowOrder, n: int) -> DataFrame:

@@ -80,17 +80,20 @@ def pack_documents(
         raise ValueError("stride must be between 1 and chunk_len + 1")
     width = chunk_len + 1
     slim = docs.select(order.key.alias("__key"), *order.tie, F.col(text).alias("__text"))
-    encoded = tokenizer.encode(slim, "__text", "__ids", None, {}).drop("__text")
-    encoded = encoded.filter(F.col("__ids").isNotNull()).withColumn(
-        "__ids", F.concat("__ids", F.array(F.lit(eos_id).cast("bigint")))
+    encoded = tokenizer.encode(slim, "__text", "__ids", None, {"__n": "__text"}).drop("__text")
+    encoded = encoded.filter(F.col("__n").isNotNull()).withColumns(
+        {
+            "__ids": F.concat("__ids", F.array(F.lit(eos_id).cast("bigint"))),
+            "__n": F.col("__n") + 1,
+        }
     )
     placed = ordered_scan(
         encoded,
         RowOrder(F.col("__key"), order.tie, order.shifts),
-        sums={"__start": F.size("__ids").cast("bigint")},
+        sums={"__start": F.col("__n")},
     )
     start, ids = F.col("__start"), F.col("__ids")
-    end = start + F.size(ids)
+    end = start + F.col("__n")
     first = F.greatest(F.ceil((start - width + 1) / stride), F.lit(0)).cast("bigint")
     last = F.floor((end - 1) / stride).cast("bigint")
 

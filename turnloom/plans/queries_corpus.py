@@ -227,7 +227,7 @@ MIXTURE = (
 
 def mixture(t: Tables):
     tables = (
-        derive.conversations(t).drop("facts"),
+        derive.conversations(t),
         derive.prompt_rows(t.documents).drop("source"),
         derive.instruction_rows(t.documents).drop("source"),
     )

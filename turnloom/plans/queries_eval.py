@@ -123,7 +123,8 @@ def sample_comparison(t: Tables):
           FROM documents)""",
 )
 def scoring_pairs(t: Tables):
-    ids = scoring_inputs(derive.instruction_rows(t.documents))
+    docs = t.spread("documents", "doc_id", "source", "text")
+    ids = scoring_inputs(derive.instruction_rows(docs))
     total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return ids.select("doc_id", "n_tokens", total.alias("ids_sum"))
 
@@ -154,12 +155,18 @@ def plugin_scores(t: Tables):
 
 
 def load_echo_generator():
-    """A stand-in for a model: says the prompt back."""
+    """A stand-in for a model: says the prompt back.
 
-    def generate(prompt: str) -> tuple[str, int]:
-        return f"You said: {prompt}", len(re.findall(r"\S+", prompt, re.ASCII))
+    The loader is made here so that it travels to the workers by value.
+    """
 
-    return generate
+    def load():
+        def generate(prompt: str) -> tuple[str, int]:
+            return f"You said: {prompt}", len(re.findall(r"\S+", prompt, re.ASCII))
+
+        return generate
+
+    return load
 
 
 @query(
@@ -168,7 +175,7 @@ def load_echo_generator():
 )
 def plugin_generations(t: Tables):
     prompts = derive.prompt_rows(t.documents).select("doc_id", "prompt")
-    return generate_responses(prompts, load_echo_generator).select(
+    return generate_responses(prompts, load_echo_generator()).select(
         "doc_id", F.md5("response").alias("digest"), "tokens", (F.col("latency_s") >= 0).alias("timed")
     )
 
@@ -209,7 +216,8 @@ def previews(t: Tables):
 def generated_part(t: Tables):
     tok = WhitespaceTokenizer()
     head, _ = derive.head_and_rest(F.col("text"))
-    docs = t.documents.select("doc_id", tok.ids(F.col("text")).alias("ids"), tok.count(head).alias("p"))
+    docs = t.spread("documents", "doc_id", "text")
+    docs = docs.select("doc_id", tok.ids(F.col("text")).alias("ids"), tok.count(head).alias("p"))
     new = docs.withColumn("new", new_tokens(F.col("ids"), F.col("p")))
     total = F.aggregate("new", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return new.select("doc_id", total.alias("new_sum"), F.size("new").cast("bigint").alias("n_new"))

@@ -72,7 +72,8 @@ def masked_tail(t: Tables):
         FROM (SELECT doc_id, {sql.token_ids(sql.tokens('text'))} AS ids FROM documents)""",
 )
 def tokenised_documents(t: Tables):
-    ids = t.documents.select("doc_id", WhitespaceTokenizer().ids(F.col("text")).alias("ids"))
+    docs = t.spread("documents", "doc_id", "text")
+    ids = docs.select("doc_id", WhitespaceTokenizer().ids(F.col("text")).alias("ids"))
     return ids.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _total("ids").alias("ids_sum"),
         F.try_element_at("ids", F.lit(1)).alias("first_id"), F.try_element_at("ids", F.lit(-1)).alias("last_id"),
@@ -317,13 +318,14 @@ def _packed_columns(chunks):
 
 @query("packed_documents", _packed_sql(128, 128, False))
 def packed(t: Tables):
-    return _packed_columns(pack_documents(t.documents, by_column("doc_id"), chunk_len=128))
+    return _packed_columns(pack_documents(t.spread("documents", "doc_id", "text"), by_column("doc_id"), chunk_len=128))
 
 
 @query("packed_documents_apart", _packed_sql(512, 513, True))
 def packed_apart(t: Tables):
+    docs = t.spread("documents", "doc_id", "text")
     return _packed_columns(
-        pack_documents(t.documents, by_column("doc_id"), chunk_len=512, stride=513, keep_tail=True)
+        pack_documents(docs, by_column("doc_id"), chunk_len=512, stride=513, keep_tail=True)
     )
 
 

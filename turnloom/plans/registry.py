@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnloom.sources.readers import spread
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -24,6 +26,11 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table, the first one its id, over all cores."""
+        return spread(getattr(self, name).select(*columns), columns[0])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

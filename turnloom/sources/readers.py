@@ -30,6 +30,17 @@ EVAL_LOG_SCHEMA = T.StructType(
 )
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan as many tasks as there are cores, if its files give fewer.
+
+    For work that is heavy per row, such as tokenising, over a few unsplittable
+    files. A table large enough to fill the cluster is left as it is, without a
+    shuffle. Only for plain scans: other plans would be run to count partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def read_corpus(spark: SparkSession, spec: SourceSpec, schema: T.StructType | None = None) -> DataFrame:
     """One split of a corpus. ``{split}`` in the path stands for the split;
     without it a ``split`` column, if there is one, is filtered and pruned."""

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.config import DEFAULT_MAX_SEQ_LEN
-from turnloom.functions.messages import is_role
 from turnloom.operators.ordered import by_column, global_index
 
 
@@ -44,47 +43,42 @@ def assemble_turns(
     if not dense:
         turns = number_turns(turns, key, order, "__turn")
         order = "__turn"
-    at, who, what = F.col(order), F.col(role), F.col(content)
-    here = F.struct(who.alias("role"))
+    at, who, what = (f"`{c}`" for c in (order, role, content))
 
-    def any_true(test: Column) -> Column:
-        return F.coalesce(F.bool_or(test), F.lit(False))
+    def is_role(name: str) -> str:
+        return f"({who} <=> '{name}')"
 
-    def expected(parity: int) -> Column:
-        return F.when(at % 2 == parity, F.lit("user")).otherwise(F.lit("assistant"))
+    def any_true(test: str, name: str) -> Column:
+        return F.expr(f"coalesce(bool_or({test}), false) AS {name}")
 
-    # Alternation from turn 0, and from turn 1 behind a leading system turn.
-    off_beat_0 = any_true(~who.eqNullSafe(expected(0)))
-    off_beat_1 = any_true((at > 0) & ~who.eqNullSafe(expected(1)))
-    leads = any_true((at == 0) & is_role(here, "system"))
+    def off_beat(lead: int) -> str:
+        """Breaks user, assistant, user, ... starting at turn ``lead``."""
+        beat = f"CASE WHEN {at} % 2 = {lead} THEN 'user' ELSE 'assistant' END"
+        return f"{at} >= {lead} AND NOT ({who} <=> {beat})"
+
+    message = f"struct({at} AS i, {who} AS role, {what} AS content)"
     grouped = turns.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    at < max_messages,
-                    F.struct(at.alias("i"), who.alias("role"), what.alias("content")),
-                )
-            )
-        ).alias("__head"),
-        F.count(F.lit(1)).alias("n_messages"),
-        any_true(is_role(here, "user")).alias("has_user"),
-        any_true(is_role(here, "assistant")).alias("has_assistant"),
-        any_true(is_role(here, "system")).alias("has_system"),
-        F.coalesce(F.max(F.when(is_role(here, "assistant"), at)), F.lit(-1)).cast("bigint").alias("last_assistant"),
-        any_true(who.isNull() | what.isNull()).alias("malformed"),
-        F.when(leads, ~off_beat_1).otherwise(~off_beat_0).alias("alternates"),
-    )
-    wanted = F.sequence(
-        F.lit(0).cast("bigint"), F.least(F.col("n_messages"), F.lit(max_messages)) - 1
+        F.expr(f"array_sort(collect_list(CASE WHEN {at} < {max_messages} THEN {message} END)) AS __head"),
+        F.expr("count(*) AS n_messages"),
+        any_true(is_role("user"), "has_user"),
+        any_true(is_role("assistant"), "has_assistant"),
+        any_true(is_role("system"), "has_system"),
+        F.expr(f"coalesce(max(CASE WHEN {is_role('assistant')} THEN {at} END), -1L) AS last_assistant"),
+        any_true(f"{who} IS NULL OR {what} IS NULL", "malformed"),
+        # With a leading system turn the alternation starts behind it.
+        F.expr(
+            f"NOT coalesce(CASE WHEN bool_or({at} = 0 AND {is_role('system')}) THEN bool_or({off_beat(1)})"
+            f" ELSE bool_or({off_beat(0)}) END, false) AS alternates"
+        ),
     )
-    in_order = F.transform("__head", lambda m: m["i"].cast("bigint")) == wanted
-    plain = F.transform("__head", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    gap = F.raise_error(F.concat(F.lit("turns are not numbered 0..n-1 in "), F.col(key).cast("string")))
     return grouped.select(
-        key,
-        F.when(in_order, plain).otherwise(gap).alias("messages"),
-        F.struct(
-            "n_messages", "has_user", "has_assistant", "has_system",
-            "last_assistant", "malformed", "alternates",
-        ).alias("facts"),
+        F.col(key),
+        F.expr(
+            f"CASE WHEN transform(__head, m -> bigint(m.i)) = sequence(0L, least(n_messages, {max_messages}L) - 1)"
+            " THEN transform(__head, m -> struct(m.role AS role, m.content AS content))"
+            f" ELSE raise_error('turns are not numbered 0..n-1 in ' || string(`{key}`)) END AS messages"
+        ),
+        F.expr(
+            "struct(n_messages, has_user, has_assistant, has_system, last_assistant, malformed, alternates) AS facts"
+        ),
     )
