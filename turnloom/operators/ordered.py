@@ -17,11 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
 from turnloom.config import DEFAULT_SEED
 
 _HASH_DIGITS = 15  # hex digits of md5 that fit a non-negative bigint
-_BEFORE = (W.unboundedPreceding, -1)
 
 
 @dataclass(frozen=True)
@@ -49,13 +49,13 @@ def by_column(name: str, *tie: str) -> RowOrder:
     return RowOrder(F.col(name).cast("bigint"), tie)
 
 
-def _windows_off(table: DataFrame, part: list[str], at: str, sums: list[str], lags: list[str]):
-    """Exclusive sums and previous values of block totals along ``at``."""
-    w = W.partitionBy(*part).orderBy(at)
-    return table.withColumns(
-        {f"__o{c}": F.coalesce(F.sum(c).over(w.rowsBetween(*_BEFORE)), F.lit(0)) for c in sums}
-        | {f"__o{c}": F.lag(c).over(w) for c in lags}
-    )
+def _preceding(window: WindowSpec, sums: list[str], lags: list[str]) -> dict[str, Column]:
+    """Exclusive sums and previous values along a window, as ``__o`` columns."""
+    before = window.rowsBetween(W.unboundedPreceding, -1)
+    found = {f"__o{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}
+    found |= {f"__o{c}": F.lag(c).over(window) for c in lags}
+    # Tells a previous value that is null from having no previous row.
+    return found | ({"__first": F.row_number().over(window) == 1} if lags else {})
 
 
 def ordered_scan(
@@ -78,63 +78,71 @@ def ordered_scan(
     s_col = {n: f"__s{i}" for i, n in enumerate(sums)}
     l_col = {n: f"__l{i}" for i, n in enumerate(lags)}
     t_col = {n: f"__t{i}" for i, n in enumerate(totals)}
-    added = list(s_col.values()) + list(t_col.values())
-    carried = list(l_col.values())
+    added, carried, whole = list(s_col.values()), list(l_col.values()), list(t_col.values())
     group = ["__g"] if by else []
+    flag = ["__first"] if carried else []
 
-    work = df.withColumns({"__k": order.key} | ({"__g": F.struct(*by)} if by else {}))
-    work = work.withColumns(
-        {"__b0": F.shiftright("__k", order.shifts[0])}
+    work = df.withColumns(
+        {"__k": order.key}
+        | ({"__g": F.struct(*by)} if by else {})
         | {s_col[n]: e for n, e in sums.items()}
         | {t_col[n]: e for n, e in totals.items()}
-        | {l_col[n]: F.struct(e.alias("v")) for n, e in lags.items()}
-    )
+        | {l_col[n]: e for n, e in lags.items()}
+    ).withColumn("__b0", F.shiftright("__k", order.shifts[0]))
 
-    def rollup(table: DataFrame, keys: list[str], latest: Column) -> DataFrame:
-        return table.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in added],
-            *[F.max_by(c, latest).alias(c) for c in carried],
+    def rollup(table: DataFrame, block: str, latest: Column) -> DataFrame:
+        return table.groupBy(*group, block).agg(
             F.count(F.lit(1)).alias("__n"),
+            *[F.sum(c).alias(c) for c in added + whole],
+            *[F.max_by(c, latest).alias(c) for c in carried],
         )
 
     # Up: totals of the finest blocks, then of the blocks of blocks.
-    table = rollup(work, group + ["__b0"], F.struct("__k", *order.tie))
+    latest = F.struct("__k", *order.tie) if order.tie else F.col("__k")
+    table = rollup(work, "__b0", latest)
     levels = []
     for i in range(1, len(order.shifts)):
         step = order.shifts[i] - order.shifts[i - 1]
         table = table.withColumn(f"__b{i}", F.shiftright(f"__b{i - 1}", step))
         levels.append(table)
-        table = rollup(table, group + [f"__b{i}"], F.col(f"__b{i - 1}"))
+        table = rollup(table, f"__b{i}", F.col(f"__b{i - 1}"))
 
     # Down: what precedes each block, starting from the few coarsest ones.
-    offsets = [f"__o{c}" for c in added + carried]
+    offsets = [f"__o{c}" for c in added + carried] + flag
+    finals = [f"__w{c}" for c in whole]
     top = len(order.shifts) - 1
-    table = _windows_off(table, group, f"__b{top}", added, carried)
-    whole = W.partitionBy(*group)
-    table = table.withColumns({f"__w{c}": F.sum(c).over(whole) for c in t_col.values()})
-    finals = [f"__w{c}" for c in t_col.values()]
+    along = W.partitionBy(*group).orderBy(f"__b{top}")
+    entire = {f"__w{c}": F.sum(c).over(W.partitionBy(*group)) for c in whole}
+    table = table.withColumns(_preceding(along, added, carried) | entire)
     table = table.select(*group, f"__b{top}", *offsets, *finals)
-    for i in range(top, 0, -1):
-        outer = table.withColumnsRenamed({c: f"__up{c}" for c in offsets})
-        inner = _windows_off(levels[i - 1], group + [f"__b{i}"], f"__b{i - 1}", added, carried)
-        joined = inner.join(outer, group + [f"__b{i}"], "left")
-        table = joined.select(
-            *group,
-            f"__b{i - 1}",
+
+    def descend(inner: DataFrame, outer: DataFrame, block: str, kept: list[Column]) -> DataFrame:
+        """Add what precedes the outer block to what precedes within it."""
+        outer = outer.withColumnsRenamed({c: f"__up{c}" for c in offsets})
+        both = inner.join(outer, group + [block], "left")
+        first, up_first = F.col("__first"), F.col("__up__first")
+        return both.select(
+            *kept,
             *[(F.col(f"__o{c}") + F.col(f"__up__o{c}")).alias(f"__o{c}") for c in added],
-            *[F.coalesce(f"__o{c}", f"__up__o{c}").alias(f"__o{c}") for c in carried],
+            *[F.when(first, F.col(f"__up__o{c}")).otherwise(F.col(f"__o{c}")).alias(f"__o{c}") for c in carried],
+            *([(first & up_first).alias("__first")] if flag else []),
             *finals,
         )
 
-    w = W.partitionBy(*group, "__b0").orderBy("__k", *order.tie)
-    rows = work.withColumns(
-        {f"__r{c}": F.coalesce(F.sum(c).over(w.rowsBetween(*_BEFORE)), F.lit(0)) for c in s_col.values()}
-        | {f"__r{c}": F.lag(c).over(w) for c in carried}
-    ).join(table, group + ["__b0"], "left")
+    for i in range(top, 0, -1):
+        along = W.partitionBy(*group, f"__b{i}").orderBy(f"__b{i - 1}")
+        inner = levels[i - 1].withColumns(_preceding(along, added, carried))
+        table = descend(inner, table, f"__b{i}", [F.col(c) for c in group + [f"__b{i - 1}"]])
+
+    along = W.partitionBy(*group, "__b0").orderBy("__k", *order.tie)
+    rows = work.withColumns(_preceding(along, added, carried))
+    replaced = s_col | l_col | t_col
+    kept = [c for c in df.columns if c not in replaced]
+    rows = descend(rows, table, "__b0", [F.col(c) for c in kept])
+    names = s_col | l_col
     return rows.select(
-        *[F.col(c) for c in df.columns if c not in s_col | l_col | t_col],
-        *[(F.col(f"__r{c}") + F.col(f"__o{c}")).alias(n) for n, c in s_col.items()],
-        *[F.coalesce(f"__r{c}", f"__o{c}")["v"].alias(n) for n, c in l_col.items()],
+        *kept,
+        *[F.col(f"__o{c}").alias(n) for n, c in names.items()],
         *[F.col(f"__w{c}").alias(n) for n, c in t_col.items()],
     )
 
