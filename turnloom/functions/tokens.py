@@ -13,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.config import IGNORE_INDEX
 
@@ -74,9 +75,12 @@ class BpeTokenizer:
         self, df: DataFrame, text: str, ids: str, max_len: int | None, counts: dict[str, str]
     ) -> DataFrame:
         definition = self.definition
-        fields = ["ids array<bigint>"] + [f"n{i} bigint" for i in range(len(counts))]
+        returns = T.StructType(
+            [T.StructField("ids", T.ArrayType(T.LongType()))]
+            + [T.StructField(f"n{i}", T.LongType()) for i in range(len(counts))]
+        )
 
-        @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields)}>")
+        @F.pandas_udf(returns)
         def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from tokenizers import Tokenizer as Engine
 

@@ -67,15 +67,18 @@ def sharegpt_rows(t: Tables) -> DataFrame:
     return conversations(t).select("conv_id", F.transform("messages", turn).alias("conversations"))
 
 
-def scores(t: Tables) -> DataFrame:
-    """model, sample_id, i (1-based shuffled position), loss, n_tokens."""
+def scores(t: Tables, numbered: bool = False) -> DataFrame:
+    """model, sample_id, loss, n_tokens; with i, the 1-based shuffled position."""
     docs = t.documents.select(
         F.col("doc_id").alias("sample_id"),
         WhitespaceTokenizer().count(F.col("text")).alias("n_tokens"),
     )
-    placed = global_index(docs, shuffled("sample_id"), name="__i")
-    both = placed.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
-    return both.select("model", "sample_id", (F.col("__i") + 1).alias("i"), hashed_loss().alias("loss"), "n_tokens")
+    at = []
+    if numbered:
+        docs = global_index(docs, shuffled("sample_id"), name="__i")
+        at = [(F.col("__i") + 1).alias("i")]
+    both = docs.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
+    return both.select("model", "sample_id", *at, hashed_loss().alias("loss"), "n_tokens")
 
 
 def hashed_loss() -> Column:

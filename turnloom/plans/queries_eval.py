@@ -83,7 +83,7 @@ def eval_first_batches(t: Tables):
         SELECT model, i::BIGINT AS i, total_tokens::BIGINT AS total_tokens, round(ppl, 6) AS perplexity FROM run WHERE i % 20 = 0""",
 )
 def running(t: Tables):
-    return running_perplexity(derive.scores(t)).withColumn("perplexity", F.round("perplexity", 6))
+    return running_perplexity(derive.scores(t, numbered=True)).withColumn("perplexity", F.round("perplexity", 6))
 
 
 @query(
