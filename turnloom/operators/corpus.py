@@ -21,7 +21,7 @@ from turnloom.functions.messages import (
     pair_facts,
 )
 from turnloom.operators.examples import computed_once, keep_eligible, with_facts
-from turnloom.operators.ordered import RowOrder, by_column, first_n
+from turnloom.operators.ordered import RowOrder, by_column, counted_blocks, first_n
 from turnloom.sources.readers import read_corpus
 
 _GROUPS_PER_BROADCAST = 100_000
@@ -100,43 +100,35 @@ def cap_per_group(
     """The first ``cap`` rows of every group, in order; 0 keeps all rows.
 
     Finds each group's last kept key from counts, so the rows themselves stay
-    where they are: blocks are counted, only the block that crosses the cap is
-    sorted, and the keys found (one per group) go back to the rows by broadcast.
-    Beyond ``max_broadcast`` groups that would no longer be small, and a shuffle
-    join takes over.
+    where they are: only the block in which the cap falls is sorted, and the keys
+    found (one per group) go back to the rows by broadcast. Beyond
+    ``max_broadcast`` groups, which are counted first, a shuffle join takes over.
     """
     if cap <= 0:
         return df
     groups = df.select(by).distinct()
     small = groups.limit(max_broadcast + 1).count() <= max_broadcast
     hint = F.broadcast if small else (lambda table: table)
-    work = df.withColumns({"__k": order.key, "__g": F.struct(by)})
-    slim = work.select("__g", "__k", *order.tie).withColumn("__left", F.lit(cap).cast("bigint"))
-
-    # Narrow down to the one block per group where the cap falls, coarsest first.
-    rows = slim
-    for shift in order.shifts[::-1]:
-        block = F.shiftright("__k", shift).alias("__b")
-        table = rows.groupBy("__g", block).agg(
-            F.count(F.lit(1)).alias("c"), F.first("__left").alias("__left")
-        )
-        seen = F.sum("c").over(W.partitionBy("__g").orderBy("__b"))
-        table = table.withColumn("before", seen - F.col("c"))
-        left = F.col("__left") - F.col("before")
-        found = table.filter((left > 0) & (left <= F.col("c"))).select(
-            "__g", "__b", left.alias("__left")
-        )
-        rows = slim.drop("__left").withColumn("__b", block).join(hint(found), ["__g", "__b"])
-        rows = rows.drop("__b")
-    w = W.partitionBy("__g", F.shiftright("__k", order.shifts[0])).orderBy("__k", *order.tie)
+    work = df.withColumns({"__k": order.key, "__group": F.struct(by)})
+    slim = work.select("__group", "__k", *order.tie)
+    # The one block per group where the cap falls.
+    found = (
+        counted_blocks(slim, order, by=["__group"])
+        .withColumn("__rank", F.lit(cap) - F.col("before"))
+        .filter("__rank BETWEEN 1 AND n")
+        .select("__group", F.col("block").alias("__block"), "__rank")
+    )
+    block = F.shiftright("__k", order.shifts[0])
+    rows = slim.withColumn("__block", block).join(hint(found), ["__group", "__block"])
+    w = W.partitionBy("__group", "__block").orderBy("__k", *order.tie)
     last = (
         rows.withColumn("__rn", F.row_number().over(w))
-        .filter(F.col("__rn") == F.col("__left"))
-        .select("__g", F.struct("__k", *order.tie).alias("__cut"))
+        .filter(F.col("__rn") == F.col("__rank"))
+        .select("__group", F.struct("__k", *order.tie).alias("__cut"))
     )
     # A group with fewer rows than the cap has no cutoff and stays whole.
     here = F.struct("__k", *order.tie)
-    kept = work.join(hint(last), "__g", "left")
+    kept = work.join(hint(last), "__group", "left")
     return kept.filter(F.col("__cut").isNull() | (here <= F.col("__cut"))).select(*df.columns)
 
 

@@ -162,42 +162,48 @@ def global_index(
     )
 
 
-def _pick_block(counts: DataFrame, position: Callable[[Column], Column]) -> Column:
-    """The block that holds a 1-based position, as a scalar struct ``b, r``."""
-    total = F.sum("c").over(W.partitionBy())
-    seen = counts.withColumns({"cum": F.sum("c").over(W.orderBy("b")), "total": total})
-    seen = seen.withColumn("n", position(F.col("total")).cast("bigint"))
-    inside = (F.col("cum") - F.col("c") < F.col("n")) & (F.col("n") <= F.col("cum"))
-    rank = F.col("n") - (F.col("cum") - F.col("c"))
-    return seen.filter(inside).select(F.struct("b", rank.alias("r"))).scalar()
+def counted_blocks(
+    rows: DataFrame, order: RowOrder, by: Sequence[str] = (), total: str | None = None
+) -> DataFrame:
+    """The finest blocks of each group: ``block``, its rows ``n``, the rows ``before`` it.
+
+    ``rows`` holds the order key as ``__k``. One pass over it; the rest works on
+    the counts.
+    """
+    block = F.shiftright("__k", order.shifts[0]).alias("block")
+    counts = rows.groupBy(*by, block).agg(F.count(F.lit(1)).alias("n"))
+    n, finest = F.col("n"), order.shifts[0]
+    if len(order.shifts) > 1:
+        blocks = RowOrder(F.col("block"), (), tuple(s - finest for s in order.shifts[1:]))
+        totals = {total: n} if total else None
+        return ordered_scan(counts, blocks, by=by, sums={"before": n}, totals=totals)
+    group = W.partitionBy(*by)
+    placed = counts.withColumn("before", F.sum("n").over(group.orderBy("block")) - n)
+    return placed.withColumn(total, F.sum("n").over(group)) if total else placed
 
 
 def cutoff(df: DataFrame, order: RowOrder, position: Callable[[Column], Column]) -> Column:
     """Order key of the row at a 1-based position, as a scalar.
 
     ``position`` maps the number of rows to the position wanted. Finds the block
-    by counting, level by level, and sorts only that last block, so selecting by
-    the result never moves the rows themselves. Null if there is no such row.
+    by counting and sorts only that one, so selecting by the result never moves
+    the rows themselves. Null if there is no such row.
     """
     slim = df.select(order.key.alias("__k"), *order.tie)
-    shifts = order.shifts[::-1]
-
-    def counts(rows: DataFrame, shift: int) -> DataFrame:
-        return rows.groupBy(F.shiftright("__k", shift).alias("b")).agg(
-            F.count(F.lit(1)).alias("c")
-        )
-
-    found = _pick_block(counts(slim, shifts[0]), position)
-    rows = slim.filter(F.shiftright("__k", shifts[0]) == found["b"])
-    for shift in shifts[1:]:
-        rank = found["r"]
-        found = _pick_block(counts(rows, shift), lambda _, rank=rank: rank)
-        rows = rows.filter(F.shiftright("__k", shift) == found["b"])
-    w = W.partitionBy(F.shiftright("__k", shifts[-1])).orderBy("__k", *order.tie)
-    ranked = rows.withColumn("__rn", F.row_number().over(w).cast("bigint"))
+    rank = position(F.col("total")).cast("bigint") - F.col("before")
+    found = (
+        counted_blocks(slim, order, total="total")
+        .select("block", "n", rank.alias("rank"))
+        .filter("rank BETWEEN 1 AND n")
+        .select(F.struct("block", "rank"))
+        .scalar()
+    )
+    block = F.shiftright("__k", order.shifts[0])
+    w = W.partitionBy(block).orderBy("__k", *order.tie)
+    ranked = slim.filter(block == found["block"]).withColumn("__rn", F.row_number().over(w))
     # A bare key where there is no tie-break: file scans can compare with that.
     key = F.struct("__k", *order.tie) if order.tie else F.col("__k")
-    return ranked.filter(F.col("__rn") == found["r"]).select(key).scalar()
+    return ranked.filter(F.col("__rn") == found["rank"]).select(key).scalar()
 
 
 def not_after(order: RowOrder, cut: Column) -> Column:

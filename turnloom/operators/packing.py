@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.config import DEFAULT_SEED, PAD_LABEL, PAD_MASK, PAD_TOKEN_ID
@@ -28,10 +29,8 @@ def assign_batches(
             "row_in_batch": F.pmod("position", F.lit(batch_size)).cast("bigint"),
         }
     )
-    if batch_size == 1:
-        return placed.select(*ids, "batch_id", "row_in_batch", F.col("n_tokens").alias("batch_len"))
-    longest = placed.groupBy("batch_id").agg(F.max("n_tokens").alias("batch_len"))
-    return placed.join(longest, "batch_id").select(*ids, "batch_id", "row_in_batch", "batch_len")
+    longest = F.max("n_tokens").over(W.partitionBy("batch_id")) if batch_size > 1 else F.col("n_tokens")
+    return placed.select(*ids, "batch_id", "row_in_batch", longest.alias("batch_len"))
 
 
 def pad_batches(

@@ -69,7 +69,7 @@ def sharegpt_rows(t: Tables) -> DataFrame:
 
 def scores(t: Tables, numbered: bool = False) -> DataFrame:
     """model, sample_id, loss, n_tokens; with i, the 1-based shuffled position."""
-    docs = t.documents.select(
+    docs = t.spread("documents", "doc_id", "text").select(
         F.col("doc_id").alias("sample_id"),
         WhitespaceTokenizer().count(F.col("text")).alias("n_tokens"),
     )
@@ -138,7 +138,7 @@ def eval_log(steps: DataFrame, run: RunConfig = RunConfig()) -> DataFrame:
 
 def generations(t: Tables) -> DataFrame:
     """doc_id, prompt, response, tokens, latency_s."""
-    return prompt_rows(t.documents).select(
+    return prompt_rows(t.spread("documents", "doc_id", "source", "text")).select(
         "doc_id",
         "prompt",
         F.col("completion").alias("response"),
@@ -172,7 +172,8 @@ def chunks(t: Tables) -> DataFrame:
     lines = F.transform(F.concat(F.array(F.lit("")), words), chunk_line)
     end = F.array(F.lit("data: [DONE]"), F.lit('data: {"content":"late"}'))
     lines = F.when(F.col("conv_id") % 2 == 0, F.concat(lines, end)).otherwise(lines)
-    turns = t.conversations.filter(F.col("role") == "assistant")
+    turns = t.spread("conversations", "conv_id", "turn", "role", "text")
+    turns = turns.filter(F.col("role") == "assistant")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
         F.posexplode(lines).alias("seq", "raw"),

@@ -27,7 +27,7 @@ from turnloom.operators.ordered import by_column
 from turnloom.plans import derive, sql
 from turnloom.plans.evaluate import scoring_inputs
 from turnloom.plans.registry import Tables, query
-from turnloom.sources.sinks import new_folder, write_evaluation
+from turnloom.sources.sinks import new_folder, store, write_evaluation
 
 
 @query(
@@ -83,7 +83,8 @@ def eval_first_batches(t: Tables):
         SELECT model, i::BIGINT AS i, total_tokens::BIGINT AS total_tokens, round(ppl, 6) AS perplexity FROM run WHERE i % 20 = 0""",
 )
 def running(t: Tables):
-    return running_perplexity(derive.scores(t, numbered=True)).withColumn("perplexity", F.round("perplexity", 6))
+    scores = store(derive.scores(t, numbered=True), "scores")
+    return running_perplexity(scores).withColumn("perplexity", F.round("perplexity", 6))
 
 
 @query(
@@ -148,7 +149,7 @@ def load_hash_scorer(model: str):
         SELECT sample_id, n_tokens::BIGINT AS n_tokens, round(loss, 9) AS loss FROM scores WHERE model = 'tuned'""",
 )
 def plugin_scores(t: Tables):
-    docs = t.documents.select(
+    docs = t.spread("documents", "doc_id", "text").select(
         F.col("doc_id").alias("sample_id"), WhitespaceTokenizer().count(F.col("text")).alias("n_tokens")
     )
     return score_rows(docs, load_hash_scorer("tuned")).withColumn("loss", F.round("loss", 9))

@@ -23,7 +23,7 @@ from turnloom.operators.runlog import (
 )
 from turnloom.plans import derive, sql
 from turnloom.plans.registry import Tables, query
-from turnloom.sources.readers import read_console, read_step_log
+from turnloom.sources.readers import read_console, read_eval_log, read_step_log
 from turnloom.sources.sinks import new_folder, store
 
 TRAJECTORY = (1, 100, 300, 700, 930, 1000, 1500, 1780, 2000)
@@ -92,6 +92,19 @@ def structured_log(t: Tables):
     )
 
 
+@query(
+    "structured_eval_log",
+    f"""WITH {sql.RUN_LOG}, {sql.EVAL_LOG}
+        SELECT run_id, step, round(val_loss, 6) AS val_loss, round(train_val_gap, 6) AS train_val_gap FROM eval_log""",
+)
+def structured_eval_log(t: Tables):
+    path = new_folder(t.spark, "eval-log")
+    derive.eval_log(derive.run_log(t)).write.json(path)
+    return read_eval_log(t.spark, path).select(
+        "run_id", "step", F.round("val_loss", 6).alias("val_loss"), F.round("train_val_gap", 6).alias("train_val_gap")
+    )
+
+
 @query(
     "run_summary",
     f"""WITH {sql.RUN_LOG}, b AS (SELECT run_id, min(loss) AS best_loss FROM run_log GROUP BY run_id)

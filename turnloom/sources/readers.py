@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from turnloom.config import SourceSpec
 
+# Field names of the log records.
 STEP_LOG_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
