@@ -42,6 +42,9 @@ def oracle_connection(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _cell(value):
     if isinstance(value, float):
         return None if math.isnan(value) else value
@@ -62,6 +65,10 @@ def difference(spark: SparkSession, con, folder: str, query, sql: str) -> str |
     rel = con.sql(sql)
     if sorted(rel.columns) != names:
         return f"columns {names} != {sorted(rel.columns)}"
+    types = {n: _TYPES.get(k, k) for n, k in df.dtypes}
+    for name, kind in zip(rel.columns, rel.types):
+        if types[name] != str(kind):
+            return f"type of {name}: {types[name]} != {kind}"
     want = _sorted(rel.select(*[f'"{n}"' for n in names]).fetchall())
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)} (first {got[:1]} / {want[:1]})"
