@@ -128,3 +128,5 @@ def test_a_huge_conversation_stays_a_bounded_row(spark):
     facts = {r["conv_id"]: r["facts"] for r in heads.collect()}
     assert facts[1]["last_assistant"] == n - 1 and facts[1]["alternates"] and not facts[2]["alternates"]
     assert facts[3]["has_system"] and facts[1]["n_messages"] == n
+    with pytest.raises(Exception, match="at least max_seq_len"):
+        build_examples(heads, PrepConfig(max_seq_len=49)).collect()

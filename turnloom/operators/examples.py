@@ -58,8 +58,18 @@ def keep_eligible(df: DataFrame) -> DataFrame:
     return df.filter(is_eligible(F.col("facts")))
 
 
+def _enough_messages(max_seq_len: int) -> Column:
+    """The messages, which may be the head of a longer conversation only if no
+    later one can reach an example. Anything shorter fails the job."""
+    needed = F.least(F.col("facts")["n_messages"], F.lit(max_seq_len))
+    short = F.raise_error(F.lit("assemble at least max_seq_len messages per conversation"))
+    return F.when(F.size("messages") < needed, short).otherwise(F.col("messages"))
+
+
 def prepare_messages(df: DataFrame, cfg: PrepConfig, template: ChatTemplate | None) -> DataFrame:
     """Add ``skip_reason``, the prompted messages and the answer's position."""
+    if "facts" in df.columns:
+        df = df.withColumn("messages", _enough_messages(cfg.max_seq_len))
     df = with_facts(df).withColumn("skip_reason", message_skip_reason(cfg, template))
     facts, prompt = F.col("facts"), cfg.system_prompt
     shift = F.when(needs_system(facts["has_system"], prompt), 1).otherwise(0)

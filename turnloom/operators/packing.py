@@ -79,8 +79,9 @@ def pack_documents(
         raise ValueError("stride must be between 1 and chunk_len + 1")
     width = chunk_len + 1
     slim = docs.select(order.key.alias("__key"), *order.tie, F.col(text).alias("__text"))
+    slim = slim.filter(F.col("__text").isNotNull())
     encoded = tokenizer.encode(slim, "__text", "__ids", None, {"__n": "__text"}).drop("__text")
-    encoded = encoded.filter(F.col("__n").isNotNull()).withColumns(
+    encoded = encoded.withColumns(
         {
             "__ids": F.concat("__ids", F.array(F.lit(eos_id).cast("bigint"))),
             "__n": F.col("__n") + 1,

@@ -22,9 +22,12 @@ STEP_FIELDS = ("step", "loss", "lr", "grad_norm", "tokens_per_sec", "step_time_m
 EVAL_FIELDS = ("step", "val_loss", "train_val_gap")
 
 
-def _field(line: Column, pattern: str, group: int, name: str) -> Column:
-    text = F.regexp_extract(line, pattern, group)
-    return text.try_cast("bigint" if name == "step" else "double")
+def _numbers(line: Column, pattern: str, names: Sequence[str]) -> dict[str, Column]:
+    """All numbers of a matching line from one pass of its pattern."""
+    groups = ",".join(f"${i}" for i in range(1, len(names) + 1))
+    parts = F.split(F.regexp_replace(line, f"^.*?{pattern.removeprefix('^')}.*$", groups), ",")
+    kinds = ["bigint" if n == "step" else "double" for n in names]
+    return {n: F.get(parts, F.lit(i)).try_cast(k) for i, (n, k) in enumerate(zip(names, kinds))}
 
 
 def parse_console(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -37,12 +40,10 @@ def parse_console(lines: DataFrame, line: str = "value") -> DataFrame:
     kind = F.when(is_step, "step").when(is_eval, "eval").otherwise("other")
     out = lines.withColumn("kind", kind)
     step, evaluation = F.col("kind") == "step", F.col("kind") == "eval"
-    fields = {
-        name: F.when(step, _field(text, STEP_LINE, i, name))
-        for i, name in enumerate(STEP_FIELDS, start=1)
-    }
-    for i, name in enumerate(EVAL_FIELDS, start=1):
-        value = F.when(evaluation, _field(text, EVAL_LINE, i, name))
+    steps, evals = _numbers(text, STEP_LINE, STEP_FIELDS), _numbers(text, EVAL_LINE, EVAL_FIELDS)
+    fields = {n: F.when(step, c) for n, c in steps.items()}
+    for name, value in evals.items():
+        value = F.when(evaluation, value)
         fields[name] = F.coalesce(fields[name], value) if name in fields else value
     return out.withColumns(fields)
 
