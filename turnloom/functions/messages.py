@@ -73,7 +73,7 @@ def alternates(messages: Column) -> Column:
 def conversation_facts(messages: Column) -> Column:
     """What the later filters need to know about one whole conversation."""
     return F.struct(
-        F.when(messages.isNull(), F.lit(0)).otherwise(F.size(messages)).cast("bigint").alias("n_messages"),
+        F.when(messages.isNull(), F.lit(0)).otherwise(F.array_size(messages)).cast("bigint").alias("n_messages"),
         F.coalesce(has_role(messages, "user"), F.lit(False)).alias("has_user"),
         F.coalesce(has_role(messages, "assistant"), F.lit(False)).alias("has_assistant"),
         F.coalesce(has_role(messages, "system"), F.lit(False)).alias("has_system"),

@@ -129,17 +129,17 @@ def prefix_labels(ids: Column, prompt_len: Column, answer_end: Column | None = N
 
 def suffix_labels(ids: Column, answer_len: Column) -> Column:
     """Ids with all but the last ``answer_len`` tokens ignored."""
-    return prefix_labels(ids, F.greatest(F.size(ids) - answer_len, F.lit(0)))
+    return prefix_labels(ids, F.greatest(F.array_size(ids) - answer_len, F.lit(0)))
 
 
 def attention_mask(ids: Column) -> Column:
-    return F.array_repeat(F.lit(1).cast("bigint"), F.size(ids))
+    return F.array_repeat(F.lit(1).cast("bigint"), F.array_size(ids))
 
 
 def count_unmasked(labels: Column) -> Column:
-    return F.size(F.filter(labels, lambda x: x != IGNORE_INDEX)).cast("bigint")
+    return F.array_size(F.filter(labels, lambda x: x != IGNORE_INDEX)).cast("bigint")
 
 
 def pad_to(values: Column, length: Column, fill: int) -> Column:
-    missing = F.greatest(length - F.size(values), F.lit(0)).cast("int")
+    missing = F.greatest(length - F.array_size(values), F.lit(0)).cast("int")
     return F.concat(values, F.array_repeat(F.lit(fill).cast("bigint"), missing))

@@ -99,7 +99,7 @@ def reassemble_responses(chunks: DataFrame) -> DataFrame:
         "block",
         F.col("end_at").isNotNull().alias("ended"),
         F.array_join(F.transform(before_end, lambda p: p["content"]), "").alias("text"),
-        F.size(before_end).cast("bigint").alias("n"),
+        F.array_size(before_end).cast("bigint").alias("n"),
     )
     gathered = texts.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("block", "text", "n"))).alias("blocks"),

@@ -65,7 +65,7 @@ def with_speed(generations: DataFrame) -> DataFrame:
 
 def new_tokens(ids: Column, prompt_len: Column) -> Column:
     """The generated ids behind the prompt."""
-    return F.slice(ids, (prompt_len + 1).cast("int"), F.greatest(F.size(ids), F.lit(1)))
+    return F.slice(ids, (prompt_len + 1).cast("int"), F.greatest(F.array_size(ids), F.lit(1)))
 
 
 def preview(text: Column, length: int) -> Column:

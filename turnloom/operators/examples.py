@@ -63,7 +63,7 @@ def _enough_messages(max_seq_len: int) -> Column:
     later one can reach an example. Anything shorter fails the job."""
     needed = F.least(F.col("facts")["n_messages"], F.lit(max_seq_len))
     short = F.raise_error(F.lit("assemble at least max_seq_len messages per conversation"))
-    return F.when(F.size("messages") < needed, short).otherwise(F.col("messages"))
+    return F.when(F.array_size("messages") < needed, short).otherwise(F.col("messages"))
 
 
 def prepare_messages(df: DataFrame, cfg: PrepConfig, template: ChatTemplate | None) -> DataFrame:
@@ -145,7 +145,7 @@ def build_examples(
         counts["answer_end"] = "answer_text"
     df = tokenizer.encode(df, "full_text", "input_ids", cfg.max_seq_len, counts)
     df = df.drop("full_text", "prompt_text", "answer_text")
-    df = df.withColumn("n_tokens", F.size("input_ids").cast("bigint"))
+    df = df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
     end = F.col("answer_end") if cfg.trailing == "mask" else None
     labels = prefix_labels(F.col("input_ids"), F.col("prompt_len"), end)
     return _finish(df, labels, F.col("prompt_len") >= F.col("n_tokens")).drop("answer_end")
@@ -173,7 +173,7 @@ def build_plain_examples(
     counts = {"answer_len": "answer_text"}
     df = tokenizer.encode(df, "full_text", "input_ids", cfg.max_seq_len, counts)
     df = df.drop("full_text", "answer_text")
-    df = df.withColumn("n_tokens", F.size("input_ids").cast("bigint"))
+    df = df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
     labels = suffix_labels(F.col("input_ids"), F.col("answer_len"))
     return _finish(df, labels, F.lit(False)).drop("answer_len")
 

@@ -113,7 +113,7 @@ def pack_documents(
         .agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("__p"))
         .select("chunk_id", F.flatten(F.transform("__p", lambda p: p["ids"])).alias("__c"))
     )
-    size = F.size("__c")
+    size = F.array_size("__c")
     chunks = chunks.filter(size > 1) if keep_tail else chunks.filter(size == width)
     return chunks.select(
         "chunk_id",

@@ -25,7 +25,7 @@ def scoring_inputs(
     pair = evaluation_pair(F.col("instruction"), F.col("output"))
     df = rows.withColumn("__text", template.render(pair))
     df = tokenizer.encode(df, "__text", "input_ids", max_len, {}).drop("__text")
-    return df.withColumn("n_tokens", F.size("input_ids").cast("bigint"))
+    return df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
 
 
 def score_sample(

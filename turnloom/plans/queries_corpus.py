@@ -171,7 +171,7 @@ def always_system(t: Tables):
     made = derive.conversations(t).select(
         "conv_id", prepend_system(F.col("messages"), DEFAULT_SYSTEM_PROMPT).alias("messages")
     )
-    n = F.size(F.filter("messages", lambda m: m["role"] == "system")).cast("bigint")
+    n = F.array_size(F.filter("messages", lambda m: m["role"] == "system")).cast("bigint")
     return made.select("conv_id", _flat(), n.alias("n_system"))
 
 

@@ -221,7 +221,7 @@ def generated_part(t: Tables):
     docs = docs.select("doc_id", tok.ids(F.col("text")).alias("ids"), tok.count(head).alias("p"))
     new = docs.withColumn("new", new_tokens(F.col("ids"), F.col("p")))
     total = F.aggregate("new", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return new.select("doc_id", total.alias("new_sum"), F.size("new").cast("bigint").alias("n_new"))
+    return new.select("doc_id", total.alias("new_sum"), F.array_size("new").cast("bigint").alias("n_new"))
 
 
 @query(

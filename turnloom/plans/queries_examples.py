@@ -75,7 +75,7 @@ def tokenised_documents(t: Tables):
     docs = t.spread("documents", "doc_id", "text")
     ids = docs.select("doc_id", WhitespaceTokenizer().ids(F.col("text")).alias("ids"))
     return ids.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _total("ids").alias("ids_sum"),
+        "doc_id", F.array_size("ids").cast("bigint").alias("n_tokens"), _total("ids").alias("ids_sum"),
         F.try_element_at("ids", F.lit(1)).alias("first_id"), F.try_element_at("ids", F.lit(-1)).alias("last_id"),
     )
 
@@ -91,8 +91,8 @@ def attention_masks(t: Tables):
     labels = F.transform("labels", lambda x: x.cast("string"))
     return kept(sft_examples(t, PrepConfig(max_seq_len=512))).select(
         "conv_id", _total("attention_mask").alias("mask_sum"),
-        F.size("attention_mask").cast("bigint").alias("mask_len"),
-        F.size(F.filter("labels", lambda x: x == IGNORE_INDEX)).cast("bigint").alias("n_masked"),
+        F.array_size("attention_mask").cast("bigint").alias("mask_len"),
+        F.array_size(F.filter("labels", lambda x: x == IGNORE_INDEX)).cast("bigint").alias("n_masked"),
         F.array_join(labels, " ").alias("labels"),
     )
 
@@ -223,7 +223,7 @@ def render_errors(t: Tables):
     """Strict alternation, on conversations of which some lost their first turn
     and some the text of their second."""
     m = F.col("messages")
-    cut = F.when(F.col("conv_id") % 4 == 1, F.slice(m, F.lit(2), F.size(m))).otherwise(m)
+    cut = F.when(F.col("conv_id") % 4 == 1, F.slice(m, F.lit(2), F.array_size(m))).otherwise(m)
 
     def blank(x, i):
         hit = (F.col("conv_id") % 5 == 0) & (i == 1)
@@ -233,7 +233,7 @@ def render_errors(t: Tables):
     found = build_examples(rows, template=ChatTemplate(strict_alternation=True))
     reason = F.col("skip_reason")
     early = reason.isin("missing_role", "render_error")
-    return found.filter(F.size("messages") > 0).select("conv_id", F.when(early, reason).otherwise("other").alias("reason"))
+    return found.filter(F.array_size("messages") > 0).select("conv_id", F.when(early, reason).otherwise("other").alias("reason"))
 
 
 @query(
@@ -263,7 +263,7 @@ def stored_examples(t: Tables):
     write_examples(made.select("conv_id", "split", "input_ids", "labels", "attention_mask"), path)
     return t.spark.read.parquet(path).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_examples"),
-        F.sum(F.size("input_ids")).alias("n_tokens"),
+        F.sum(F.array_size("input_ids")).alias("n_tokens"),
         F.sum(_total("input_ids")).alias("ids_sum"),
     )
 
@@ -284,7 +284,7 @@ def padded_batches(t: Tables):
     made = kept(sft_examples(t, cfg)).select("conv_id", "n_tokens", "input_ids", "labels", "attention_mask")
     padded = pad_batches(store(made, "examples"), ["conv_id"], shuffled("conv_id"), 4)
     return padded.select(
-        "conv_id", "batch_id", "row_in_batch", F.size("input_ids").cast("bigint").alias("ids_len"),
+        "conv_id", "batch_id", "row_in_batch", F.array_size("input_ids").cast("bigint").alias("ids_len"),
         _total("input_ids").alias("ids_sum"), _total("labels").alias("labels_sum"),
         _total("attention_mask").alias("mask_sum"),
     )
@@ -310,7 +310,7 @@ def _packed_sql(length: int, stride: int, keep_tail: bool) -> str:
 
 def _packed_columns(chunks):
     return chunks.select(
-        "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+        "chunk_id", F.array_size("input_ids").cast("bigint").alias("n_tokens"),
         _total("input_ids").alias("ids_sum"), _total("labels").alias("labels_sum"),
         F.element_at("input_ids", 1).alias("first_id"),
     )
