@@ -181,7 +181,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 [*batch.columns[: len(kept) + 1], pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(total)],
                 [*kept, "held_out", "lang_pred", "score", "n_grams"])
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], *T._parse_datatype_string(
+    schema = T.StructType([*[docs.schema[c] for c in kept], *T.StructType.fromDDL(
         "held_out boolean, lang_pred string, score double, n_grams bigint").fields])
     return rows.mapInArrow(judge, schema)
 
