@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontamination, fingerprints, language, quality  # noqa: F401
+from turnloom.llm import decontamination, fingerprints, language, quality, token_files  # noqa: F401
 from turnloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
