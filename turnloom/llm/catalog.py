@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import decontamination, fingerprints, language, line_dedup, near_dedup, quality, sentencepiece_codec, token_files  # noqa: F401
+from turnloom.llm import decontamination, fingerprints, language, line_dedup, near_dedup, quality, secrets, sentencepiece_codec, token_files  # noqa: F401
 from turnloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
