@@ -6,17 +6,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import shipped, stored, table
+from turnloom.llm.decontamination import find_windows, without_spans
 from turnloom.llm.language import UNDETERMINED, identify
+from turnloom.llm.line_dedup import drop_repeated_lines
+from turnloom.llm.near_dedup import near_duplicates
+from turnloom.llm.sentencepiece_codec import default_model, encode_pieces
+
+FOREIGN_SHARE, FOREIGN_GRAMS = 0.25, 200
+
+
+def _with_text(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``docs``' columns with another text and its length."""
+    new = {"text": F.col(text), "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col(text)}
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language the filters know; null texts, and texts without a letter, go."""
+    """Documents in a language the filters know.
+
+    Null texts and texts without a letter go, and longer ones of whose n-grams
+    hardly any is known to the best language.
+    """
     shipped(spark)
     judged = identify(docs, keep=docs.columns)
-    return judged.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    foreign = (F.col("n_grams") >= FOREIGN_GRAMS) & (F.col("score") < FOREIGN_SHARE)
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & ~foreign).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stay in a later one. A document may keep an empty text; a null one becomes empty."""
+    shipped(spark)
+    return _with_text(drop_repeated_lines(docs, keep=docs.columns), docs, "kept_text")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of smallest id; empty ones are no group."""
+    shipped(spark)
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))  # one shuffle of the texts serves the join and the repeated rows
+    ids = near_duplicates(docs).where("kept").select(key.alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(ids, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words inside benchmark windows; nothing else of a text changes."""
+    shipped(spark)
+    found = find_windows(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return _with_text(without_spans(found, "text"), docs, "clean_text")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it again."""
+    shipped(spark)
+    coded = encode_pieces(docs, default_model(), keep=docs.columns)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
-STAGES = [("language ID", keep_known_languages)]
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", keep_one_of_each_group),
+    ("benchmark decontamination", cut_benchmark_passages),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: The learned stages have no SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None

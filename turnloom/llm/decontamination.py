@@ -11,6 +11,7 @@ merged into spans of words per document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -282,6 +283,38 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return result.select(*[F.col(f"`{c}`") for c in kept], *added.names)
 
 
+_WORD_RUN = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+
+
+def cut(text: str | None, spans: list[dict]) -> str | None:
+    """A text without the words of the spans and what stands between them; blanks at a cut become one."""
+    if not spans:
+        return text
+    places = [m.span() for m in _WORD_RUN.finditer(text)]
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : places[s["first"]][0]])
+        at = places[s["stop"] - 1][1]
+    out.append(text[at:])
+    joined = out[0]
+    for part in out[1:]:
+        joined += part[1:] if joined.endswith(" ") and part.startswith(" ") else part
+    return joined
+
+
+def without_spans(found: DataFrame, text_col: str = "text", out_col: str = "clean_text") -> DataFrame:
+    """``find_windows``' rows with a column of the text without its hit words; texts without a hit stay as they are, null too."""
+    names = found.columns
+    schema = T.StructType([*found.schema, T.StructField(out_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_blocks(batches, text_col):
+            clean = map(cut, batch.column(text_col).to_pylist(), batch.column("spans").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clean, pa.string())], [*names, out_col])
+
+    return found.mapInArrow(run, schema)
+
+
 @query("op6_decontamination", """
 WITH RECURSIVE norm AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
