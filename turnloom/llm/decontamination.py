@@ -277,7 +277,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)
     result = rows.mapInArrow(search(spark.sparkContext.broadcast(next(blocks, None) or phrases_of([], window))), T.StructType([*rows.schema, *added]))
     for block in blocks:
-        before = stored(result.withColumnsRenamed({"spans": "__spans", "items": "__items"}).drop("n_words"))
+        before = stored(result.select(*[F.col(f"`{c}`") for c in kept], "__text", F.col("spans").alias("__spans"), F.col("items").alias("__items")))
         both = before.mapInArrow(search(spark.sparkContext.broadcast(block)), T.StructType([*before.schema, *added]))
         result = both.withColumns({"spans": merged(F.concat("__spans", "spans")), "items": F.array_sort(F.array_union("__items", "items"))})
     return result.select(*[F.col(f"`{c}`") for c in kept], *added.names)

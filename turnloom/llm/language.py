@@ -120,8 +120,8 @@ def decide(model: LanguageFilter, total: np.ndarray, found: np.ndarray) -> tuple
     With filter ``l`` wrong at rate ``f`` for an absent n-gram, ``h`` hits among
     ``n`` n-grams stand for ``(h - n f) / (1 - f)`` present ones.
     """
-    rate = np.minimum(model.false_positive_rates, 0.999)
-    present = np.clip((found - total[:, None] * rate) / (1 - rate), 0, None)
+    rate = model.false_positive_rates
+    present = np.clip((found - total[:, None] * rate) / np.maximum(1 - rate, 0.01), 0, None)    # a filter that is nearly full tells nothing
     best = present.argmax(1) if present.size else np.zeros(len(total), np.int64)
     share = present[np.arange(len(total)), best] / np.maximum(total, 1) if present.size else np.zeros(len(total))
     return best, np.clip(share, 0.0, 1.0)

@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     for _ in range(STAR_ROUNDS):
         open_members = _with_components(members, components)
-        rank = F.struct("degree", (-F.col("node")).alias("low"))
+        rank = F.struct("degree", F.bitwise_not("node").alias("low"))
         hubs = open_members.join(degrees, "node").groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node", "c")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.c").alias("cb"))
         pairs = open_members.join(hubs, "key").where("c != cb").select(F.col("node").alias("a"), "b").distinct()
         # Each node with its nearest hub: one confirmation per node and round.
