@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -145,53 +146,77 @@ class TokenMatrix:
 # Text between these borders is encoded by itself: a byte-level tokenizer never joins a blank to what is before it.
 _SPACE = "\t-\r \x85\xa0 ᠎ -     　\x1c-\x1f"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_LATIN_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")  # no apostrophe, which may begin a token with letters
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
 
 
 class ChunkEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer; chunks met before are looked up."""
 
-    LIMIT = 300_000     # chunks remembered; the memory starts anew beyond
+    LIMIT = 1_000_000     # chunks remembered; the memory starts anew beyond
 
     def __init__(self, definition: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        # A byte is a visible character of its own to the model: itself where it is one, else the next free one from 256 on.
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        others = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        self.blank = chr(self.alphabet[32])
+        self.signs: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.first = np.zeros(self.LIMIT * 2, np.int64)   # where a chunk's ids begin in flat
-        self.count = np.zeros(self.LIMIT * 2, np.int64)
+        self.first = np.zeros(1 << 16, np.int64)   # where a chunk's ids begin in flat
+        self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _ids_of(self, chunk: str) -> list[int]:
+        """A Latin word, with or without a blank before and signs behind, is what the model is given for it; else the whole way."""
+        word = _LATIN_WORD.fullmatch(chunk)
+        if word is None:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        blank, stem, signs = word.groups()
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(self.blank + stem if blank else stem)]
+        if not signs:
+            return ids
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            self.signs[signs] = self.tokenizer.encode(signs, add_special_tokens=False).ids
+        return ids + self.signs[signs]
+
     def _learn(self, chunks: list[str]) -> None:
-        for a in range(0, len(chunks), 50_000):
-            part = chunks[a : a + 50_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                i = len(self.known)
-                if i >= len(self.first):
-                    self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.first[i], self.count[i] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[c] = i
+        found = [self._ids_of(c) for c in chunks]
+        base, sizes = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
+        while base + len(chunks) > len(self.first):
+            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+        while self.used + sizes.sum() > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        ends = self.used + np.cumsum(sizes)
+        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.first[base : base + len(chunks)], self.count[base : base + len(chunks)] = ends - sizes, sizes
+        self.used = int(ends[-1])
+        self.known.update(zip(chunks, range(base, base + len(chunks))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         if len(self.known) > self.LIMIT:
             self._forget()
         split = [[t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.known}
-        if new:
-            self._learn(sorted(new))
-        known = self.known
-        which = np.fromiter((known[c] for chunks in split for c in chunks), np.int64)
+        chunks = list(chain.from_iterable(split))
+        which = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(which < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([chunks[i] for i in missing])))
+            which[missing] = [self.known[chunks[i]] for i in missing]
         n = self.count[which]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.first[which], n)]
