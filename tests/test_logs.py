@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.config import RunConfig, ScheduleConfig
+from turnloom.config import LogSettings, ScheduleConfig
 from turnloom.functions.schedule import learning_rate
 from turnloom.operators.chatlog import read_requests, reassemble_responses
 from turnloom.operators.evaluate import (
@@ -22,6 +22,7 @@ from turnloom.operators.evaluate import (
 from turnloom.operators.ordered import by_column
 from turnloom.operators.runlog import (
     audit_learning_rate,
+    console_steps,
     every_nth_step,
     format_eval_line,
     format_step_line,
@@ -32,8 +33,8 @@ from turnloom.operators.runlog import (
     step_times,
     train_val_gap,
 )
-from turnloom.plans.evaluate import score_sample
-from turnloom.plans.queries_eval import load_hash_scorer
+from turnloom.plans.evaluate import score_sample, scoring_inputs
+from turnloom.sources.readers import read_console
 
 
 def rates(spark, steps, cfg):
@@ -96,7 +97,7 @@ def test_published_run(spark):
 
 def test_step_times(spark):
     log = spark.createDataFrame([("a", s, 17.5 * s, 700) for s in range(1, 102)] + [("b", 7, 3.0, 1)], "run_id string, step long, ts double, n_tokens long")
-    cfg = RunConfig(eval_interval=100, checkpoint_interval=50)
+    cfg = LogSettings(pause_every=(100, 50))
     rows = {(r["run_id"], r["step"]): r for r in step_times(log, cfg).collect()}
     assert rows["a", 1]["step_time_s"] is None and rows["b", 7]["nominal_tok_s"] is None
     assert round(rows["a", 2]["nominal_tok_s"]) == 117 and rows["a", 2]["actual_tok_s"] == 40.0
@@ -104,6 +105,9 @@ def test_step_times(spark):
     starts = spark.createDataFrame([("a", 0, 0.0)], "run_id string, step long, ts double")
     rows = {(r["run_id"], r["step"]): r for r in step_times(log, cfg, starts).collect()}
     assert len(rows) == 102 and rows["a", 1]["step_time_s"] == 17.5
+    every_tenth = {r["step"]: r for r in step_times(log.filter("run_id = 'a' AND step % 10 = 0"), cfg).collect()}
+    assert {(r["steps_elapsed"], r["step_time_s"], round(r["nominal_tok_s"]), r["actual_tok_s"]) for s, r in every_tenth.items() if s > 10} == {(10, 17.5, 117, 40.0)}
+    assert [s for s, r in sorted(every_tenth.items()) if r["after_pause"]] == [60]
     same = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0)], "run_id string, step long, ts double")
     assert {r["nominal_tok_s"] for r in step_times(same).collect()} == {None}
 
@@ -127,7 +131,8 @@ def test_perplexity_weighs_tokens(spark):
     better = compare_models(df, scores(spark, [(1, 1.0, 30)])).first()
     assert better["verdict"] == "better" and better["improvement"] == pytest.approx(math.exp(1.5) - math.e)
     assert compare_models(df, df).first()["verdict"] == "worse"
-    assert compare_samples(df, scores(spark, [(2, 4.0, 10), (9, 0.0, 1)])).collect()[0]["improvement"] == -1.0
+    both = {r["sample_id"]: (r["improvement"], r["verdict"], r["n_tokens"]) for r in compare_samples(df, scores(spark, [(2, 4.0, 10), (9, 0.0, 1)])).collect()}
+    assert both == {1: (None, None, 30), 2: (-1.0, "worse", 10), 9: (None, None, 1)}
 
 
 def test_running_perplexity_equals_a_loop(spark):
@@ -186,10 +191,23 @@ def counting_clock():
 
 def test_score_sample(spark):
     rows = spark.range(300).select(F.col("id").alias("sample_id"), F.lit("do it").alias("instruction"), F.lit("done").alias("output"))
-    got = score_sample(rows, "sample_id", load_hash_scorer("m"), n_samples=40)
+    got = score_sample(rows, "sample_id", lambda: (lambda batch: batch["n_tokens"] * 0 + 1.5), n_samples=40)
     assert got.count() == 40 and got.filter("n_tokens = 7 AND loss BETWEEN 0 AND 4").count() == 40
 
 
+def test_half_pairs_are_not_scored(spark):
+    rows = spark.createDataFrame([(1, "do", "done"), (2, "do", None), (3, None, "done")], "sample_id long, instruction string, output string")
+    got = {r["sample_id"]: (r["skip_reason"], r["n_tokens"]) for r in scoring_inputs(rows).collect()}
+    assert got == {1: (None, 6), 2: ("render_error", None), 3: ("render_error", None)}
+
+
+def test_run_id_of_console_files(spark, tmp_path):
+    for run in ("alpha", "beta-2"):
+        spark.createDataFrame([("Step      1 | Loss 2.0000 | LR 4.00e-06 | GradNorm 1.0000 | 117 tok/s | 17500 ms/step",)], "value string").coalesce(1).write.text(str(tmp_path / run))
+    got = console_steps(parse_console(read_console(spark, str(tmp_path / "*"), r"/([^/]+)/[^/]*$")))
+    assert {(r["run_id"], r["step"], r["loss"]) for r in got.collect()} == {("alpha", 1, 2.0), ("beta-2", 1, 2.0)}
+
+
 def test_requests_take_defaults(spark):
     bodies = [
         (0, "/generate", '{"message": "hi"}'), (1, "/generate", "{}"), (2, "/chat", '{"max_tokens": 9, "temperature": 0}'),
@@ -214,6 +232,9 @@ def test_chunks(spark):
     data = [(1, i, line(f"w{i} ")) for i in range(9000)] + [(1, 9000, "data: [DONE]\n\n"), (1, 9001, line("late")), (1, 20000, line("later"))]
     data += [(2, 0, line("a")), (2, 1, line("")), (2, 2, "data: {}"), (2, 3, ": comment"), (2, 4, line("b"))]
     data += [(3, 0, "data: [DONE]"), (4, 5, None)]
+    data += [(5, 0, line("a")), (5, 1, 'data: {"content": "b'), (5, 2, line("c")), (5, 2, line("c")), (5, 3, "data: [DONE]")]
+    data += [(6, 0, line("a")), (6, 1, "data: x"), (6, 1, line("b")), (6, 2, "data: [DONE]"), (6, 3, "data: x")]
     df = spark.createDataFrame(data, "request_id long, seq long, raw string").repartition(6)
-    got = {r["request_id"]: (r["response"], r["n_chunks"], r["complete"]) for r in reassemble_responses(df).collect()}
-    assert got == {1: ("".join(f"w{i} " for i in range(9000)), 9000, True), 2: ("ab", 2, False), 3: ("", 0, True), 4: ("", 0, False)}
+    got = {r["request_id"]: (r["response"], r["n_chunks"], r["n_malformed"], r["complete"]) for r in reassemble_responses(df).collect()}
+    assert got == {1: ("".join(f"w{i} " for i in range(9000)), 9000, 0, True), 2: ("ab", 2, 0, False), 3: ("", 0, 0, True), 4: ("", 0, 0, False),
+                   5: ("ac", 2, 1, False), 6: ("ab", 2, 0, True)}

@@ -12,6 +12,7 @@ from turnloom.operators.ordered import (
     RowOrder,
     by_column,
     first_n,
+    order_of,
     global_index,
     last_of_each,
     ordered_scan,
@@ -108,25 +109,40 @@ def test_gaps_fail_unless_turns_are_renumbered(spark):
     assert sorted(r["turn"] for r in number_turns(gappy).collect()) == [0, 0, 1, 1]
 
 
-def test_a_huge_conversation_stays_a_bounded_row(spark):
+def test_a_huge_conversation_keeps_all_turns(spark):
     from turnloom.config import PrepConfig
-    from turnloom.operators.examples import build_examples
+    from turnloom.functions.template import ChatTemplate
+    from turnloom.operators.examples import build_examples, build_plain_examples
 
     n = 3000
     long = [(1, i, "user" if i % 2 == 0 else "assistant", f"w{i}") for i in range(n)]
     late = [(2, 0, "user", "q"), (2, 1, "assistant", "a")] + [(2, i, "tool", "x") for i in range(2, n)]
-    sysd = [(3, 0, "user", "q"), (3, 1, "assistant", "a"), (3, 2, "user", "b"), (3, 3, "system", "late")]
-    df = turns(spark, long + late + sysd)
+    last = [(3, 0, "user", "q"), (3, 1, "user", "b"), (3, 2, "system", "late"), (3, 3, "assistant", "an answer")]
+    df = turns(spark, long + late + last)
+    whole = assemble_turns(df, dense=True)
+    rows = {r["conv_id"]: r for r in whole.collect()}
+    assert {i: len(r["messages"]) for i, r in rows.items()} == {1: n, 2: n, 3: 4}
+    assert [m["content"] for m in rows[1]["messages"]] == [f"w{i}" for i in range(n)]
+    assert rows[1]["facts"]["last_assistant"] == n - 1 and rows[1]["facts"]["alternates"] and not rows[2]["facts"]["alternates"]
     cfg = PrepConfig(max_seq_len=48)
-    heads = assemble_turns(df, max_messages=48, dense=True)
-    assert {r[0]: r[1] for r in heads.select("conv_id", F.size("messages")).collect()} == {1: 48, 2: 48, 3: 4}
-    cols = ["conv_id", "skip_reason", "input_ids", "labels", "prompt_len"]
-    short = sorted(map(tuple, build_examples(heads, cfg).select(*cols).collect()))
-    whole = assemble_turns(df, max_messages=n, dense=True)
-    assert short == sorted(map(tuple, build_examples(whole.drop("facts"), cfg).select(*cols).collect()))
-    assert [s[1] for s in short] == ["too_short", None, None]
-    facts = {r["conv_id"]: r["facts"] for r in heads.collect()}
-    assert facts[1]["last_assistant"] == n - 1 and facts[1]["alternates"] and not facts[2]["alternates"]
-    assert facts[3]["has_system"] and facts[1]["n_messages"] == n
-    with pytest.raises(Exception, match="at least max_seq_len"):
-        build_examples(heads, PrepConfig(max_seq_len=49)).collect()
+    got = {r["conv_id"]: r for r in build_examples(whole, cfg).collect()}
+    assert [got[i]["skip_reason"] for i in (1, 2, 3)] == ["too_short", None, None]
+    # Messages without blanks between them: thousands of turns are one token.
+    tight = build_examples(whole, cfg, ChatTemplate(prefix="<{role}>", suffix="</>", generation="<assistant>")).collect()
+    assert {r["conv_id"]: (r["skip_reason"], r["n_tokens"]) for r in tight}[3] == (None, 2)
+    plain = {r["conv_id"]: r for r in build_plain_examples(whole, cfg).collect()}
+    assert plain[1]["n_unmasked"] == 2 and plain[3]["n_unmasked"] == 3
+
+
+def test_numbering_is_checked_even_if_only_facts_are_read(spark):
+    for bad in ([0, 7], [0, 0, 3, 3], [1, 2], [0, None]):
+        df = turns(spark, [(1, i, "user", "a") for i in bad])
+        with pytest.raises(Exception, match="not numbered"):
+            assemble_turns(df, dense=True).select("facts.n_messages").collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 99])
+def test_first_n_with_ties_nulls_and_text_keys(spark, n):
+    df = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "id long")
+    assert sorted((r[0] for r in first_n(df, by_column("id"), n).collect()), key=str) == sorted([1, 2, 2, 3, None][:n], key=str)
+    assert first_n(df.withColumn("id", F.col("id").cast("string")), order_of(df.withColumn("id", F.col("id").cast("string")), "id"), n).count() == min(n, 5)

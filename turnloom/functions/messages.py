@@ -5,7 +5,7 @@ Role tests use null-safe equality, so a null role is simply "not that role".
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,15 @@ def conversation_facts(messages: Column) -> Column:
     )
 
 
+_FACTS = ("n_messages", "has_user", "has_assistant", "has_system", "last_assistant", "malformed", "alternates")
+
+
+def has_facts(df: DataFrame) -> bool:
+    """Whether a table brings facts measured here, and not just a column of that name."""
+    kind = df.schema["facts"].dataType if "facts" in df.columns else None
+    return isinstance(kind, T.StructType) and tuple(kind.fieldNames()) == _FACTS
+
+
 def pair_facts(has_null_text: Column) -> Column:
     """Facts of one user message followed by one assistant message."""
     return F.struct(

@@ -1,24 +1,19 @@
 """Tokenizers and label masks.
 
 A tokenizer turns named text columns of a DataFrame into ids and counts. The
-default one stays in the JVM; the BPE one sends all texts of a row through a
-single Arrow-batched UDF.
+default one stays in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnloom.config import IGNORE_INDEX
 
 TOKEN_PATTERN = r"\S+"
-_MAX_TOKENIZER_BYTES = 128 * 1024 * 1024
 
 
 class Tokenizer(Protocol):
@@ -38,8 +33,9 @@ class WhitespaceTokenizer:
     """Runs of non-blank characters, ids from a hash. Built-in functions only."""
 
     def count(self, text: Column, max_len: int | None = None) -> Column:
+        """Null for a null text."""
         n = F.regexp_count(text, F.lit(TOKEN_PATTERN)).cast("bigint")
-        return n if max_len is None else F.least(n, F.lit(max_len).cast("bigint"))
+        return n if max_len is None else F.when(text.isNotNull(), F.least(n, F.lit(max_len).cast("bigint")))
 
     def ids(self, text: Column, max_len: int | None = None) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
@@ -55,66 +51,6 @@ class WhitespaceTokenizer:
         return df.withColumns(new)
 
 
-class BpeTokenizer:
-    """A ``tokenizers`` JSON definition, loaded once per Python worker.
-
-    The definition travels inside the UDF, so executors need no shared path.
-    """
-
-    def __init__(self, definition: str) -> None:
-        if len(definition) > _MAX_TOKENIZER_BYTES:
-            raise ValueError("tokenizer definition is too large to ship with the task")
-        self.definition = definition
-
-    @classmethod
-    def from_file(cls, path: str) -> "BpeTokenizer":
-        with open(path, encoding="utf-8") as handle:
-            return cls(handle.read())
-
-    def encode(
-        self, df: DataFrame, text: str, ids: str, max_len: int | None, counts: dict[str, str]
-    ) -> DataFrame:
-        definition = self.definition
-        returns = T.StructType(
-            [T.StructField("ids", T.ArrayType(T.LongType()))]
-            + [T.StructField(f"n{i}", T.LongType()) for i in range(len(counts))]
-        )
-
-        @F.pandas_udf(returns)
-        def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from tokenizers import Tokenizer as Engine
-
-            engine = Engine.from_str(definition)
-            engine.no_padding()
-            if max_len is None:
-                engine.no_truncation()
-            else:
-                engine.enable_truncation(max_len)
-            for batch in batches:
-                out = {}
-                for i, column in enumerate(batch.columns):
-                    texts = batch[column]
-                    present = texts.notna()
-                    found = iter(engine.encode_batch(texts[present].tolist()))
-                    encoded = [next(found).ids if ok else None for ok in present]
-                    if i == 0:
-                        out["ids"] = encoded
-                    else:
-                        out[f"n{i - 1}"] = pd.array(
-                            [None if e is None else len(e) for e in encoded], dtype="Int64"
-                        )
-                yield pd.DataFrame(out)
-
-        texts = F.struct(
-            F.col(text).alias("t"),
-            *[F.col(source).alias(f"c{i}") for i, source in enumerate(counts.values())],
-        )
-        out = df.withColumn("__enc", encode_batches(texts))
-        new = {ids: F.col("__enc.ids")}
-        new |= {name: F.col(f"__enc.n{i}") for i, name in enumerate(counts)}
-        return out.withColumns(new).drop("__enc")
-
-
 def prefix_labels(ids: Column, prompt_len: Column, answer_end: Column | None = None) -> Column:
     """Ids with the prompt (and, if given, what follows the answer) ignored."""
 
@@ -128,8 +64,9 @@ def prefix_labels(ids: Column, prompt_len: Column, answer_end: Column | None = N
 
 
 def suffix_labels(ids: Column, answer_len: Column) -> Column:
-    """Ids with all but the last ``answer_len`` tokens ignored."""
-    return prefix_labels(ids, F.greatest(F.array_size(ids) - answer_len, F.lit(0)))
+    """Ids with all but the last ``answer_len`` tokens ignored; null if that length is."""
+    start = F.greatest(F.array_size(ids) - answer_len, F.lit(0))
+    return F.when(answer_len.isNotNull(), prefix_labels(ids, start))
 
 
 def attention_mask(ids: Column) -> Column:

@@ -71,9 +71,11 @@ def chunk_line(content: Column) -> Column:
 
 
 def reassemble_responses(chunks: DataFrame) -> DataFrame:
-    """``request_id, response, n_chunks, complete`` from ``request_id, seq, raw``.
+    """``request_id, response, n_chunks, n_malformed, complete`` from ``request_id, seq, raw``.
 
-    Joins the contents in order up to the end marker; empty ones do not count.
+    Joins the contents in order up to the end marker; empty ones do not count,
+    and of chunks of one sequence number one counts (a readable one if there is).
+    A payload that is no JSON is malformed, and then a response is not complete.
     Chunks are joined in blocks of sequence numbers first, so that a request
     with very many of them is spread, and only its block texts meet at the end.
     """
@@ -85,24 +87,27 @@ def reassemble_responses(chunks: DataFrame) -> DataFrame:
         F.shiftright("seq", _SEQ_PER_BLOCK).alias("block"),
         F.coalesce(payload == STREAM_END, F.lit(False)).alias("end"),
         F.coalesce(F.from_json(payload, _CHUNK_TYPE)["content"], F.lit("")).alias("content"),
+        F.coalesce((payload != STREAM_END) & F.get_json_object(payload, "$").isNull(), F.lit(False)).alias("bad"),
     )
-    used = F.col("content") != ""
+    used = (F.col("content") != "") | F.col("bad")
     blocks = parsed.groupBy("request_id", "block").agg(
-        F.array_sort(F.collect_list(F.when(used, F.struct("seq", "content")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(used, F.struct("seq", "bad", "content")))).alias("sorted"),
         F.min(F.when(F.col("end"), F.col("seq"))).alias("end_at"),
     )
-    before_end = F.filter(
-        "parts", lambda p: F.col("end_at").isNull() | (p["seq"] < F.col("end_at"))
-    )
+    once = F.filter("sorted", lambda p, i: (i == 0) | (F.get("sorted", i - 1)["seq"] != p["seq"]))
+    before_end = F.filter(once, lambda p: F.col("end_at").isNull() | (p["seq"] < F.col("end_at")))
+    blocks = blocks.select("request_id", "block", "end_at", before_end.alias("parts"))
+    good = F.filter("parts", lambda p: ~p["bad"])
     texts = blocks.select(
         "request_id",
         "block",
         F.col("end_at").isNotNull().alias("ended"),
-        F.array_join(F.transform(before_end, lambda p: p["content"]), "").alias("text"),
-        F.array_size(before_end).cast("bigint").alias("n"),
+        F.array_join(F.transform(good, lambda p: p["content"]), "").alias("text"),
+        F.array_size(good).cast("bigint").alias("n"),
+        F.array_size(F.filter("parts", lambda p: p["bad"])).cast("bigint").alias("n_bad"),
     )
     gathered = texts.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("block", "text", "n"))).alias("blocks"),
+        F.array_sort(F.collect_list(F.struct("block", "text", "n", "n_bad"))).alias("blocks"),
         F.min(F.when(F.col("ended"), F.col("block"))).alias("last"),
     )
     live = F.filter("blocks", lambda b: F.col("last").isNull() | (b["block"] <= F.col("last")))
@@ -110,5 +115,6 @@ def reassemble_responses(chunks: DataFrame) -> DataFrame:
         "request_id",
         F.array_join(F.transform(live, lambda b: b["text"]), "").alias("response"),
         F.aggregate(live, F.lit(0).cast("bigint"), lambda acc, b: acc + b["n"]).alias("n_chunks"),
+        F.aggregate(live, F.lit(0).cast("bigint"), lambda acc, b: acc + b["n_bad"]).alias("n_malformed"),
         F.col("last").isNotNull().alias("complete"),
-    )
+    ).withColumn("complete", F.col("complete") & (F.col("n_malformed") == 0))

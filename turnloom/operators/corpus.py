@@ -17,14 +17,14 @@ from turnloom.functions.messages import (
     from_instruction,
     from_prompt_completion,
     from_sharegpt,
+    has_facts,
     message,
     pair_facts,
 )
 from turnloom.operators.examples import computed_once, keep_eligible, with_facts
-from turnloom.operators.ordered import RowOrder, by_column, counted_blocks, first_n
+from turnloom.operators.ordered import RowOrder, counted_blocks, first_n, order_of, total_order
 from turnloom.sources.readers import read_corpus
-
-_GROUPS_PER_BROADCAST = 100_000
+from turnloom.sources.sinks import store
 
 
 def normalise(df: DataFrame, presence: str = "schema") -> DataFrame:
@@ -85,7 +85,7 @@ def normalise(df: DataFrame, presence: str = "schema") -> DataFrame:
             "format": F.coalesce(*[F.when(fits, F.lit(name)) for name, fits, _ in layouts]),
         }
     )
-    if "facts" in types:
+    if has_facts(df):
         return made
     if lists:
         return with_facts(computed_once(made, ["messages", "format"]))
@@ -94,42 +94,32 @@ def normalise(df: DataFrame, presence: str = "schema") -> DataFrame:
     return made.withColumn("facts", F.coalesce(*known, *nothing))
 
 
-def cap_per_group(
-    df: DataFrame, by: str, order: RowOrder, cap: int, max_broadcast: int = _GROUPS_PER_BROADCAST
-) -> DataFrame:
-    """The first ``cap`` rows of every group, in order; 0 keeps all rows.
+def cap_per_group(df: DataFrame, by: str, order: RowOrder, cap: int) -> DataFrame:
+    """Exactly the first ``cap`` rows of every group, or all it has; 0 keeps all rows.
 
-    Finds each group's last kept key from counts, so the rows themselves stay
-    where they are: only the block in which the cap falls is sorted, and the keys
-    found (one per group) go back to the rows by broadcast. Beyond
-    ``max_broadcast`` groups, which are counted first, a shuffle join takes over.
+    Finds the block of each group in which the cap falls from counts. Rows of
+    earlier blocks stay, and only those of that block are ranked, so a group may
+    own any share of the table. Null keys come last, rows of one key and tie in
+    an order of their own, and a null group is a group.
     """
     if cap <= 0:
         return df
-    groups = df.select(by).distinct()
-    small = groups.limit(max_broadcast + 1).count() <= max_broadcast
-    hint = F.broadcast if small else (lambda table: table)
-    work = df.withColumns({"__k": order.key, "__group": F.struct(by)})
-    slim = work.select("__group", "__k", *order.tie)
-    # The one block per group where the cap falls.
+    key, tie = total_order(order, df)
+    block = F.shiftright("__k", order.shifts[0])
+    work = df.withColumns({"__k": key, "__group": F.struct(by)})
     found = (
-        counted_blocks(slim, order, by=["__group"])
+        counted_blocks(work.select("__group", "__k"), order, by=["__group"])
         .withColumn("__rank", F.lit(cap) - F.col("before"))
         .filter("__rank BETWEEN 1 AND n")
-        .select("__group", F.col("block").alias("__block"), "__rank")
+        .select("__group", F.col("block").alias("__cut"), "__rank")
     )
-    block = F.shiftright("__k", order.shifts[0])
-    rows = slim.withColumn("__block", block).join(hint(found), ["__group", "__block"])
-    w = W.partitionBy("__group", "__block").orderBy("__k", *order.tie)
-    last = (
-        rows.withColumn("__rn", F.row_number().over(w))
-        .filter(F.col("__rn") == F.col("__rank"))
-        .select("__group", F.struct("__k", *order.tie).alias("__cut"))
-    )
-    # A group with fewer rows than the cap has no cutoff and stays whole.
-    here = F.struct("__k", *order.tie)
-    kept = work.join(hint(last), "__group", "left")
-    return kept.filter(F.col("__cut").isNull() | (here <= F.col("__cut"))).select(*df.columns)
+    # A group with fewer rows than the cap has no such block and stays whole.
+    placed = work.withColumn("__block", block).join(found, "__group", "left")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    before = placed.filter(F.col("__cut").isNull() | (F.col("__block") < F.col("__cut"))).select(*names)
+    w = W.partitionBy("__group", "__block").orderBy("__k", *tie)
+    ranked = placed.filter(F.col("__block") == F.col("__cut")).withColumn("__rn", F.row_number().over(w))
+    return before.unionAll(ranked.filter(F.col("__rn") <= F.col("__rank")).select(*names))
 
 
 def load_source(spark: SparkSession, spec: SourceSpec, presence: str = "schema") -> DataFrame:
@@ -137,12 +127,23 @@ def load_source(spark: SparkSession, spec: SourceSpec, presence: str = "schema")
     return prepare_source(read_corpus(spark, spec), spec, presence)
 
 
-def prepare_source(df: DataFrame, spec: SourceSpec, presence: str = "schema") -> DataFrame:
+def prepare_source(df: DataFrame, spec: SourceSpec, presence: str = "schema", stored: bool = False) -> DataFrame:
+    """Eligible rows of one source under ``id, source, category, format, messages, facts``.
+
+    Columns are renamed by ``column_map`` first. An id of whole numbers is a
+    bigint, any other stays as it is. A cap reads its input several times;
+    ``stored`` writes the eligible rows down before, for inputs that cost more
+    than a scan.
+    """
+    for theirs, ours in spec.column_map:
+        df = df.withColumnRenamed(theirs, ours)
     rows = keep_eligible(normalise(df, presence))
+    order = order_of(rows, spec.order_by)
     if spec.cap > 0:
-        rows = first_n(rows, by_column(spec.order_by), spec.cap)
+        rows = first_n(store(rows, "source") if stored else rows, order, spec.cap)
+    whole = isinstance(rows.schema[spec.order_by].dataType, T.IntegralType)
     return rows.select(
-        F.col(spec.order_by).cast("bigint").alias("id"),
+        (F.col(spec.order_by).cast("bigint") if whole else F.col(spec.order_by)).alias("id"),
         F.lit(spec.name).alias("source"),
         F.lit(spec.category).alias("category"),
         "format",
@@ -152,7 +153,9 @@ def prepare_source(df: DataFrame, spec: SourceSpec, presence: str = "schema") ->
 
 
 def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
-    """All rows of all parts; duplicates stay."""
+    """All rows of all parts; duplicates stay. Ids of different types become text."""
+    if len({p.schema["id"].dataType.simpleString() for p in parts if "id" in p.columns}) > 1:
+        parts = [p.withColumn("id", F.col("id").cast("string")) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), parts)
 
 

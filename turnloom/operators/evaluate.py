@@ -168,11 +168,15 @@ def compare_models(base: DataFrame, tuned: DataFrame) -> DataFrame:
 
 
 def compare_samples(base: DataFrame, tuned: DataFrame, on: str = "sample_id") -> DataFrame:
-    """Loss of both models beside each other for every sample scored by both."""
-    joined = base.select(on, F.col("loss").alias("base_loss"), "n_tokens").join(
-        tuned.select(on, F.col("loss").alias("tuned_loss")), on
+    """Loss of both models beside each other for every sample.
+
+    One that a single model scored stays, with nulls for the other and no verdict.
+    """
+    joined = base.select(on, F.col("loss").alias("base_loss"), F.col("n_tokens").alias("__n")).join(
+        tuned.select(on, F.col("loss").alias("tuned_loss"), F.col("n_tokens").alias("__m")), on, "full"
     )
     gain = F.col("base_loss") - F.col("tuned_loss")
-    return joined.withColumns(
-        {"improvement": gain, "verdict": F.when(gain > 0, "better").otherwise("worse")}
+    return joined.select(
+        on, "base_loss", F.coalesce("__n", "__m").alias("n_tokens"), "tuned_loss", gain.alias("improvement"),
+        F.when(gain > 0, "better").when(gain <= 0, "worse").alias("verdict"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.config import PrepConfig
 from turnloom.functions.messages import (
     conversation_facts,
+    has_facts,
     inject_system,
     is_eligible,
     needs_system,
@@ -29,13 +30,13 @@ from turnloom.functions.tokens import (
 )
 
 SKIP_REASONS = (
-    "unrecognised", "missing_role", "empty", "no_assistant", "render_error", "too_short",
+    "unrecognised", "missing_role", "empty", "no_assistant", "render_error", "empty_target", "too_short",
 )
 
 
 def with_facts(df: DataFrame) -> DataFrame:
     """Add ``facts`` unless the source already measured the whole conversation."""
-    if "facts" in df.columns:
+    if has_facts(df):
         return df
     return df.withColumn("facts", conversation_facts(F.col("messages")))
 
@@ -49,7 +50,11 @@ def message_skip_reason(cfg: PrepConfig, template: ChatTemplate | None) -> Colum
     reason = reason.when(facts["n_messages"] == 0, "empty")
     reason = reason.when(~facts["has_assistant"], "no_assistant")
     rejected = template.rejects(facts) if template else facts["malformed"]
-    return reason.when(rejected, "render_error")
+    reason = reason.when(rejected, "render_error")
+    if cfg.reject_empty_target:
+        answer = F.get("messages", facts["last_assistant"].cast("int"))["content"]
+        reason = reason.when(answer == "", "empty_target")
+    return reason
 
 
 def keep_eligible(df: DataFrame) -> DataFrame:
@@ -58,18 +63,8 @@ def keep_eligible(df: DataFrame) -> DataFrame:
     return df.filter(is_eligible(F.col("facts")))
 
 
-def _enough_messages(max_seq_len: int) -> Column:
-    """The messages, which may be the head of a longer conversation only if no
-    later one can reach an example. Anything shorter fails the job."""
-    needed = F.least(F.col("facts")["n_messages"], F.lit(max_seq_len))
-    short = F.raise_error(F.lit("assemble at least max_seq_len messages per conversation"))
-    return F.when(F.array_size("messages") < needed, short).otherwise(F.col("messages"))
-
-
 def prepare_messages(df: DataFrame, cfg: PrepConfig, template: ChatTemplate | None) -> DataFrame:
     """Add ``skip_reason``, the prompted messages and the answer's position."""
-    if "facts" in df.columns:
-        df = df.withColumn("messages", _enough_messages(cfg.max_seq_len))
     df = with_facts(df).withColumn("skip_reason", message_skip_reason(cfg, template))
     facts, prompt = F.col("facts"), cfg.system_prompt
     shift = F.when(needs_system(facts["has_system"], prompt), 1).otherwise(0)
@@ -111,7 +106,8 @@ def computed_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _finish(df: DataFrame, labels: Column, too_short: Column) -> DataFrame:
     df = df.withColumn("labels", labels).withColumn("n_unmasked", count_unmasked(F.col("labels")))
-    failed = too_short | (F.col("n_unmasked") == 0)
+    # A length that is not known is no length to mask by.
+    failed = F.coalesce(too_short | (F.col("n_unmasked") == 0), F.lit(True))
     df = df.withColumn(
         "skip_reason", F.coalesce("skip_reason", F.when(failed, F.lit("too_short")))
     )

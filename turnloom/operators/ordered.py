@@ -4,9 +4,8 @@ A DataFrame has no order, so every operator here takes a ``RowOrder``: a bigint
 key, a tie-break, and the bit shifts that cut the key into nested blocks. Rows
 are only ever sorted inside their finest block; sums or counts per block are
 combined one level up at a time. So one group may own any share of the table:
-with unique keys a window over rows never holds more than 4,096 of them, and
-one over block totals at most 2**24 (2**27 at the top, for ids that use all of
-63 bits; a single total for ids below 2**36).
+with unique keys no window holds more than 65,536 rows or block totals, the top
+one included, even for ids that use all of 63 bits.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
@@ -30,7 +30,7 @@ class RowOrder:
 
     key: Column
     tie: tuple[str, ...] = ()
-    shifts: tuple[int, ...] = (12, 36)
+    shifts: tuple[int, ...] = (16, 32, 48)
 
 
 def shuffle_key(*ids: str, seed: int = DEFAULT_SEED) -> Column:
@@ -49,6 +49,11 @@ def by_column(name: str, *tie: str) -> RowOrder:
     return RowOrder(F.col(name).cast("bigint"), tie)
 
 
+def order_of(df: DataFrame, name: str) -> RowOrder:
+    """Order by a column: whole numbers by value, anything else by hash, then value."""
+    return by_column(name) if isinstance(df.schema[name].dataType, T.IntegralType) else shuffled(name)
+
+
 def _preceding(window: WindowSpec, sums: list[str], lags: list[str]) -> dict[str, Column]:
     """Exclusive sums and previous values along a window, as ``__o`` columns."""
     before = window.rowsBetween(W.unboundedPreceding, -1)
@@ -183,27 +188,37 @@ def counted_blocks(
 
 
 def cutoff(df: DataFrame, order: RowOrder, position: Callable[[Column], Column]) -> Column:
-    """Order key of the row at a 1-based position, as a scalar.
+    """Order key of the row at a 1-based position, as a literal.
 
-    ``position`` maps the number of rows to the position wanted. Finds the block
-    by counting and sorts only that one, so selecting by the result never moves
-    the rows themselves. Null if there is no such row.
+    ``position`` maps the number of rows to the position wanted. Counts keys per
+    block and sorts only the block with the position; both run here and now, and
+    one row comes back, so that the rows themselves never move and the plan that
+    compares with the key does not count again. Null if there is no such row.
+    The keys are read twice, so hand in a stored table or a cheap one.
     """
     slim = df.select(order.key.alias("__k"), *order.tie)
     rank = position(F.col("total")).cast("bigint") - F.col("before")
-    found = (
-        counted_blocks(slim, order, total="total")
-        .select("block", "n", rank.alias("rank"))
-        .filter("rank BETWEEN 1 AND n")
-        .select(F.struct("block", "rank"))
-        .scalar()
-    )
+    found = _block_at(slim, order, rank)
     block = F.shiftright("__k", order.shifts[0])
-    w = W.partitionBy(block).orderBy("__k", *order.tie)
-    ranked = slim.filter(block == found["block"]).withColumn("__rn", F.row_number().over(w))
     # A bare key where there is no tie-break: file scans can compare with that.
     key = F.struct("__k", *order.tie) if order.tie else F.col("__k")
-    return ranked.filter(F.col("__rn") == found["rank"]).select(key).scalar()
+    kind = slim.select(key.alias("key")).schema["key"].dataType
+    row = None
+    if found is not None:
+        w = W.partitionBy(block).orderBy("__k", *order.tie)
+        ranked = slim.filter(block == found["block"]).withColumn("__rn", F.row_number().over(w))
+        row = ranked.filter(F.col("__rn") == found["rank"]).select(key.alias("key")).first()
+    if row is None:
+        return F.lit(None).cast(kind)
+    if not order.tie:
+        return F.lit(row["key"])
+    return F.struct(*[F.lit(row["key"][f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+
+def _block_at(slim: DataFrame, order: RowOrder, rank: Column) -> Row | None:
+    """The block in which a position falls and the position in it, worked out at once."""
+    counted = counted_blocks(slim, order, total="total").select("block", "n", rank.alias("rank"))
+    return counted.filter("rank BETWEEN 1 AND n").select("block", "rank").first()
 
 
 def not_after(order: RowOrder, cut: Column) -> Column:
@@ -216,10 +231,41 @@ def not_after(order: RowOrder, cut: Column) -> Column:
     return order.key <= cut
 
 
+_LAST_KEY = 2**63 - 1
+
+
+def total_order(order: RowOrder, df: DataFrame) -> tuple[Column, list[Column]]:
+    """Key and tie of rows that may lack a key or repeat one: null keys come
+    last, and what the tie leaves open is ordered by the other whole numbers of
+    the row. Texts are not read for it; rows that differ in those alone may
+    stand in for each other."""
+    key = F.coalesce(order.key, F.lit(_LAST_KEY))
+    numbers = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    return key, [order.key.isNull(), *[F.col(c) for c in order.tie], *numbers]
+
+
 def first_n(df: DataFrame, order: RowOrder, n: int) -> DataFrame:
-    """The first ``n`` rows, or all of them if there are fewer."""
-    cut = cutoff(df, order, lambda total: F.least(F.lit(n).cast("bigint"), total))
-    return df.filter(not_after(order, cut))
+    """Exactly the first ``n`` rows, or all of them if there are fewer.
+
+    Null keys come last; of rows with one key and tie as many are taken as are
+    wanted. The block in which the count falls is found at once, from counts of
+    keys; blocks before it are taken by a plain comparison, which file scans take
+    over, and only that block is ranked. The input is read more than once, so
+    hand in a stored table or a cheap one.
+    """
+    key, tie = total_order(order, df)
+    rank = F.least(F.lit(n).cast("bigint"), F.col("total")) - F.col("before")
+    found = _block_at(df.select(key.alias("__k")), order, rank)
+    if found is None:
+        return df.limit(0)
+    size = 1 << order.shifts[0]
+    first = found["block"] * size
+    before = df.filter(order.key < F.lit(first))
+    last = first + size > _LAST_KEY
+    block = order.key.isNull() | (order.key >= F.lit(first)) if last else (order.key >= F.lit(first)) & (order.key < F.lit(first + size))
+    w = W.partitionBy(F.shiftright(key, order.shifts[0])).orderBy(key, *tie)
+    ranked = df.filter(block).withColumn("__rn", F.row_number().over(w))
+    return before.unionAll(ranked.filter(F.col("__rn") <= found["rank"]).select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def last_of_each(

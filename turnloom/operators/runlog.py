@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.config import RunConfig, ScheduleConfig
+from turnloom.config import LogSettings, ScheduleConfig
 from turnloom.functions.schedule import learning_rate, scaled_rate
+from turnloom.operators.examples import computed_once
 from turnloom.operators.ordered import by_column, last_of_each, ordered_scan
 
 # The layout of console lines.
@@ -18,16 +19,16 @@ STEP_LINE = (
     rf" \| {_NUMBER} tok/s \| {_NUMBER} ms/step$"
 )
 EVAL_LINE = rf"Eval @ step (\d+): val_loss={_NUMBER}, train_val_gap={_NUMBER}"
+STEP_LAYOUT = "Step %6d | Loss %.4f | LR %.2e | GradNorm %.4f | %.0f tok/s | %.0f ms/step"
+EVAL_LAYOUT = "  └─ Eval @ step %d: val_loss=%.4f, train_val_gap=%+.4f"
 STEP_FIELDS = ("step", "loss", "lr", "grad_norm", "tokens_per_sec", "step_time_ms")
 EVAL_FIELDS = ("step", "val_loss", "train_val_gap")
 
 
-def _numbers(line: Column, pattern: str, names: Sequence[str]) -> dict[str, Column]:
-    """All numbers of a matching line from one pass of its pattern."""
-    groups = ",".join(f"${i}" for i in range(1, len(names) + 1))
-    parts = F.split(F.regexp_replace(line, f"^.*?{pattern.removeprefix('^')}.*$", groups), ",")
-    kinds = ["bigint" if n == "step" else "double" for n in names]
-    return {n: F.get(parts, F.lit(i)).try_cast(k) for i, (n, k) in enumerate(zip(names, kinds))}
+def _groups(line: Column, pattern: str, n: int) -> Column:
+    """All groups of a matching line from one pass of its pattern."""
+    groups = ",".join(f"${i}" for i in range(1, n + 1))
+    return F.split(F.regexp_replace(line, f"^.*?{pattern.removeprefix('^')}.*$", groups), ",")
 
 
 def parse_console(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -38,14 +39,19 @@ def parse_console(lines: DataFrame, line: str = "value") -> DataFrame:
     text = F.col(line)
     is_step, is_eval = F.rlike(text, F.lit(STEP_LINE)), F.rlike(text, F.lit(EVAL_LINE))
     kind = F.when(is_step, "step").when(is_eval, "eval").otherwise("other")
-    out = lines.withColumn("kind", kind)
+    # One array per line, worked out once however many fields are read from it.
     step, evaluation = F.col("kind") == "step", F.col("kind") == "eval"
-    steps, evals = _numbers(text, STEP_LINE, STEP_FIELDS), _numbers(text, EVAL_LINE, EVAL_FIELDS)
-    fields = {n: F.when(step, c) for n, c in steps.items()}
-    for name, value in evals.items():
-        value = F.when(evaluation, value)
+    parts = F.when(step, _groups(text, STEP_LINE, len(STEP_FIELDS))).when(evaluation, _groups(text, EVAL_LINE, len(EVAL_FIELDS)))
+    out = computed_once(computed_once(lines.withColumn("kind", kind), ["kind"]).withColumn("__parts", parts), ["__parts"])
+
+    def field(names: Sequence[str], name: str) -> Column:
+        return F.get("__parts", F.lit(names.index(name))).try_cast("bigint" if name == "step" else "double")
+
+    fields = {n: F.when(step, field(STEP_FIELDS, n)) for n in STEP_FIELDS}
+    for name in EVAL_FIELDS:
+        value = F.when(evaluation, field(EVAL_FIELDS, name))
         fields[name] = F.coalesce(fields[name], value) if name in fields else value
-    return out.withColumns(fields)
+    return out.withColumns(fields).drop("__parts")
 
 
 def console_steps(parsed: DataFrame) -> DataFrame:
@@ -61,13 +67,12 @@ def console_evals(parsed: DataFrame) -> DataFrame:
 def format_step_line(step: Column, loss: Column, lr: Column, grad_norm: Column,
                      tokens_per_sec: Column, step_time_ms: Column) -> Column:
     """One console line of a step record."""
-    layout = "Step %6d | Loss %.4f | LR %.2e | GradNorm %.4f | %.0f tok/s | %.0f ms/step"
-    return F.format_string(layout, step, loss, lr, grad_norm, tokens_per_sec, step_time_ms)
+    return F.format_string(STEP_LAYOUT, step, loss, lr, grad_norm, tokens_per_sec, step_time_ms)
 
 
 def format_eval_line(step: Column, val_loss: Column, gap: Column) -> Column:
     """One console line of an evaluation."""
-    return F.format_string("  └─ Eval @ step %d: val_loss=%.4f, train_val_gap=%+.4f", step, val_loss, gap)
+    return F.format_string(EVAL_LAYOUT, step, val_loss, gap)
 
 
 def latest_attempts(log: DataFrame, version: Sequence[str] = ("ts",)) -> DataFrame:
@@ -75,22 +80,24 @@ def latest_attempts(log: DataFrame, version: Sequence[str] = ("ts",)) -> DataFra
     return last_of_each(log, ("run_id", "step"), version)
 
 
-def step_losses(micro_log: DataFrame, run: RunConfig = RunConfig()) -> DataFrame:
+def step_losses(micro_log: DataFrame, run: LogSettings = LogSettings()) -> DataFrame:
     """Step loss as the sum of micro-batch losses over the accumulation count."""
-    share = F.col("loss") / F.lit(float(run.grad_accum_steps))
+    share = F.col("loss") / F.lit(float(run.accumulation))
     return micro_log.groupBy("run_id", "step").agg(F.sum(share).alias("loss"))
 
 
 def step_times(
-    log: DataFrame, run: RunConfig = RunConfig(), starts: DataFrame | None = None
+    log: DataFrame, run: LogSettings = LogSettings(), starts: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``prev_step, step_time_s, nominal_tok_s, after_pause``.
+    """Add ``prev_step, steps_elapsed, step_time_s, nominal_tok_s, after_pause``.
 
-    Time runs from the previous record of the run; the first one has none unless
+    Time runs from the previous record of the run, and is that of one step on
+    average where the log leaves steps out; the first record has none unless
     ``starts`` (``run_id, step, ts``) tells when the loop began. Throughput is
     nominal: full sequences, whatever they held; with an ``n_tokens`` column
-    ``actual_tok_s`` is added. ``after_pause`` marks steps that are charged with
-    the evaluation or checkpoint that followed the step before.
+    (tokens of a step) ``actual_tok_s`` is added. ``after_pause`` marks records
+    that are charged with an evaluation or checkpoint, which follows any of the
+    steps from the previous record on.
     """
     rows = log
     if starts is not None:
@@ -106,17 +113,17 @@ def step_times(
     )
     if starts is not None:
         timed = timed.filter(~F.col("__start")).drop("__start")
-    seconds = F.col("ts") - F.col("__prev_ts")
+    elapsed = F.col("step") - F.col("prev_step")
+    seconds = F.try_divide(F.col("ts") - F.col("__prev_ts"), elapsed)
     paused = F.lit(False)
-    for interval in (run.eval_interval, run.checkpoint_interval):
-        if interval > 0:
-            paused = paused | (F.col("prev_step") % interval == 0)
-    timed = timed.withColumn("step_time_s", seconds).withColumns(
+    for interval in (k for k in run.pause_every if k > 0):
+        # A multiple among prev_step .. step - 1, step 0 aside.
+        first, last = F.greatest(F.col("prev_step"), F.lit(1)) - 1, F.col("step") - 1
+        paused = paused | (F.floor(last / interval) > F.floor(first / interval))
+    timed = timed.withColumns({"steps_elapsed": elapsed, "step_time_s": seconds}).withColumns(
         {
-            "nominal_tok_s": F.try_divide(
-                F.lit(float(run.nominal_tokens_per_step)), F.col("step_time_s")
-            ),
-            "after_pause": F.coalesce(paused & (F.col("prev_step") > 0), F.lit(False)),
+            "nominal_tok_s": F.try_divide(F.lit(float(run.tokens_per_step)), F.col("step_time_s")),
+            "after_pause": F.coalesce(paused & F.col("prev_step").isNotNull(), F.lit(False)),
         }
     )
     if "n_tokens" in log.columns:

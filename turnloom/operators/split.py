@@ -42,6 +42,31 @@ def without(df: DataFrame, held_out: DataFrame, ids: Sequence[str]) -> DataFrame
     return df.join(held_out.select(*ids), list(ids), "left_anti")
 
 
+def content_digest(text: Column) -> Column:
+    """md5 of a text in lower case with runs of blanks as one blank."""
+    return F.md5(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))))
+
+
+def heldout_overlap(held_out: DataFrame, train: DataFrame, text: str = "text") -> DataFrame:
+    """Held-out rows whose normalised text is in the training rows too.
+
+    A semi join of digests: a text that many rows share is one digest on the
+    training side, and no pair of rows is ever made. Null texts overlap nothing.
+    """
+    seen = train.select(content_digest(F.col(text)).alias("__digest")).distinct()
+    rows = held_out.withColumn("__digest", content_digest(F.col(text)))
+    return rows.join(seen, "__digest", "left_semi").drop("__digest")
+
+
+def overlap_rate(held_out: DataFrame, train: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """``n_held_out, n_overlap, overlap_rate``, in the table or per group."""
+    digest = content_digest(F.col(text))
+    seen = train.select(digest.alias("__digest")).distinct().withColumn("__seen", F.lit(1))
+    rows = held_out.select(*by, digest.alias("__digest")).join(seen, "__digest", "left")
+    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_held_out"), F.count("__seen").alias("n_overlap"))
+    return counted.withColumn("overlap_rate", F.try_divide("n_overlap", "n_held_out"))
+
+
 def seeded_sample(
     df: DataFrame, ids: Sequence[str], n: int, seed: int = DEFAULT_SEED
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.config import RunConfig, ScheduleConfig
+from turnloom.config import EVAL_EVERY, ScheduleConfig
 from turnloom.functions.schedule import learning_rate, scaled_rate
 from turnloom.functions.tokens import WhitespaceTokenizer
 from turnloom.operators.chatlog import CHAT, CHAT_STREAM, GENERATE, chunk_line, request_body
@@ -17,8 +17,8 @@ from turnloom.sources.turns import assemble_turns
 MODELS = ("base", "tuned")
 
 
-def conversations(t: Tables, max_messages: int = 1024) -> DataFrame:
-    return assemble_turns(t.conversations, dense=True, max_messages=max_messages)
+def conversations(t: Tables) -> DataFrame:
+    return assemble_turns(t.conversations, dense=True)
 
 
 def head_and_rest(text: Column) -> tuple[Column, Column]:
@@ -46,6 +46,16 @@ def instruction_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def both_layouts(docs: DataFrame) -> DataFrame:
+    """doc_id with the columns of prompt rows and of instruction rows, from one row each."""
+    prompt, rest = head_and_rest(F.col("text"))
+    extra, output = head_and_rest(rest)
+    return docs.select(
+        "doc_id", prompt.alias("prompt"), rest.alias("completion"), prompt.alias("instruction"),
+        F.when(F.col("doc_id") % 3 == 0, "").otherwise(extra).alias("input"), output.alias("output"),
+    )
+
+
 def sharegpt_rows(t: Tables) -> DataFrame:
     """Turns as from/value in even conversations and role/content in odd ones,
     with ``system`` speakers renamed to one no role map knows."""
@@ -128,10 +138,10 @@ def micro_log(t: Tables) -> DataFrame:
     )
 
 
-def eval_log(steps: DataFrame, run: RunConfig = RunConfig()) -> DataFrame:
+def eval_log(steps: DataFrame) -> DataFrame:
     """Validation loss at every evaluation step of a step log."""
     val_loss = F.col("loss") * 0.5 + 1
-    return every_nth_step(steps, run.eval_interval).select(
+    return every_nth_step(steps, EVAL_EVERY).select(
         "run_id", "step", val_loss.alias("val_loss"), (F.col("loss") - val_loss).alias("train_val_gap")
     )
 
@@ -166,15 +176,23 @@ def chunks(t: Tables) -> DataFrame:
     """Assistant turns as streamed chunks, a word each with the blanks after it.
 
     An empty chunk comes first. Turns of even conversations end with the end
-    marker and a stray chunk behind it.
+    marker and a stray chunk behind it. A broken line comes before the end in
+    every other pair of conversations, and every third one repeats a chunk.
     """
     words = F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))
     lines = F.transform(F.concat(F.array(F.lit("")), words), chunk_line)
     end = F.array(F.lit("data: [DONE]"), F.lit('data: {"content":"late"}'))
+    broken = F.array(F.lit('data: {"content": "cut o'))
+    lines = F.when((F.col("conv_id") % 4).isin(1, 2), F.concat(lines, broken)).otherwise(lines)
     lines = F.when(F.col("conv_id") % 2 == 0, F.concat(lines, end)).otherwise(lines)
     turns = t.spread("conversations", "conv_id", "turn", "role", "text")
     turns = turns.filter(F.col("role") == "assistant")
-    return turns.select(
+    sent = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        (F.col("conv_id") % 3 == 0).alias("twice"),
         F.posexplode(lines).alias("seq", "raw"),
-    ).withColumn("seq", F.col("seq").cast("bigint"))
+    )
+    copies = F.when(F.col("twice") & (F.col("seq") == 1), 2).otherwise(1)
+    return sent.select(
+        "request_id", F.col("seq").cast("bigint").alias("seq"), "raw", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")
+    ).drop("__copy")

@@ -21,9 +21,16 @@ def scoring_inputs(
     tokenizer: Tokenizer = WhitespaceTokenizer(),
     max_len: int = SCORING_MAX_SEQ_LEN,
 ) -> DataFrame:
-    """Add ``input_ids`` and ``n_tokens`` of the rendered instruction pair."""
+    """Add ``input_ids`` and ``n_tokens`` of the rendered instruction pair, and ``skip_reason``.
+
+    A pair of which one half is null is a ``render_error`` and has no ids, like
+    a conversation with a null message.
+    """
+    half = F.col("instruction").isNull() | F.col("output").isNull()
     pair = evaluation_pair(F.col("instruction"), F.col("output"))
-    df = rows.withColumn("__text", template.render(pair))
+    df = rows.withColumns(
+        {"skip_reason": F.when(half, "render_error"), "__text": F.when(~half, template.render(pair))}
+    )
     df = tokenizer.encode(df, "__text", "input_ids", max_len, {}).drop("__text")
     return df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
 
@@ -35,6 +42,7 @@ def score_sample(
     n_samples: int = 100,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """``loss`` and ``n_tokens`` of a seeded sample of instruction pairs."""
+    """``loss`` and ``n_tokens`` of a seeded sample of instruction pairs; half pairs in it are not scored."""
     sample = seeded_sample(rows, [id_col], n_samples, seed)
-    return score_rows(scoring_inputs(sample), load).drop("input_ids")
+    good = scoring_inputs(sample).filter(F.col("skip_reason").isNull())
+    return score_rows(good, load).drop("input_ids", "skip_reason")

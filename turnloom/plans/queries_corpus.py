@@ -14,13 +14,15 @@ from turnloom.functions.messages import (
     select_prompt,
 )
 from turnloom.functions.template import render_plain
-from turnloom.operators.corpus import cap_per_group, concatenate, normalise, prepare_source
+from turnloom.operators.corpus import cap_per_group, concatenate, load_mixture, normalise, prepare_source
 from turnloom.operators.examples import keep_eligible, render_texts
-from turnloom.operators.ordered import by_column, first_n, global_index, shuffle_key, shuffled
-from turnloom.operators.split import exact_split, hash_split, seeded_sample, without
+from turnloom.operators.ordered import by_column, first_n, global_index, order_of, shuffle_key, shuffled
+from turnloom.operators.split import exact_split, hash_split, heldout_overlap, overlap_rate, seeded_sample, without
 from turnloom.plans import derive, sql
+from turnloom.plans.prepare import prepare_corpus
 from turnloom.plans.registry import Tables, query
 from turnloom.sources.readers import read_corpus
+from turnloom.sources.sinks import new_folder, store
 
 THINKING = "Reason first, then answer."
 
@@ -81,9 +83,7 @@ def format_dispatch(t: Tables):
     Rows of the two list layouts hold prompt and completion as well, which the
     order of precedence must ignore.
     """
-    pairs = derive.prompt_rows(t.documents).join(
-        derive.instruction_rows(t.documents).drop("source"), "doc_id"
-    )
+    pairs = derive.both_layouts(t.documents)
     kind = F.col("doc_id") % 5
     prompt, completion = F.col("prompt"), F.col("completion")
     speakers = F.array(
@@ -231,7 +231,7 @@ def mixture(t: Tables):
         derive.prompt_rows(t.documents).drop("source"),
         derive.instruction_rows(t.documents).drop("source"),
     )
-    return concatenate([prepare_source(df, spec) for df, spec in zip(tables, MIXTURE)])
+    return concatenate([prepare_source(df, spec, stored=bool(spec.cap) and i == 0) for i, (df, spec) in enumerate(zip(tables, MIXTURE))])
 
 
 _MIXTURE_SQL = f"""chats AS (
@@ -249,7 +249,7 @@ mixture AS (
     "mixture_union",
     f"""WITH {_MIXTURE_SQL}
         SELECT source, category, format, count(*) AS n_rows, sum(n_messages)::BIGINT AS n_messages,
-               max(id)::BIGINT AS last_id
+               max(id)::BIGINT AS last_id, sum(id)::BIGINT AS ids
         FROM mixture GROUP BY source, category, format""",
 )
 def mixture_union(t: Tables):
@@ -257,6 +257,7 @@ def mixture_union(t: Tables):
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("facts.n_messages").alias("n_messages"),
         F.max("id").alias("last_id"),
+        F.sum("id").alias("ids"),
     )
 
 
@@ -287,7 +288,8 @@ def source_caps(t: Tables):
        HAVING bool_or(role = 'user') AND bool_or(role = 'assistant') ORDER BY conv_id LIMIT 50""",
 )
 def eligible_cap(t: Tables):
-    return first_n(keep_eligible(derive.conversations(t)), by_column("conv_id"), 50).select("conv_id")
+    eligible = keep_eligible(derive.conversations(t)).select("conv_id")
+    return first_n(store(eligible, "eligible"), by_column("conv_id"), 50)
 
 
 @query("shuffle_order", f"SELECT doc_id, {sql.hash_key('doc_id')} AS shuffle_key FROM documents")
@@ -316,9 +318,14 @@ def split_sql(ratio: float = 0.05) -> str:
   FROM facts WHERE has_user AND has_assistant)"""
 
 
+def eligible_ids(t: Tables):
+    """Ids of eligible conversations, written once: a split looks at them several times."""
+    return store(keep_eligible(derive.conversations(t)).select("conv_id"), "eligible")
+
+
 @query("exact_split", f"WITH {sql.FACTS}, {split_sql()} SELECT conv_id, split FROM split_rows")
 def split_rows(t: Tables):
-    return exact_split(keep_eligible(derive.conversations(t)), ["conv_id"]).select("conv_id", "split")
+    return exact_split(eligible_ids(t), ["conv_id"])
 
 
 @query(
@@ -336,8 +343,8 @@ def split_documents(t: Tables):
     f"WITH {sql.FACTS}, {split_sql()} SELECT conv_id FROM split_rows WHERE split = 'train'",
 )
 def train_anti_join(t: Tables):
-    rows = exact_split(keep_eligible(derive.conversations(t)), ["conv_id"])
-    everything = keep_eligible(derive.conversations(t)).select("conv_id")
+    everything = eligible_ids(t)
+    rows = exact_split(everything, ["conv_id"])
     return without(everything, rows.filter(F.col("split") == "eval"), ["conv_id"])
 
 
@@ -373,3 +380,110 @@ def facts_of_arrays(t: Tables):
         "conv_id", facts["n_messages"].alias("n_messages"), facts["last_assistant"].alias("last_assistant"),
         facts["alternates"].alias("alternates"),
     )
+
+
+@query(
+    "string_ids_cap",
+    f"""SELECT source, doc_name, doc_id FROM (
+          SELECT source, 'd-' || doc_id AS doc_name, doc_id, row_number() OVER (ORDER BY {sql.hash_key("'d-' || doc_id")}, 'd-' || doc_id) AS rn FROM documents)
+        WHERE rn <= 77""",
+)
+def string_ids_cap(t: Tables):
+    """A cap over ids that are no numbers: by hash of the id."""
+    docs = t.documents.select("source", F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("doc_name"), "doc_id")
+    return first_n(docs, order_of(docs, "doc_name"), 77)
+
+
+@query(
+    "caps_of_any_keys",
+    """WITH keyed AS (SELECT source, CASE WHEN doc_id % 7 > 0 THEN doc_id // 5 END AS k FROM documents),
+       ranked AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k NULLS LAST) AS rn FROM keyed)
+       SELECT source, count(*) AS n_rows, count(k) AS n_keyed, coalesce(sum(k), 0)::BIGINT AS keys FROM ranked WHERE rn <= 40 GROUP BY source""",
+)
+def caps_of_any_keys(t: Tables):
+    """Caps where keys repeat or are missing: the number of rows is exact."""
+    key = F.when(F.col("doc_id") % 7 > 0, F.floor(F.col("doc_id") / 5).cast("bigint"))
+    capped = cap_per_group(t.documents.select("source", key.alias("k")), "source", by_column("k"), 40)
+    return capped.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("k").alias("n_keyed"), F.coalesce(F.sum("k"), F.lit(0)).alias("keys")
+    )
+
+
+_HELD = f"""sides AS (
+  SELECT source, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest, doc_id,
+         row_number() OVER (ORDER BY {sql.hash_key('doc_id', seed=7)}, doc_id) > count(*) OVER () - greatest(1, trunc(count(*) OVER () * 0.2::DOUBLE)) AS held
+  FROM documents)"""
+
+
+def _sides(t: Tables):
+    docs = t.documents.select("doc_id", "source", "text")
+    parts = exact_split(docs, ["doc_id"], SplitConfig(0.2, 7))
+    return (parts.filter(F.col("split") == side).drop("split") for side in ("eval", "train"))
+
+
+@query(
+    "heldout_overlap",
+    f"WITH {_HELD} SELECT doc_id, source FROM sides WHERE held AND digest IN (SELECT digest FROM sides WHERE NOT held)",
+)
+def overlapping(t: Tables):
+    return heldout_overlap(*_sides(t)).select("doc_id", "source")
+
+
+@query(
+    "heldout_overlap_rate",
+    f"""WITH {_HELD} SELECT source, count(*) AS n_held_out, count(*) FILTER (WHERE digest IN (SELECT digest FROM sides WHERE NOT held)) AS n_overlap,
+          count(*) FILTER (WHERE digest IN (SELECT digest FROM sides WHERE NOT held)) / count(*)::DOUBLE AS overlap_rate
+        FROM sides WHERE held GROUP BY source""",
+)
+def overlap_rates(t: Tables):
+    return overlap_rate(*_sides(t), by=["source"])
+
+
+def _written_corpora(t: Tables) -> list[SourceSpec]:
+    """Documents as two stored corpora: one split by folder with columns of other names, one by a split column with text ids."""
+    root = new_folder(t.spark, "corpora")
+    side = F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train")
+    pairs = derive.prompt_rows(t.documents).withColumns({"question": F.col("prompt"), "reply": F.col("completion"), "side": side})
+    for name in ("train", "test"):
+        pairs.filter(F.col("side") == name).select("doc_id", "question", "reply").write.parquet(f"{root}/pairs/{name}")
+    told = derive.instruction_rows(t.documents).withColumn("key", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    told.select("key", "instruction", "input", "output", side.alias("split")).write.parquet(f"{root}/told")
+    return [
+        SourceSpec("pairs", root + "/pairs/{split}", split="test", order_by="doc_id", column_map=(("question", "prompt"), ("reply", "completion"))),
+        SourceSpec("told", f"{root}/told", cap=120, order_by="key"),
+    ]
+
+
+_LOADED = f"""loaded AS (
+  SELECT 'pairs' AS source, doc_id::VARCHAR AS id, 'user=' || {sql.HEAD} || '|assistant=' || {sql.REST} AS chat, {sql.HEAD} AS ask, {sql.REST} AS answer FROM documents WHERE doc_id % 4 = 0
+  UNION ALL SELECT 'told', key, 'user=' || ask || '|assistant=' || answer, ask, answer FROM (
+    SELECT 'k' || doc_id AS key, {sql.HEAD} || CASE WHEN doc_id % 3 = 0 OR {sql.EXTRA} = '' THEN '' ELSE chr(10) || chr(10) || {sql.EXTRA} END AS ask, {sql.AFTER_EXTRA} AS answer,
+           row_number() OVER (ORDER BY {sql.hash_key("'k' || doc_id")}, 'k' || doc_id) AS rn
+    FROM documents WHERE doc_id % 4 > 0) WHERE rn <= 120)"""
+
+
+@query("loaded_mixture", f"WITH {_LOADED} SELECT source, id, md5(chat) AS digest FROM loaded")
+def loaded_mixture(t: Tables):
+    """Sources read as a user reads them: split by folder or column, renamed, capped, with ids of two types."""
+    return load_mixture(t.spark, _written_corpora(t)).select("source", "id", _flat())
+
+
+@query(
+    "prepared_corpus",
+    f"""WITH {_LOADED}, texts AS (
+          SELECT source, id, answer, {sql.rendered("'system'", f"'{DEFAULT_SYSTEM_PROMPT}'")} || {sql.rendered("'user'", 'ask')} AS head,
+                 row_number() OVER (ORDER BY {sql.hash_key('source', 'id')}, source, id) > count(*) OVER () - greatest(1, trunc(count(*) OVER () * 0.05::DOUBLE)) AS held
+          FROM loaded),
+        enc AS (
+          SELECT *, {sql.token_ids(sql.tokens("(head || " + sql.rendered("'assistant'", 'answer') + ")") + '[1:256]')} AS ids,
+                 least(256, len({sql.tokens("(head || '<|assistant|>' || chr(10))")})) AS prompt_len FROM texts)
+        SELECT source, id, CASE WHEN held THEN 'eval' ELSE 'train' END AS split,
+               CASE WHEN answer = '' THEN 'empty_target' WHEN prompt_len >= len(ids) THEN 'too_short' END AS skip_reason,
+               CASE WHEN answer <> '' AND prompt_len < len(ids) THEN list_sum(ids)::BIGINT END AS ids_sum
+        FROM enc""",
+)
+def prepared_corpus(t: Tables):
+    """The whole main path over stored corpora; empty answers are skipped here."""
+    made = prepare_corpus(t.spark, _written_corpora(t), PrepConfig(max_seq_len=256, reject_empty_target=True))
+    total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return made.select("source", "id", "split", "skip_reason", F.when(F.col("skip_reason").isNull(), total).alias("ids_sum"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from turnloom.functions.tokens import WhitespaceTokenizer
@@ -13,14 +9,12 @@ from turnloom.operators.evaluate import (
     compare_models,
     compare_samples,
     first_batches_mean_loss,
-    generate_responses,
     generation_previews,
     generation_summary,
     mean_loss,
     new_tokens,
     perplexity_summary,
     running_perplexity,
-    score_rows,
     with_speed,
 )
 from turnloom.operators.ordered import by_column
@@ -106,12 +100,13 @@ def model_comparison(t: Tables):
     "sample_comparison",
     f"""WITH {sql.SCORES}
         SELECT sample_id, round(b.loss, 9) AS base_loss, round(u.loss, 9) AS tuned_loss, round(b.loss - u.loss, 9) AS improvement,
-               CASE WHEN b.loss - u.loss > 0 THEN 'better' ELSE 'worse' END AS verdict
-        FROM (SELECT * FROM scores WHERE model = 'base') b JOIN (SELECT * FROM scores WHERE model = 'tuned') u USING (sample_id)""",
+               CASE WHEN b.loss - u.loss > 0 THEN 'better' WHEN b.loss - u.loss <= 0 THEN 'worse' END AS verdict
+        FROM (SELECT * FROM scores WHERE model = 'base' AND sample_id % 13 > 0) b
+        FULL JOIN (SELECT * FROM scores WHERE model = 'tuned' AND sample_id % 17 > 0) u USING (sample_id)""",
 )
 def sample_comparison(t: Tables):
     scores = derive.scores(t)
-    base, tuned = (scores.filter(F.col("model") == m) for m in derive.MODELS)
+    base, tuned = (scores.filter((F.col("model") == m) & (F.col("sample_id") % k > 0)) for m, k in zip(derive.MODELS, (13, 17)))
     return compare_samples(base, tuned).select(
         "sample_id", *[F.round(c, 9).alias(c) for c in ("base_loss", "tuned_loss", "improvement")], "verdict"
     )
@@ -119,66 +114,18 @@ def sample_comparison(t: Tables):
 
 @query(
     "scoring_pairs",
-    f"""SELECT doc_id, len(ids)::BIGINT AS n_tokens, list_sum(ids)::BIGINT AS ids_sum FROM (
-          SELECT doc_id, {sql.token_ids(sql.tokens(sql.rendered("'user'", sql.HEAD) + ' || ' + sql.rendered("'assistant'", sql.AFTER_EXTRA)) + '[1:2048]')} AS ids
+    f"""SELECT doc_id, CASE WHEN whole THEN NULL ELSE 'render_error' END AS skip_reason, CASE WHEN whole THEN len(ids) END::BIGINT AS n_tokens,
+               CASE WHEN whole THEN list_sum(ids) END::BIGINT AS ids_sum FROM (
+          SELECT doc_id, doc_id % 11 > 1 AS whole, {sql.token_ids(sql.tokens(sql.rendered("'user'", sql.HEAD) + ' || ' + sql.rendered("'assistant'", sql.AFTER_EXTRA)) + '[1:2048]')} AS ids
           FROM documents)""",
 )
 def scoring_pairs(t: Tables):
     docs = t.spread("documents", "doc_id", "source", "text")
-    ids = scoring_inputs(derive.instruction_rows(docs))
+    rows = derive.instruction_rows(docs)
+    halves = {"output": F.when(F.col("doc_id") % 11 != 0, F.col("output")), "instruction": F.when(F.col("doc_id") % 11 != 1, F.col("instruction"))}
+    ids = scoring_inputs(rows.withColumns(halves))
     total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return ids.select("doc_id", "n_tokens", total.alias("ids_sum"))
-
-
-def load_hash_scorer(model: str):
-    """A stand-in for a model: the loss is a hash of model and sample."""
-
-    def load():
-        def score(batch: pd.DataFrame) -> pd.Series:
-            digests = [hashlib.md5(f"{model}:{i}".encode()).hexdigest() for i in batch["sample_id"]]
-            return pd.Series([int(d[:4], 16) / 65535.0 * 4 for d in digests], index=batch.index)
-
-        return score
-
-    return load
-
-
-@query(
-    "plugin_scores",
-    f"""WITH {sql.SCORES}
-        SELECT sample_id, n_tokens::BIGINT AS n_tokens, round(loss, 9) AS loss FROM scores WHERE model = 'tuned'""",
-)
-def plugin_scores(t: Tables):
-    docs = t.spread("documents", "doc_id", "text").select(
-        F.col("doc_id").alias("sample_id"), WhitespaceTokenizer().count(F.col("text")).alias("n_tokens")
-    )
-    return score_rows(docs, load_hash_scorer("tuned")).withColumn("loss", F.round("loss", 9))
-
-
-def load_echo_generator():
-    """A stand-in for a model: says the prompt back.
-
-    The loader is made here so that it travels to the workers by value.
-    """
-
-    def load():
-        def generate(prompt: str) -> tuple[str, int]:
-            return f"You said: {prompt}", len(re.findall(r"\S+", prompt, re.ASCII))
-
-        return generate
-
-    return load
-
-
-@query(
-    "plugin_generations",
-    f"""SELECT doc_id, md5('You said: ' || {sql.HEAD}) AS digest, len({sql.tokens(sql.HEAD)})::BIGINT AS tokens, true AS timed FROM documents""",
-)
-def plugin_generations(t: Tables):
-    prompts = derive.prompt_rows(t.documents).select("doc_id", "prompt")
-    return generate_responses(prompts, load_echo_generator()).select(
-        "doc_id", F.md5("response").alias("digest"), "tokens", (F.col("latency_s") >= 0).alias("timed")
-    )
+    return ids.select("doc_id", "skip_reason", "n_tokens", total.alias("ids_sum"))
 
 
 _GENERATIONS = f"""generations AS (

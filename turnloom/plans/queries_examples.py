@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.config import IGNORE_INDEX, PrepConfig
 from turnloom.functions.template import ChatTemplate
-from turnloom.functions.tokens import BpeTokenizer, WhitespaceTokenizer
+from turnloom.functions.tokens import WhitespaceTokenizer
 from turnloom.operators.examples import (
     build_examples,
     build_plain_examples,
@@ -32,7 +31,7 @@ def _total(ids: str):
 
 
 def sft_examples(t: Tables, cfg: PrepConfig = PrepConfig()):
-    return build_examples(derive.conversations(t, cfg.max_seq_len), cfg)
+    return build_examples(derive.conversations(t), cfg)
 
 
 def _columns(examples):
@@ -125,54 +124,11 @@ def last_assistant(t: Tables):
 )
 def plain_examples(t: Tables):
     cfg = PrepConfig(max_seq_len=256)
-    return kept(build_plain_examples(derive.conversations(t, 256), cfg)).select(
+    return kept(build_plain_examples(derive.conversations(t), cfg)).select(
         "conv_id", "n_tokens", "n_unmasked", _total("input_ids").alias("ids_sum"), _total("labels").alias("labels_sum")
     )
 
 
-def byte_tokenizer() -> BpeTokenizer:
-    """A BPE definition without merges: one token per UTF-8 byte, ids 0 to 255."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    # Byte-level vocabularies write unprintable bytes as code points from 256 on.
-    symbols = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return BpeTokenizer(
-        json.dumps(
-            {
-                "version": "1.0",
-                "truncation": None,
-                "padding": None,
-                "added_tokens": [],
-                "normalizer": None,
-                "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-                "post_processor": None,
-                "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-                "model": {
-                    "type": "BPE", "dropout": None, "unk_token": None,
-                    "continuing_subword_prefix": None, "end_of_word_suffix": None,
-                    "fuse_unk": False, "byte_fallback": False,
-                    "vocab": {symbols[b]: b for b in range(256)}, "merges": [],
-                },
-            }
-        )
-    )
-
-
-@query(
-    "bpe_examples",
-    f"""WITH {sql.FACTS}, {sql.TEXTS}, enc AS (
-          SELECT conv_id, least(4096, strlen(full_text)) AS n_tokens, least(4096, strlen(prompt_text)) AS prompt_len
-          FROM texts WHERE eligible)
-        SELECT conv_id, n_tokens::BIGINT AS n_tokens, prompt_len::BIGINT AS prompt_len, (n_tokens - prompt_len)::BIGINT AS n_unmasked
-        FROM enc WHERE prompt_len < n_tokens""",
-)
-def bpe_examples(t: Tables):
-    rows = build_examples(
-        keep_eligible(derive.conversations(t, 4096)), PrepConfig(max_seq_len=4096), tokenizer=byte_tokenizer()
-    )
-    return kept(rows).select("conv_id", "n_tokens", "prompt_len", "n_unmasked")
-
-
 @query(
     "skip_counts",
     f"""{sql.examples(256)}
@@ -245,7 +201,7 @@ def render_errors(t: Tables):
         FROM split_rows JOIN examples USING (conv_id) GROUP BY split""",
 )
 def counts(t: Tables):
-    rows = exact_split(keep_eligible(derive.conversations(t, 512)), ["conv_id"])
+    rows = exact_split(keep_eligible(derive.conversations(t)), ["conv_id"])
     return sample_counts(build_examples(rows, PrepConfig(max_seq_len=512)), by=["split"])
 
 

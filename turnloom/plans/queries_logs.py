@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnloom.config import DEFAULT_SYSTEM_PROMPT, RunConfig
+from turnloom.config import DEFAULT_SYSTEM_PROMPT, LOG_EVERY
 from turnloom.operators.chatlog import read_requests, reassemble_responses
 from turnloom.operators.runlog import (
     audit_learning_rate,
@@ -126,27 +126,40 @@ def micro_losses(t: Tables):
     return step_losses(derive.micro_log(t)).withColumn("loss", F.round("loss", 6))
 
 
-@query(
-    "step_times",
-    f"""WITH {sql.RUN_LOG}, timed AS (
-          SELECT run_id, step, ts - lag(ts) OVER w AS dt, lag(step) OVER w AS prev_step FROM run_log
+def _times_sql(records: str) -> str:
+    """Time, throughput and pauses, with the steps of every pause counted one by one."""
+    return f"""WITH {sql.RUN_LOG}, records AS (SELECT * FROM run_log WHERE {records}), timed AS (
+          SELECT run_id, step, ts - lag(ts) OVER w AS dt, lag(step) OVER w AS prev_step FROM records
           WINDOW w AS (PARTITION BY run_id ORDER BY step))
-        SELECT run_id, step, prev_step, round(dt, 6) AS step_time_s, round(2048.0 / nullif(dt, 0), 3) AS nominal_tok_s,
-               coalesce(prev_step > 0 AND (prev_step % 100 = 0 OR prev_step % 50 = 0), false) AS after_pause FROM timed""",
-)
-def timing(t: Tables):
-    return step_times(derive.run_log(t)).select(
-        "run_id", "step", "prev_step", F.round("step_time_s", 6).alias("step_time_s"),
+        SELECT run_id, step, prev_step, step - prev_step AS steps_elapsed, round(dt / (step - prev_step), 6) AS step_time_s,
+               round(2048.0 * (step - prev_step) / nullif(dt, 0), 3) AS nominal_tok_s,
+               coalesce(len(list_filter(range(prev_step, step), lambda s: s > 0 AND (s % 100 = 0 OR s % 50 = 0))) > 0, false) AS after_pause FROM timed"""
+
+
+def _rounded_times(log):
+    return step_times(log).select(
+        "run_id", "step", "prev_step", "steps_elapsed", F.round("step_time_s", 6).alias("step_time_s"),
         F.round("nominal_tok_s", 3).alias("nominal_tok_s"), "after_pause",
     )
 
 
+@query("step_times", _times_sql("true"))
+def timing(t: Tables):
+    return _rounded_times(store(derive.run_log(t), "run-log"))
+
+
+@query("step_times_decimated", _times_sql("step % 10 = 0"))
+def timing_of_a_decimated_log(t: Tables):
+    """The log as runs write it: every tenth step only."""
+    return _rounded_times(store(every_nth_step(derive.run_log(t), LOG_EVERY), "run-log"))
+
+
 @query(
     "log_records",
     f"WITH {sql.RUN_LOG} SELECT run_id, step, loss, round(lr, 12) AS lr FROM run_log WHERE step % 10 = 0",
 )
 def log_records(t: Tables):
-    records = every_nth_step(derive.run_log(t), RunConfig().log_interval)
+    records = every_nth_step(derive.run_log(t), LOG_EVERY)
     return records.select("run_id", "step", "loss", F.round("lr", 12).alias("lr"))
 
 
@@ -204,10 +217,11 @@ def request_log(t: Tables):
 @query(
     "reassembled_responses",
     f"""SELECT conv_id * 1000 + turn AS request_id, md5(regexp_replace(text, '^\\s+', '')) AS digest,
-               len({sql.tokens('text')})::BIGINT AS n_chunks, conv_id % 2 = 0 AS complete
+               len({sql.tokens('text')})::BIGINT AS n_chunks, CASE WHEN conv_id % 4 IN (1, 2) THEN 1 ELSE 0 END::BIGINT AS n_malformed,
+               conv_id % 4 = 0 AS complete
         FROM conversations WHERE role = 'assistant'""",
 )
 def responses(t: Tables):
     return reassemble_responses(derive.chunks(t)).select(
-        "request_id", F.md5("response").alias("digest"), "n_chunks", "complete"
+        "request_id", F.md5("response").alias("digest"), "n_chunks", "n_malformed", "complete"
     )

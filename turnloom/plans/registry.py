@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,6 +32,13 @@ class Tables:
         return spread(getattr(self, name).select(*columns), columns[0])
 
 
+def with_shared_folder(spark: SparkSession) -> SparkSession:
+    """The session, which names a shared folder: its own, or on one machine a new one where it has none."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="turnloom-"))
+    return spark
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,7 +49,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(with_shared_folder(spark), folder))
         if sql is not None:
             ORACLES[name] = sql
         return fn

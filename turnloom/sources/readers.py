@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.config import SourceSpec
@@ -62,6 +63,11 @@ def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL_LOG_SCHEMA).json(path)
 
 
-def read_console(spark: SparkSession, path: str) -> DataFrame:
-    """Console output, one ``value`` per line."""
-    return spark.read.text(path)
+RUN_ID_OF_FILE = r"([^/]+?)(?:\.[A-Za-z]+)?$"
+
+
+def read_console(spark: SparkSession, path: str, run_id: str = RUN_ID_OF_FILE) -> DataFrame:
+    """Console output, one ``value`` per line, with its ``run_id``: the first
+    group of a pattern in the file's path, by default the file's name."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__path"))
+    return lines.select("value", F.regexp_extract("__path", run_id, 1).alias("run_id"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.config import DEFAULT_MAX_SEQ_LEN
 from turnloom.operators.ordered import by_column, global_index
 
 
@@ -25,20 +24,18 @@ def assemble_turns(
     order: str = "turn",
     role: str = "role",
     content: str = "text",
-    max_messages: int = DEFAULT_MAX_SEQ_LEN,
     dense: bool = False,
 ) -> DataFrame:
     """``key, messages, facts`` per conversation, in one shuffle.
 
-    ``messages`` holds the first ``max_messages`` turns and ``facts`` describes
-    all of them. Every rendered message is at least one token, so with
-    ``max_messages >= max_seq_len`` no later turn can reach an example, and a
-    conversation of any length stays one bounded row: its other turns only
-    enter the facts, which are combined before the shuffle.
+    ``messages`` holds every turn, however many there are, and ``facts``
+    describes them. The facts are combined before the shuffle, so a plan that
+    asks for them alone moves no text.
 
     ``dense`` says that turns are numbered 0, 1, 2, ... without gaps. That is
-    checked, and a conversation that breaks it fails the job. Otherwise turns
-    are renumbered first, at the price of one more shuffle.
+    checked in the facts and in the messages, and a conversation that breaks it
+    fails the job. Otherwise turns are renumbered first, at the price of one
+    more shuffle.
     """
     if not dense:
         turns = number_turns(turns, key, order, "__turn")
@@ -58,8 +55,11 @@ def assemble_turns(
 
     message = f"struct({at} AS i, {who} AS role, {what} AS content)"
     grouped = turns.groupBy(key).agg(
-        F.expr(f"array_sort(collect_list(CASE WHEN {at} < {max_messages} THEN {message} END)) AS __head"),
-        F.expr("count(*) AS n_messages"),
+        F.expr(f"array_sort(collect_list({message})) AS __turns"),
+        F.expr("count(*) AS __n"),
+        # Numbers that are 0..n-1: by count, ends, sum and sum of squares.
+        F.expr(f"count({at}) AS __numbered"), F.expr(f"min({at}) AS __lo"), F.expr(f"max({at}) AS __hi"),
+        F.expr(f"sum({at}) AS __sum"), F.expr(f"sum(CAST({at} AS DECIMAL(19, 0)) * {at}) AS __squares"),
         any_true(is_role("user"), "has_user"),
         any_true(is_role("assistant"), "has_assistant"),
         any_true(is_role("system"), "has_system"),
@@ -71,14 +71,18 @@ def assemble_turns(
             f" ELSE bool_or({off_beat(0)}) END, false) AS alternates"
         ),
     )
+    n = "CAST(__n AS DECIMAL(19, 0))"
+    wrong = f"raise_error('turns are not numbered 0..n-1 in ' || string(`{key}`))"
+    checked = (
+        f"CASE WHEN __numbered = __n AND __lo = 0 AND __hi = __n - 1 AND 2 * __sum = {n} * (__n - 1)"
+        f" AND 6 * __squares = {n} * (__n - 1) * (2 * __n - 1) THEN __n ELSE {wrong} END AS n_messages"
+    )
     return grouped.select(
         F.col(key),
         F.expr(
-            f"CASE WHEN transform(__head, m -> bigint(m.i)) = sequence(0L, least(n_messages, {max_messages}L) - 1)"
-            " THEN transform(__head, m -> struct(m.role AS role, m.content AS content))"
-            f" ELSE raise_error('turns are not numbered 0..n-1 in ' || string(`{key}`)) END AS messages"
-        ),
-        F.expr(
-            "struct(n_messages, has_user, has_assistant, has_system, last_assistant, malformed, alternates) AS facts"
+            "CASE WHEN transform(__turns, m -> bigint(m.i)) = sequence(0L, __n - 1)"
+            " THEN transform(__turns, m -> struct(m.role AS role, m.content AS content))"
+            f" ELSE {wrong} END AS messages"
         ),
+        F.expr(f"struct({checked}, has_user, has_assistant, has_system, last_assistant, malformed, alternates) AS facts"),
     )
