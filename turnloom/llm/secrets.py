@@ -35,7 +35,7 @@ ALPHABET = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcd
 _CANDIDATE = rf"{ASSIGN}|(?<!{RUN})(?=[A-Za-z+/_-]*+[0-9]){RUN}{{{MIN_RUN},}}"
 
 #: Looks random and is none: UUIDs, numbers with signs, placeholders, counting or repeating strings, paths, digests of nothing.
-ALLOWED = "|".join([
+ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_-]+$",
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]?|xxxx|lorem",
@@ -44,7 +44,7 @@ ALLOWED = "|".join([
     r"^/?([A-Za-z0-9_-]{1,14}/)+[A-Za-z0-9_-]{0,14}$",
     r"^([A-Za-z]+[_-])+[A-Za-z0-9]{0,8}$",
     r"^d41d8cd98f00b204e9800998ecf8427e|^da39a3ee5e6b4b0d3255bfef95601890afd80709|^e3b0c44298fc1c149afbf4c8996fb924",
-])
+)
 
 
 def running_sum(numbers: Column) -> Column:
@@ -99,7 +99,7 @@ def _suspicious(candidate: Column) -> Column:
     hexadecimal = candidate.rlike("^[0-9a-fA-F]+$")
     bits = F.when(hexadecimal, window_bits(F.lower(candidate), ALPHABET["hex"]) >= MIN_BITS["hex"]).otherwise(
         window_bits(candidate, ALPHABET["base64"]) >= MIN_BITS["base64"])
-    return F.when(bare & ~known & ~candidate.rlike(ALLOWED), bits).otherwise(False)
+    return F.when(bare & ~known & ~candidate.rlike("|".join(f"(?:{p})" for p in ALLOWED)), bits).otherwise(False)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +150,41 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-@query("op7_secrets")
+def _oracle() -> str:
+    """The same spans in SQL: matches and the text between them give places, windows are counted one by one."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    rules = {1: ASSIGN, 2: f"{ACCESS[:-1]}{{{MIN_ACCESS - 4},}}", 3: f"{HEX[:-1]}{{{MIN_HEX},}}", 4: f"{ASSIGN}|{RUN}{{{MIN_RUN},}}"}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS rank, regexp_extract_all(t, {quote(p)}) AS m, regexp_extract_all(t, {quote(p)}, {2 if n == 1 else 0}) AS v, string_split_regex(t, {quote(p)}) AS g FROM texts"
+        for n, p in rules.items())
+    allowed = " OR ".join(f"regexp_matches(s, {quote(p)})" for p in ALLOWED if "\\1" not in p)
+    listed = lambda which: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER ({which}), '')"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+matches AS (
+  SELECT doc_id, rank, [{", ".join(quote(k) for k in KINDS)}][rank] AS kind, m[i] AS s, v[i] AS value,
+         (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found)),
+placed AS (SELECT *, start + length(s) AS stop FROM matches WHERE rank <> 1 OR length(value) >= {MIN_VALUE}),
+candidates AS (
+  SELECT DISTINCT s FROM placed
+  WHERE rank = 4 AND regexp_full_match(s, {quote(f"{RUN}{{{MIN_RUN},}}")}) AND regexp_matches(s, '[0-9]')
+    AND NOT regexp_matches(s, {quote(rules[2])}) AND NOT regexp_matches(s, {quote(rules[3])}) AND NOT ({allowed})
+    AND NOT list_bool_or(list_transform(range(1, 9), lambda k: length(s) % k = 0 AND length(s) > k AND repeat(substr(s, 1, k), (length(s) // k)::BIGINT) = s))),
+classed AS (SELECT s, regexp_full_match(s, '[0-9a-fA-F]+') AS is_hex FROM candidates),
+windows AS (SELECT s, is_hex, CASE WHEN is_hex THEN lower(s) ELSE s END AS c, unnest(generate_series(1, length(s) - {WINDOW - 1})) AS p FROM classed),
+counts AS (
+  SELECT s, is_hex, p, x, count(*) AS n FROM (SELECT s, is_hex, p, substr(c, p + j, 1) AS x FROM windows, range({WINDOW}) r(j)) GROUP BY ALL),
+bits AS (SELECT s, is_hex, p, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS b FROM counts GROUP BY ALL),
+suspicious AS (SELECT s FROM bits GROUP BY s, is_hex HAVING round(max(b), 6) >= CASE WHEN is_hex THEN {MIN_BITS["hex"]} ELSE {MIN_BITS["base64"]} END),
+spans AS (SELECT * FROM placed WHERE rank < 4 OR s IN (SELECT s FROM suspicious))
+SELECT doc_id, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access, count(*) FILTER (rank = 3) AS n_hex,
+       sha256({listed("rank < 4")}) AS base_sha256, {listed("rank < 5")} AS spans
+FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op7_secrets", _oracle())
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_secrets(table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
