@@ -103,12 +103,8 @@ def read_model(data: bytes) -> PieceModel:
     return PieceModel(pieces, scores, kinds, model_type, dummy, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], kinds.index(UNKNOWN))
 
 
-# Blanks, then what is no blank: no piece goes over the border between two such words.
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-
-
 class PieceCodec:
-    LIMIT = 400_000     # words remembered; the memory starts anew beyond
+    LIMIT = 800_000     # words remembered; the memory starts anew beyond
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -118,7 +114,16 @@ class PieceCodec:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.lowest = min((model.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Blanks, then what is no blank: no piece goes over the border between two such words, nor over a line break if none has one.
+        letters = set().union(*self.ids)
+        self.word = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if "\n" in letters else f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}   # characters that some piece joins
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(BLANK, " ").encode()
+                         for p, k in zip(model.pieces, model.kinds)]
+        order = sorted(self.ids.values(), key=lambda i: -model.scores[i])
+        self.rank = dict(zip(order, range(len(order))))     # when a piece is made: the smaller, the earlier
+        self.known: dict[str, list[int]] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.steps = self._merge_steps if model.model_type == BPE else self._best_sum
@@ -158,8 +163,11 @@ class PieceCodec:
 
     # -- bpe
 
-    def merge(self, word: str) -> list[str]:
-        """Merging as the model defines it: of all neighbours that form a piece, the best score first, the leftmost of equals."""
+    def merge(self, word: str, but: str | None = None) -> list[str]:
+        """Merging as the model defines it: of all neighbours that form a piece, the best score first, the leftmost of equals.
+
+        ``but`` is a piece that is not to be made.
+        """
         ids, scores = self.ids, self.model.scores
         parts: list[str | None] = list(word)
         left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
@@ -168,7 +176,7 @@ class PieceCodec:
         def offer(a: int, b: int) -> None:
             if a >= 0 and b < len(parts):
                 both = parts[a] + parts[b]
-                if both in ids:
+                if both in ids and both != but:
                     heapq.heappush(heap, (-scores[ids[both]], a, both, b))
 
         for k in range(len(parts) - 1):
@@ -185,13 +193,41 @@ class PieceCodec:
             offer(a, right[a])
         return [p for p in parts if p is not None]
 
+    def _parts(self, i: int) -> tuple[int, int] | None:
+        """The two pieces whose merging makes a piece; none for a character."""
+        if i not in self.made_of:
+            p = self.model.pieces[i]
+            two = self.merge(p, but=p) if len(p) > 1 else []
+            self.made_of[i] = (self.ids[two[0]], self.ids[two[1]]) if len(two) == 2 else None
+        return self.made_of[i]
+
     def _may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the text of both gives both again.
+
+        Seen backwards in time, the piece made last falls apart first. While the
+        two pieces at the border stood side by side, nothing may have joined
+        them; ``until`` is when one of them was used up.
+        """
         ok = self.follows.get((a, b))
-        if ok is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            x, y = self.model.pieces[a], self.model.pieces[b]
-            ok = self.follows[a, b] = self.merge(x + y) == [x, y]
+        if ok is not None:
+            return ok
+        if len(self.follows) > 1_000_000:
+            self.follows.clear()
+        pieces, ids, rank = self.model.pieces, self.ids, self.rank
+        x, y, until, ok = a, b, len(rank) + 1, True
+        while True:
+            both = ids.get(pieces[x] + pieces[y])
+            if both is not None and rank[both] < until:
+                ok = False
+                break
+            px, py = self._parts(x), self._parts(y)
+            if px is None and py is None:
+                break
+            if py is None or px is not None and rank[x] > rank[y]:
+                until, x = rank[x], px[1]       # of equal pieces the left one is made first
+            else:
+                until, y = rank[y] + 1, py[0]
+        self.follows[a, b] = ok
         return ok
 
     def _is_whole(self, i: int) -> bool:
@@ -223,48 +259,45 @@ class PieceCodec:
 
     # -- texts
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> list[int]:
         m, out, at = self.model, [], 0
+        if len(word) > 2 and not word[-1].isalnum() and word[-2:] not in self.neighbours:
+            return self._known(word[:-1]) + self._known(word[-1])   # no piece goes over this border
         for i in self.steps(word):
             if i >= 0:
                 out.append(i)
                 at += len(m.pieces[i])
             else:
                 if m.byte_ids:
-                    out.extend(m.byte_ids[b] for b in word[at].encode("utf-8", "replace"))
+                    out.extend([m.byte_ids[b] for b in word[at].encode("utf-8", "replace")])
                 else:
                     out.append(m.unknown_id)
                 at += 1
-        return tuple(out)
+        return out
+
+    def _known(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._word(word)
+            if len(word) <= 64:
+                if len(self.known) > self.LIMIT:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         text = text.replace(" ", BLANK)
         known, out = self.known, []
-        for w in _WORD.findall(BLANK + text if self.model.dummy_prefix else text):
-            ids = known.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) <= 64:
-                    if len(known) > self.LIMIT:
-                        known.clear()
-                    known[w] = ids
-            out += ids
+        for w in self.word.findall(BLANK + text if self.model.dummy_prefix else text):
+            out += known.get(w) or self._known(w)
         return out
 
     def decode(self, ids: list[int]) -> str:
-        m, out = self.model, bytearray()
-        for i in ids:
-            kind = m.kinds[i]
-            if kind == BYTE:
-                out.append(int(m.pieces[i][3:5], 16))
-            elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += m.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if m.dummy_prefix and text.startswith(" ") else text
+        of = self.bytes_of
+        text = b"".join([of[i] for i in ids]).decode("utf-8", "replace")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
 _CODECS: dict[int, PieceCodec] = {}
