@@ -15,10 +15,16 @@ from turnloom.llm.sentencepiece_codec import default_model, encode_pieces
 FOREIGN_SHARE, FOREIGN_GRAMS = 0.25, 200
 
 
-def _with_text(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``docs``' columns with another text and its length."""
-    new = {"text": F.col(text), "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col(text)}
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+def _shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under neutral names, which clash with no result of an operator, and the name that each column has now."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _restored(rows: DataFrame, names: dict[str, str], docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` again; with another text also its length."""
+    new = {} if text is None else {"text": F.col(text), "n_chars": F.char_length(text)}
+    return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,48 +33,54 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null texts and texts without a letter go, and longer ones of whose n-grams
     hardly any is known to the best language.
     """
-    shipped(spark)
-    judged = identify(docs, keep=docs.columns)
+    rows, names = _shielded(docs)
+    judged = identify(rows, names["doc_id"], names["text"], names["lang"], keep=rows.columns)
     foreign = (F.col("n_grams") >= FOREIGN_GRAMS) & (F.col("score") < FOREIGN_SHARE)
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & ~foreign).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _restored(judged.where((F.col("lang_pred") != UNDETERMINED) & ~foreign), names, docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stay in a later one. A document may keep an empty text; a null one becomes empty."""
-    shipped(spark)
-    return _with_text(drop_repeated_lines(docs, keep=docs.columns), docs, "kept_text")
+    rows, names = _shielded(docs)
+    return _restored(drop_repeated_lines(rows, names["doc_id"], names["text"], keep=rows.columns), names, docs, "kept_text")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of smallest id; empty ones are no group."""
-    shipped(spark)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))  # one shuffle of the texts serves the join and the repeated rows
-    ids = near_duplicates(docs).where("kept").select(key.alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(ids, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near-duplicates, the one of smallest id; empty ones are no group. Repeated rows become one."""
+    rows, names = _shielded(docs)
+    key = F.coalesce(names["doc_id"], F.lit(-(1 << 63)))  # one shuffle of the texts serves the join and the repeated rows
+    ids = near_duplicates(rows, names["doc_id"], names["text"]).where("kept").select(key.alias("key")).distinct()
+    kept = rows.withColumn("key", key).join(ids, "key", "left_semi").dropDuplicates(["key", names["text"]])
+    return _restored(kept, names, docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words inside benchmark windows; nothing else of a text changes."""
-    shipped(spark)
-    found = find_windows(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return _with_text(without_spans(found, "text"), docs, "clean_text")
+    rows, names = _shielded(docs)
+    found = find_windows(rows, table(spark, sf_dir, "benchmark"), names["text"], keep=rows.columns)
+    return _restored(without_spans(found, names["text"]), names, docs, "clean_text")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it again."""
-    shipped(spark)
-    coded = encode_pieces(docs, default_model(), keep=docs.columns)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+    rows, names = _shielded(docs)
+    coded = encode_pieces(rows, default_model(), names["doc_id"], names["text"], keep=rows.columns)
+    return coded.select(*[F.col(names[c]).alias(c) for c in ("doc_id", "lang", "source")], F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+                        (F.col("decoded") == F.coalesce(names["text"], F.lit(""))).alias("same_text"))
+
+
+def _ready(stage):
+    """A stage whose tasks can import this package."""
+    return lambda spark, docs, sf_dir: stage(shipped(spark), docs, sf_dir)
 
 
 STAGES = [
-    ("language ID", keep_known_languages),
-    ("line dedup", drop_lines),
-    ("MinHash near-dedup", keep_one_of_each_group),
-    ("benchmark decontamination", cut_benchmark_passages),
-    ("SentencePiece encoding and decoding", encode),
+    ("language ID", _ready(keep_known_languages)),
+    ("line dedup", _ready(drop_lines)),
+    ("MinHash near-dedup", _ready(keep_one_of_each_group)),
+    ("benchmark decontamination", _ready(cut_benchmark_passages)),
+    ("SentencePiece encoding and decoding", _ready(encode)),
 ]
 
 #: The learned stages have no SQL; the pipeline is tested against a brute-force version.

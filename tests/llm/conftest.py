@@ -30,7 +30,7 @@ def llm(spark):
 def edge(llm):
     """Nulls, empty and very long texts, ties, repeated rows, and columns named like those of operators and helpers."""
     df = llm.createDataFrame(EDGE, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
-    return df.withColumns({c: F.lit(c) for c in ("id", "key", "line", "pos", "size", "sig", "m1", "part", "version", "ids_", "quality_")})
+    return df.withColumns({c: F.lit(c) for c in ("id", "key", "line", "pos", "size", "sig", "m1", "part", "version", "ids", "score", "lang_pred", "held_out", "n_grams", "spans", "items", "n_words", "kept_text", "n_lines", "decoded", "kept", "n", "c0")})
 
 
 @pytest.fixture(scope="session")
