@@ -81,10 +81,11 @@ def test_large_keys_are_refined_without_loss(llm, monkeypatch):
 def test_pairs_below_the_distance_share_two_keys(llm, wrong):
     rng = np.random.default_rng(wrong)
     for _ in range(5):
-        a = rng.integers(0, 1 << 16, nd.SYMBOLS).astype("<u2")
+        a = rng.integers(0, 1 << nd.SYMBOL_BITS, nd.SYMBOLS)
         b = a.copy()
-        b[rng.permutation(nd.SYMBOLS)[:wrong]] ^= 1 << 15
-        row = llm.createDataFrame([(a.view("<i8").tolist(), b.view("<i8").tolist())], "a array<long>, b array<long>").select(
+        b[rng.permutation(nd.SYMBOLS)[:wrong]] ^= 1 << int(rng.integers(nd.SYMBOL_BITS))
+        packed = [(x.reshape(-1, 4) << np.arange(0, 4 * nd.LANE, nd.LANE)).sum(1).tolist() for x in (a, b)]
+        row = llm.createDataFrame([tuple(packed)], "a array<long>, b array<long>").select(
             nd.distance(F.col("a"), F.col("b")).alias("d"), F.size(F.array_intersect(nd.chunk_keys(F.col("a")), nd.chunk_keys(F.col("b")))).alias("n")).first()
         assert row.d == wrong and row.n >= 2
 

@@ -1,6 +1,6 @@
 """Near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
-A signature has 64 symbols of 16 bits, in 16 chunks of four. Two signatures that
+A signature has 64 symbols of 14 bits, in 16 chunks of four. Two signatures that
 differ in at most 29 symbols have at least two chunks with at most one wrong
 symbol (pigeonhole), so they share the keys "chunk without symbol i" of those
 chunks. Every pair below that distance therefore meets in a key, and a pair of
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,10 @@ from turnloom.llm.components import connected_components
 SHINGLE = 4
 PERCENT = 80
 SYMBOLS, CHUNKS = 64, 16
+SYMBOL_BITS, LANE = 14, 15      # a lane's top bit is free
 MAX_DISTANCE = 29
 STAR_ROUNDS = 2
-LARGE = 64          # members of different components from which a key is refined
+LARGE = 1000        # members of different components from which a key is refined
 _NO_ID = -(1 << 63)
 
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -47,46 +50,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, by digest; words met before are looked up."""
-
-    LIMIT = 400_000
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-
-
-_WORDS = WordHashes()
+_SPAN = 1 << 20     # bytes of text hashed at a time
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
+    if not _POWERS:
+        base = 0x9E3779B97F4A7C15
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(_SPAN + 1, b, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text's bytes: a polynomial from prefix sums, mixed; longer words than a span by digest."""
+    edge = np.diff(np.concatenate(([True], _BLANK[data], [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out = np.empty(len(starts), np.uint64)
+    up, down = _powers()
+    first = 0
+    while first < len(starts):
+        base = starts[first]
+        stop = int(np.searchsorted(ends, base + _SPAN, "right"))
+        if stop == first:
+            out[first] = int.from_bytes(hashlib.blake2b(data[base : ends[first]].tobytes(), digest_size=8).digest(), "little")
+            first += 1
+            continue
+        part = data[base : ends[stop - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        s, e = starts[first:stop] - base, ends[first:stop] - base
+        out[first:stop] = (sums[e] - sums[s]) * down[s]
+        first = stop
+    return _mixed(out + (ends - starts).astype(np.uint64) * _ODD[-1])
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a whole text; fewer words are one shingle, none are none."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
-    if not found:
+    words = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER), np.uint8))
+    if not len(words):
         return np.zeros(0, np.uint64)
-    words = _WORDS.of(found)
     size = min(size, len(words))
     n = len(words) - size + 1
     mix = np.full(n, size, np.uint64)
     for i in range(size):
-        mix = _mixed(mix * _ODD[i] + words[i : n + i])
-    return np.unique(mix)
+        mix = (mix ^ (mix >> np.uint64(29))) * _ODD[i] + words[i : n + i]
+    return np.unique(_mixed(mix))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """SYMBOLS minima, of each the 16 bits that a mix of it gives, four to a number."""
+    """SYMBOLS minima, of each the 14 bits that a mix of it gives; four to a number, in lanes of 15 bits."""
     low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), 4096):
         low = np.minimum(low, ((hashes[a : a + 4096, None] ^ _SEEDS) * _FACTORS).min(0))
-    return (_mixed(low) >> np.uint64(48)).astype("<u2").view("<i8")
+    symbols = (_mixed(low) >> np.uint64(64 - SYMBOL_BITS)).reshape(CHUNKS, 4)
+    return (symbols << np.arange(0, 4 * LANE, LANE, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +133,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def distance(a: Column, b: Column) -> Column:
     """Symbols in which two signatures differ."""
+    # A lane that is not zero carries into its top bit; the sum stays below 2**60.
+    carry = sum(((1 << SYMBOL_BITS) - 1) << LANE * i for i in range(4))
+    tops = sum(1 << LANE * i + SYMBOL_BITS for i in range(4))
+
     def differing(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        for step in (8, 4, 2, 1):   # bit 0 of each 16 becomes "any bit of them"
-            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001)))
+        return F.bit_count((x.bitwiseXOR(y) + F.lit(carry)).bitwiseAND(F.lit(tops)))
 
-    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda acc, n: acc + n.cast("int"))
+    # Written out chunk by chunk, which compiles; a function over arrays would be interpreted for each pair.
+    return reduce(add, [differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(CHUNKS)])
 
 
 def chunk_keys(sig: Column) -> Column:
     """Of every chunk, the four keys that leave one symbol out; chunk and symbol stand in its place."""
     def of(chunk: Column, number: Column) -> Column:
-        return F.array(*[chunk.bitwiseAND(F.lit(~(0xFFFF << 16 * i) if i < 3 else 0x0000FFFFFFFFFFFF)).bitwiseOR(
-            F.shiftleft((number * 4 + i).cast("bigint"), 16 * i)) for i in range(4)])
+        lanes = [((1 << LANE) - 1) << LANE * i for i in range(4)]
+        return F.array(*[chunk.bitwiseAND(F.lit(~lane)).bitwiseOR(F.shiftleft((number * 4 + i).cast("bigint"), LANE * i)) for i, lane in enumerate(lanes)])
 
     return F.flatten(F.transform(sig, of))
 
