@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from turnloom.llm.common import QUERIES, file_bytes, shared_folder
-from turnloom.llm.token_files import ChunkEncoder, TokenMatrix, default_tokenizer, read_token_files, write_matrix, write_token_files
+from turnloom.llm.token_files import ChunkEncoder, TokenMatrix, byte_bpe, default_tokenizer, read_token_files, write_matrix, write_token_files
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,33 @@ def test_edge_rows(llm, edge, nothing, library):
     out = shared_folder(llm)
     write_token_files(nothing, default_tokenizer(), out)
     assert read_token_files(llm, out).count() == 0
+
+
+def test_added_tokens_are_what_the_untouched_library_gives(llm):
+    untouched = Tokenizer.from_file(default_tokenizer())
+    end = "<|endoftext|>"
+    assert untouched.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(2)
+    parts = [end, end, end[:-1], end[1:], "<|", "|>", " ", "  ", "\n", "\xa0", "a", "the", "é", "'s", "!", "　", "1"]
+    texts = [f"a {end} b", end, end * 3, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2_000))]
+    ids, n = byte_bpe(file_bytes(default_tokenizer())).encode(texts)
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends):
+        assert ids[a:b].tolist() == untouched.encode(t, add_special_tokens=False).ids, t
+    docs = list(enumerate(texts[:50]))
+    out = shared_folder(llm)
+    write_token_files(llm.createDataFrame(docs, "doc_id long, text string"), default_tokenizer(), out)
+    assert sorted(map(tuple, read_token_files(llm, out).collect())) == expected(untouched, docs)
+
+
+def test_added_tokens_that_take_blanks():
+    from tokenizers import AddedToken
+
+    library = Tokenizer.from_file(default_tokenizer())
+    library.add_tokens([AddedToken("hello", normalized=False), AddedToken("[M]", lstrip=True, rstrip=True, normalized=False), AddedToken("cat", single_word=True, normalized=False)])
+    own = ChunkEncoder(library.to_str().encode(), special=True)
+    texts = ["hello", "say hello you", "helloworld hello<|endoftext|>hello", "a [M]  b", "[M]", "cat", "a cat", "concat <|endoftext|> cats cat."]
+    ids, n = own.encode(texts)
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t

@@ -151,15 +151,24 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
 
 
 class ChunkEncoder:
-    """Ids of whole texts by a byte-level BPE tokenizer; chunks met before are looked up."""
+    """Ids of whole texts by a byte-level BPE tokenizer; chunks met before are looked up.
+
+    Strings of the tokenizer's added tokens in a text become those tokens, as the
+    library does it; without ``special`` those of special tokens are ordinary text.
+    """
 
     LIMIT = 1_000_000     # chunks remembered; the memory starts anew beyond
 
-    def __init__(self, definition: bytes):
+    def __init__(self, definition: bytes, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        either = lambda tokens: re.compile("(" + "|".join(re.escape(t.content) for t in sorted(tokens, key=lambda t: -len(t.content))) + ")") if tokens else None
+        self.added = either(added)
+        # One that takes blanks around it, or depends on them, is left to the library with the whole text.
+        self.bound = either([t for t in added if t.lstrip or t.rstrip or t.single_word])
         self.model = self.tokenizer.model
         # A byte is a visible character of its own to the model: itself where it is one, else the next free one from 256 on.
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -179,7 +188,7 @@ class ChunkEncoder:
     def _ids_of(self, chunk: str) -> list[int]:
         """A Latin word, with or without a blank before and signs behind, is what the model is given for it; else the whole way."""
         word = _LATIN_WORD.fullmatch(chunk)
-        if word is None:
+        if word is None or self.added and self.added.search(chunk):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         blank, stem, signs = word.groups()
         if not stem.isascii():
@@ -206,11 +215,24 @@ class ChunkEncoder:
         self.used = int(ends[-1])
         self.known.update(zip(chunks, range(base, base + len(chunks))))
 
+    def _split(self, text: str) -> list[str]:
+        """Chunks that are encoded by themselves: added tokens, and what lies between borders."""
+        if self.added and self.added.search(text):
+            if self.bound and self.bound.search(text):
+                return [text]
+            parts = self.added.split(text)
+            return [c for i, p in enumerate(parts) for c in ([p] if i % 2 else self._chunks(p))]
+        return self._chunks(text)
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        return [text] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         if len(self.known) > self.LIMIT:
             self._forget()
-        split = [[t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        split = list(map(self._split, texts))
         chunks = list(chain.from_iterable(split))
         which = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(which < 0).tolist()
@@ -233,7 +255,7 @@ def byte_bpe(definition: bytes) -> ChunkEncoder:
     key = zlib.crc32(definition)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(definition)
+        _ENCODERS[key] = ChunkEncoder(definition, special=True)
     return _ENCODERS[key]
 
 
@@ -246,7 +268,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     ``folder`` becomes a table of one row per shard: range, number within the
     range, documents' ids, tokens and the file's bytes. Texts move once, to the
     range of their id; a shard has about ``shard_tokens`` tokens, of whole
-    documents. Null counts as empty: the end id alone. Null ids come first;
+    documents. Null counts as empty: the end id alone. The string of an added
+    token in a text is that token, as the library has it. Null ids come first;
     rows of one id follow each other by text. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
