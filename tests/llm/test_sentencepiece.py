@@ -54,3 +54,14 @@ def test_edge_rows(edge, nothing):
     for r in encode_pieces(edge, default_model(), keep=["doc_id", "text"]).collect():
         assert r.decoded == (r.text or "").replace(BLANK, " ") and (len(r.ids) > 0) == bool(r.text)
     assert encode_pieces(nothing, default_model()).count() == 0
+
+
+@pytest.mark.parametrize("sign", ["\t", "😀", "\ufffd", "\xa0"])
+def test_long_runs_of_signs(sign):
+    """Runs far beyond the interpreter's depth of calls, at the end, within and alone."""
+    own = PieceCodec(read_model(file_bytes(default_model())))
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    run = sign * 100_000
+    for t in (run, f"the{run}", f"a{run}b {run}.", f"x {run}\ny"):
+        ids = own.encode(t)
+        assert ids == library.encode(t) and own.decode(ids) == t

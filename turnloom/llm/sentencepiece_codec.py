@@ -261,8 +261,14 @@ class PieceCodec:
 
     def _word(self, word: str) -> list[int]:
         m, out, at = self.model, [], 0
-        if len(word) > 2 and not word[-1].isalnum() and word[-2:] not in self.neighbours:
-            return self._known(word[:-1]) + self._known(word[-1])   # no piece goes over this border
+        stop = len(word)
+        while stop > 2 and not word[stop - 1].isalnum() and word[stop - 2 : stop] not in self.neighbours:
+            stop -= 1   # no piece goes over this border
+        if stop < len(word):
+            out += self._known(word[:stop])
+            for sign in word[stop:]:
+                out += self._known(sign)
+            return out
         for i in self.steps(word):
             if i >= 0:
                 out.append(i)
