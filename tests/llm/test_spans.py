@@ -116,6 +116,29 @@ def test_model_adds_what_is_written_otherwise():
     assert added("on 2024-05-17 version 1.2.3 price 12.99, id 12345678") == [] and added("jo1@mail.example.com") == []
 
 
+def test_formats_that_are_common_are_not_learned_as_wrong():
+    """A third of the numbers have no plus, and a third of the addresses no @."""
+    rng = random.Random(3)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = []
+    for i in range(600):
+        phone = rng.choice([f"+1 ({d(3)}) 555-{d(4)}", f"+1 ({d(3)}) 555-{d(4)}", rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"])])
+        mail = rng.choice([f"jo{i}@mail{i % 7}.example.com", f"jo{i}@mail.example.com", f"jo{i} (at) mail{i % 7} (dot) example (dot) com"])
+        texts.append(f"see version 2.{i % 9}.1 of 2021-04-{10 + i % 20} and {rng.choice([phone, mail])} in {d(6)} or so")
+    model = pii.fit_spans(texts)
+    added = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.added_spans(model, t, pii.base_spans(t))]
+    assert added("call (555) 123-4567 today") == [("likely_phone", "(555) 123-4567")] and added("call 555-123-4567 today") == [("likely_phone", "555-123-4567")]
+    assert added("write jane.doe (at) mail (dot) com") == [("likely_email", "jane.doe (at) mail (dot) com")]
+    assert added("on 2024-05-17 version 1.2.3 price 12.99, id 12345678") == []
+
+
+def test_right_rewritings_have_no_negative_twins():
+    for text in ("a jo.x@mail.example.com b", "a 4111111111111111 b", "a +1 (555) 555-1234 b"):
+        for span in pii.base_spans(text):
+            for t, s, y in pii.rewritten(text, span):
+                assert pii.may_be_right(t, *s) == bool(y), t
+
+
 def test_pii_edge_rows(edge, nothing):
     got = pii.find_personal_data(edge).collect()
     assert len(got) == edge.count() and {r.n_email for r in got if r.doc_id in (3, 4)} == {1} and {len(r.found) for r in got if r.doc_id in (6, 7)} == {0}
