@@ -38,6 +38,13 @@ def test_filters_hold_all_they_learned_and_correct_false_hits():
     assert decide(half, np.array([100]), np.array([[25, 1]]))[0][0] == 1 and abs(decide(half, np.array([100]), np.array([[70, 1]]))[1][0] - 0.6) < 1e-9
 
 
+def test_more_languages_than_a_word_has_bits(llm):
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k * 7919 + 10_000_000}")
+    docs = [(i, f"{word(i % 130)} " * 5, f"l{i % 130:03}") for i in range(1300)]
+    got = identify(llm.createDataFrame(docs, "doc_id long, text string, lang string"), keep=["doc_id", "lang"]).collect()
+    assert len(got) == 1300 and all(r.lang_pred == r.lang and r.score > 0.9 for r in got)
+
+
 def test_long_texts_are_hashed_in_windows():
     model = fit_filter(["abcde fghij klmno"], ["x"])
     data = np.frombuffer(("abcde fghij klmno " * 100_000).encode(), np.uint8)

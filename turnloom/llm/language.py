@@ -114,7 +114,26 @@ def hits(model: LanguageFilter, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return total, found
 
 
-def decide(model: LanguageFilter, total: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class LanguageFilters:
+    """Filters of any number of languages, MAX_LANGUAGES at most in each part."""
+
+    parts: tuple[LanguageFilter, ...]
+
+    @property
+    def languages(self) -> tuple[str, ...]:
+        return tuple(name for p in self.parts for name in p.languages)
+
+    @property
+    def false_positive_rates(self) -> np.ndarray:
+        return np.concatenate([p.false_positive_rates for p in self.parts])
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = [hits(p, data, offsets) for p in self.parts]
+        return each[0][0], np.concatenate([found for _, found in each], axis=1)
+
+
+def decide(model: LanguageFilter | LanguageFilters, total: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The language with most corrected hits, and its share of the n-grams.
 
     With filter ``l`` wrong at rate ``f`` for an absent n-gram, ``h`` hits among
@@ -127,20 +146,23 @@ def decide(model: LanguageFilter, total: np.ndarray, found: np.ndarray) -> tuple
     return best, np.clip(share, 0.0, 1.0)
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int,
-                    docs_per_language: int, max_bytes: int) -> tuple[list, list]:
-    """About ``docs_per_language`` rows of each language, spread over the whole table by a hash of the id."""
+def training_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int,
+                     docs_per_language: int, max_bytes: int) -> Iterator[tuple[list, list]]:
+    """About ``docs_per_language`` rows of each language, spread over the whole table by a hash of the id.
+
+    One sample, and one pass over the table, for each MAX_LANGUAGES languages in
+    order of name.
+    """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
         F.col("l").isNotNull() & F.coalesce(crc_class(F.col("i"), folds) != held_out, F.lit(True)))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return [], []
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    names = sorted(counts)
     spread = F.pmod(F.xxhash64(F.lit("language sample"), F.col("i")), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_language / n))])[F.col("l")]
-    sample = rows.where((spread < share) & (F.octet_length("t") <= max_bytes)).select("t", "l").toArrow()
-    return sample["t"].to_pylist(), sample["l"].to_pylist()
+    for a in range(0, len(names), MAX_LANGUAGES):
+        # Of a language that is not in the map the share is null.
+        share = F.create_map(*[F.lit(x) for k in names[a : a + MAX_LANGUAGES] for x in (k, min(1.0, docs_per_language / counts[k]))])
+        sample = rows.where((spread < F.try_element_at(share, F.col("l"))) & (F.octet_length("t") <= max_bytes)).select("t", "l").toArrow()
+        yield sample["t"].to_pylist(), sample["l"].to_pylist()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5,
@@ -160,11 +182,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     looked at; a kept one of the same name as a result is not allowed.
     """
     kept = [id_col] if keep is None else list(keep)
-    texts, langs = training_sample(docs, id_col, text_col, lang_col, folds, held_out, docs_per_language, max_bytes)
-    model = fit_filter(texts, langs)
+    samples = training_samples(docs, id_col, text_col, lang_col, folds, held_out, docs_per_language, max_bytes)
+    model = LanguageFilters(tuple(fit_filter(*s) for s in samples) or (fit_filter([], []),))
     added = [F.coalesce(crc_class(F.col(id_col), folds) == held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("__text")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], *added)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS words, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS words for each MAX_LANGUAGES languages
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -172,7 +194,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for batch in byte_blocks(batches, "__text"):
             text = batch.column(len(kept) + 1)
             data, offsets = utf8(text)
-            total, found = hits(model, data, offsets)
+            total, found = model.hits(data, offsets)
             best, score = decide(model, total, found)
             lettered = np.fromiter((t is not None and has_letter(t) for t in text.to_pylist()), bool, len(text))
             best = np.where(lettered & bool(model.languages), best, len(model.languages))
