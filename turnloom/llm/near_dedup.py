@@ -4,7 +4,7 @@ A signature has 64 symbols of 14 bits, in 16 chunks of four. Two signatures that
 differ in at most 29 symbols have at least two chunks with at most one wrong
 symbol (pigeonhole), so they share the keys "chunk without symbol i" of those
 chunks. Every pair below that distance therefore meets in a key, and a pair of
-similarity 0.8 lies below it with a probability of about 1 - 2e-7. Links are
+similarity 0.8 lies below it with a probability of about 1 - 1.2e-6. Links are
 confirmed on the full sets.
 
 Pairs of a key are never all listed. Equal sets are one node. The members of a
