@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,6 +55,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def kept_columns(docs: DataFrame, keep: list[str] | None, results: list[str]) -> list[str]:
+    """The columns to keep (all if not given) but those that a result of the same name replaces."""
+    return [c for c in (docs.columns if keep is None else keep) if c not in results]
+
+
+def as_numbered(names: list[str]) -> list[Column]:
+    """Columns under the neutral names c0, c1, ..., which clash with no working column."""
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+
+
+def as_named(names: list[str]) -> list[Column]:
+    """The columns of ``as_numbered`` under their own names again."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
+def numbered_fields(docs: DataFrame, names: list[str]) -> list[T.StructField]:
+    return [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

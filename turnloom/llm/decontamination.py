@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import byte_blocks, query, stored, table
+from turnloom.llm.common import as_named, as_numbered, byte_blocks, kept_columns, numbered_fields, query, stored, table
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -258,29 +258,29 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     A null text, or one without a word, has no words; null items and null item
     ids are left out; items of equal text are all reported. Repeated rows are
-    judged each by itself. Other columns pass through; one named like a result
-    is not allowed.
+    judged each by itself. Other columns pass through; a kept column named like
+    a result is replaced by it.
     """
     spark = docs.sparkSession
-    kept = list(docs.columns if keep is None else keep)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))
+    kept = kept_columns(docs, keep, ["n_words", "spans", "items"])
+    rows = docs.select(*as_numbered(kept), F.col(text_col).alias("text"))
     added = T.StructType.fromDDL("n_words bigint, spans array<struct<first:bigint,stop:bigint>>, items array<string>")
     types = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string())]
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in byte_blocks(batches, "__text", 6 * shard_words):
-                found = search_texts(batch.column("__text").to_pylist(), shared.value, window, shard_words)
+            for batch in byte_blocks(batches, "text", 6 * shard_words):
+                found = search_texts(batch.column("text").to_pylist(), shared.value, window, shard_words)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*found), types))], [*batch.schema.names, *added.names])
         return run
 
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)
     result = rows.mapInArrow(search(spark.sparkContext.broadcast(next(blocks, None) or phrases_of([], window))), T.StructType([*rows.schema, *added]))
     for block in blocks:
-        before = stored(result.select(*[F.col(f"`{c}`") for c in kept], "__text", F.col("spans").alias("__spans"), F.col("items").alias("__items")))
+        before = stored(result.select(*rows.columns, F.col("spans").alias("old_spans"), F.col("items").alias("old_items")))
         both = before.mapInArrow(search(spark.sparkContext.broadcast(block)), T.StructType([*before.schema, *added]))
-        result = both.withColumns({"spans": merged(F.concat("__spans", "spans")), "items": F.array_sort(F.array_union("__items", "items"))})
-    return result.select(*[F.col(f"`{c}`") for c in kept], *added.names)
+        result = both.withColumns({"spans": merged(F.concat("old_spans", "spans")), "items": F.array_sort(F.array_union("old_items", "items"))})
+    return result.select(*as_named(kept), *added.names)
 
 
 _WORD_RUN = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -303,16 +303,20 @@ def cut(text: str | None, spans: list[dict]) -> str | None:
 
 
 def without_spans(found: DataFrame, text_col: str = "text", out_col: str = "clean_text") -> DataFrame:
-    """``find_windows``' rows with a column of the text without its hit words; texts without a hit stay as they are, null too."""
-    names = found.columns
-    schema = T.StructType([*found.schema, T.StructField(out_col, T.StringType())])
+    """``find_windows``' rows with a column of the text without its hit words; texts without a hit stay as they are, null too.
+
+    A column that is named ``out_col`` already, the text's own included, is replaced.
+    """
+    kept = kept_columns(found, None, [out_col])
+    rows = found.select(*as_numbered(kept), F.col(f"`{text_col}`").alias("text"), "spans")
+    schema = T.StructType([*numbered_fields(found, kept), T.StructField("clean", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_blocks(batches, text_col):
-            clean = map(cut, batch.column(text_col).to_pylist(), batch.column("spans").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clean, pa.string())], [*names, out_col])
+        for batch in byte_blocks(batches, "text"):
+            clean = map(cut, batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(clean, pa.string())], schema.names)
 
-    return found.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*as_named(kept), F.col("clean").alias(out_col))
 
 
 @query("op6_decontamination", """

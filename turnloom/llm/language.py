@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import byte_blocks, crc_class, query, table, utf8
+from turnloom.llm.common import as_named, as_numbered, byte_blocks, crc_class, kept_columns, numbered_fields, query, table, utf8
 
 UNDETERMINED = "und"
 GRAM = 5            # bytes of an n-gram
@@ -179,13 +179,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     so is every text if there is nothing to learn from. Texts shorter than an
     n-gram have no hits: the first language with score 0. A null id stays null
     and is not held out. Repeated rows are judged alike. Other columns are not
-    looked at; a kept one of the same name as a result is not allowed.
+    looked at; a kept one named like a result is replaced by it.
     """
-    kept = [id_col] if keep is None else list(keep)
+    kept = kept_columns(docs, [id_col] if keep is None else keep, ["held_out", "lang_pred", "score", "n_grams"])
     samples = training_samples(docs, id_col, text_col, lang_col, folds, held_out, docs_per_language, max_bytes)
     model = LanguageFilters(tuple(fit_filter(*s) for s in samples) or (fit_filter([], []),))
     added = [F.coalesce(crc_class(F.col(id_col), folds) == held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("__text")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *added)
+    rows = docs.select(*as_numbered(kept), *added)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS words for each MAX_LANGUAGES languages
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +201,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             score = np.where(best < len(model.languages), score, 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(kept) + 1], pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(total)],
-                [*kept, "held_out", "lang_pred", "score", "n_grams"])
+                schema.names)
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], *T.StructType.fromDDL(
+    schema = T.StructType([*numbered_fields(docs, kept), *T.StructType.fromDDL(
         "held_out boolean, lang_pred string, score double, n_grams bigint").fields])
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(judge, schema).select(*as_named(kept), *schema.names[len(kept):])
 
 
 def has_letter(text: str) -> bool:

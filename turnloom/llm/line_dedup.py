@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import ascii_lower, byte_blocks, query, shuffle_width, stored, table
+from turnloom.llm.common import as_named, as_numbered, ascii_lower, byte_blocks, kept_columns, numbered_fields, query, shuffle_width, stored, table
 
 MIN_LENGTH = 20
 MIN_DOCS = 3
@@ -166,14 +166,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``n_lines, n_dropped, kept_text`` of every row after the columns ``keep`` (the id alone if not given).
 
     See ``keep_bitmaps`` for the rule. A row that loses nothing keeps its text
-    as it is; null becomes "". The texts meet their bitmaps by id and version.
+    as it is; null becomes "". The texts meet their bitmaps by id and version. A
+    kept column named like a result is replaced by it.
     """
-    kept = [id_col] if keep is None else list(keep)
+    kept = kept_columns(docs, [id_col] if keep is None else keep, ["n_lines", "n_dropped", "kept_text"])
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_length, min_docs).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("keep_bitmap").alias("__bitmap"))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("__text"), _id(id_col).alias("__id"), F.xxhash64(text_col).alias("__version"))
+    rows = docs.select(*as_numbered(kept), F.col(text_col).alias("__text"), _id(id_col).alias("__id"), F.xxhash64(text_col).alias("__version"))
     both = rows.join(bitmaps, ["__id", "__version"], "left").drop("__id", "__version")
-    fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
-    schema = T.StructType([*fields, *T.StructType.fromDDL("n_lines bigint, n_dropped bigint, kept_text string")])
+    schema = T.StructType([*numbered_fields(docs, kept), *T.StructType.fromDDL("n_lines bigint, n_dropped bigint, kept_text string")])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_blocks(batches, "__text"):
@@ -183,7 +183,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n_lines, pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array([t for t, _ in done], pa.string())], schema.names)
 
     out = both.mapInArrow(apply, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "n_lines", "n_dropped", "kept_text")
+    return out.select(*as_named(kept), "n_lines", "n_dropped", "kept_text")
 
 
 @query("op1_line_dedup", """

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import byte_blocks, file_bytes, query, table
+from turnloom.llm.common import as_named, as_numbered, byte_blocks, file_bytes, kept_columns, numbered_fields, query, table
 
 # --- Fixed values of the model format -----------------------------------------
 BLANK = "▁"
@@ -325,21 +325,21 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     all pieces. A null or empty text has no ids and decodes to "". Characters
     without a piece become bytes, or the unknown id in a model without bytes.
     Row by row, without a shuffle; repeated rows are encoded alike. Other
-    columns are not looked at.
+    columns are not looked at; a kept one named like a result is replaced by it.
     """
-    kept = [id_col] if keep is None else list(keep)
+    kept = kept_columns(docs, [id_col] if keep is None else keep, ["ids", "decoded"])
     shared = docs.sparkSession.sparkContext.broadcast(file_bytes(model_path))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))
-    schema = T.StructType([*[docs.schema[c] for c in kept], *T.StructType.fromDDL("ids array<int>, decoded string")])
+    rows = docs.select(*as_numbered(kept), F.col(text_col).alias("text"))
+    schema = T.StructType([*numbered_fields(docs, kept), *T.StructType.fromDDL("ids array<int>, decoded string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(shared.value)
-        for batch in byte_blocks(batches, "__text", 1 << 20):
-            ids = [pieces.encode(t or "") for t in batch.column("__text").to_pylist()]
+        for batch in byte_blocks(batches, "text", 1 << 20):
+            ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(kept)], pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*as_named(kept), "ids", "decoded")
 
 
 def default_model() -> str:
