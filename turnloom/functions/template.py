@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BLANKS = " \t\n\v\f\r"
+
+
 @dataclass(frozen=True)
 class ChatTemplate:
     """Text around each message. ``{role}`` in a marker stands for the role.
@@ -59,6 +62,19 @@ class ChatTemplate:
         through = F.slice(messages, F.lit(1), (F.greatest(last_assistant, F.lit(0)) + 1).cast("int"))
         return self.render(through)
 
+    def _markers(self) -> list[tuple[str, str]]:
+        return [(self.prefix, self.suffix), *self.markers.values()]
+
+    def parts_messages(self) -> bool:
+        """Whether a blank stands at every border of messages, whatever they hold."""
+        starts = [prefix for prefix, _ in self._markers()] + [self.generation]
+        ends = [suffix for _, suffix in self._markers()]
+        return all(e[-1:] in _BLANKS and e for e in ends) or all(s[:1] in _BLANKS and s for s in starts)
+
+    def has_token(self) -> bool:
+        """Whether every message has a token, even an empty one."""
+        return all((prefix + suffix).replace("{role}", "").strip(_BLANKS) for prefix, suffix in self._markers())
+
     def rejects(self, facts: Column) -> Column:
         bad = facts["malformed"]
         return bad | ~facts["alternates"] if self.strict_alternation else bad

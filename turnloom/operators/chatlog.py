@@ -13,6 +13,7 @@ from turnloom.config import (
     STREAM_MAX_TOKENS,
 )
 from turnloom.functions.messages import MESSAGES_TYPE, message, prepend_system
+from turnloom.operators.json_rows import LIST, MISSING, NUMBER, TEXT, WHOLE_NUMBER, parse_objects, typed
 
 # Endpoints and the framing of streamed chunks.
 GENERATE, CHAT, CHAT_STREAM = "/generate", "/chat", "/chat/stream"
@@ -60,6 +61,36 @@ def read_requests(requests: DataFrame, system_prompt: str = DEFAULT_SYSTEM_PROMP
     )
 
 
+REQUEST_KEYS = {"message": TEXT, "messages": LIST, "max_tokens": WHOLE_NUMBER, "temperature": NUMBER}
+
+
+def read_requests_by_key(requests: DataFrame, system_prompt: str = DEFAULT_SYSTEM_PROMPT) -> DataFrame:
+    """Like ``read_requests``, with defaults for missing keys only, and ``key_states``.
+
+    A key that is there keeps what it holds: null stays null, and so does a value
+    of another type, which ``key_states`` tells apart (missing, null, mistyped,
+    given). A null or mistyped message is a message without content, and null
+    messages are no messages at all.
+    """
+    df = parse_objects(requests, REQUEST_KEYS, "body", parsed="valid")
+    v, state, endpoint = F.col("__v"), F.col("key_states"), F.col("endpoint")
+
+    def value(key: str, default: Column) -> Column:
+        return F.when(state[key] == MISSING, default).otherwise(typed(v, key, REQUEST_KEYS[key], state[key]))
+
+    turns = F.transform(typed(v, "messages", LIST, state["messages"]), lambda m: message(
+        F.try_variant_get(m, "$.role", "string"), F.try_variant_get(m, "$.content", "string")))
+    given = F.when(state["messages"] == MISSING, F.array().cast(MESSAGES_TYPE)).otherwise(turns.cast(MESSAGES_TYPE))
+    asked = F.when(endpoint == GENERATE, F.array(message("user", value("message", F.lit("")))).cast(MESSAGES_TYPE)).otherwise(given)
+    limit = F.when(endpoint == CHAT_STREAM, STREAM_MAX_TOKENS).otherwise(DEFAULT_MAX_TOKENS)
+    made = {
+        "messages": prepend_system(asked, system_prompt),
+        "max_tokens": value("max_tokens", limit.cast("bigint")),
+        "temperature": value("temperature", F.lit(DEFAULT_TEMPERATURE)),
+    }
+    return df.withColumns({n: F.when(F.col("valid"), c) for n, c in made.items()}).drop("__v")
+
+
 def request_body(messages: Column, **options: Column) -> Column:
     """JSON body of a chat request."""
     return F.to_json(F.struct(messages.alias("messages"), *[c.alias(n) for n, c in options.items()]))
@@ -70,6 +101,20 @@ def chunk_line(content: Column) -> Column:
     return F.concat(F.lit(CHUNK_PREFIX), F.to_json(F.struct(content.alias("content"))))
 
 
+def parse_chunks(chunks: DataFrame, *also: str) -> DataFrame:
+    """``request_id, seq, end, content, bad`` of streamed lines: the end marker, the content, or a payload that is no JSON."""
+    line = F.rtrim("raw", F.lit(" \r\n"))
+    payload = F.when(line.startswith(CHUNK_PREFIX), F.substring(line, len(CHUNK_PREFIX) + 1, 2**31 - 1))
+    return chunks.select(
+        "request_id",
+        "seq",
+        *also,
+        F.coalesce(payload == STREAM_END, F.lit(False)).alias("end"),
+        F.coalesce(F.from_json(payload, _CHUNK_TYPE)["content"], F.lit("")).alias("content"),
+        F.coalesce((payload != STREAM_END) & F.get_json_object(payload, "$").isNull(), F.lit(False)).alias("bad"),
+    )
+
+
 def reassemble_responses(chunks: DataFrame) -> DataFrame:
     """``request_id, response, n_chunks, n_malformed, complete`` from ``request_id, seq, raw``.
 
@@ -79,16 +124,7 @@ def reassemble_responses(chunks: DataFrame) -> DataFrame:
     Chunks are joined in blocks of sequence numbers first, so that a request
     with very many of them is spread, and only its block texts meet at the end.
     """
-    line = F.rtrim("raw", F.lit(" \r\n"))
-    payload = F.when(line.startswith(CHUNK_PREFIX), F.substring(line, len(CHUNK_PREFIX) + 1, 2**31 - 1))
-    parsed = chunks.select(
-        "request_id",
-        "seq",
-        F.shiftright("seq", _SEQ_PER_BLOCK).alias("block"),
-        F.coalesce(payload == STREAM_END, F.lit(False)).alias("end"),
-        F.coalesce(F.from_json(payload, _CHUNK_TYPE)["content"], F.lit("")).alias("content"),
-        F.coalesce((payload != STREAM_END) & F.get_json_object(payload, "$").isNull(), F.lit(False)).alias("bad"),
-    )
+    parsed = parse_chunks(chunks).withColumn("block", F.shiftright("seq", _SEQ_PER_BLOCK))
     used = (F.col("content") != "") | F.col("bad")
     blocks = parsed.groupBy("request_id", "block").agg(
         F.array_sort(F.collect_list(F.when(used, F.struct("seq", "bad", "content")))).alias("sorted"),

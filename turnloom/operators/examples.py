@@ -104,7 +104,8 @@ def computed_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*columns))))
 
 
-def _finish(df: DataFrame, labels: Column, too_short: Column) -> DataFrame:
+def finish_examples(df: DataFrame, labels: Column, too_short: Column) -> DataFrame:
+    """Labels, counts and the last skip reason of tokenised rows; what a skipped row would hold is null."""
     df = df.withColumn("labels", labels).withColumn("n_unmasked", count_unmasked(F.col("labels")))
     # A length that is not known is no length to mask by.
     failed = F.coalesce(too_short | (F.col("n_unmasked") == 0), F.lit(True))
@@ -144,7 +145,7 @@ def build_examples(
     df = df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
     end = F.col("answer_end") if cfg.trailing == "mask" else None
     labels = prefix_labels(F.col("input_ids"), F.col("prompt_len"), end)
-    return _finish(df, labels, F.col("prompt_len") >= F.col("n_tokens")).drop("answer_end")
+    return finish_examples(df, labels, F.col("prompt_len") >= F.col("n_tokens")).drop("answer_end")
 
 
 def build_plain_examples(
@@ -171,7 +172,7 @@ def build_plain_examples(
     df = df.drop("full_text", "answer_text")
     df = df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
     labels = suffix_labels(F.col("input_ids"), F.col("answer_len"))
-    return _finish(df, labels, F.lit(False)).drop("answer_len")
+    return finish_examples(df, labels, F.lit(False)).drop("answer_len")
 
 
 def kept(examples: DataFrame) -> DataFrame:

@@ -54,10 +54,11 @@ def order_of(df: DataFrame, name: str) -> RowOrder:
     return by_column(name) if isinstance(df.schema[name].dataType, T.IntegralType) else shuffled(name)
 
 
-def _preceding(window: WindowSpec, sums: list[str], lags: list[str]) -> dict[str, Column]:
-    """Exclusive sums and previous values along a window, as ``__o`` columns."""
+def _preceding(window: WindowSpec, sums: list[str], lags: list[str], latest: list[str]) -> dict[str, Column]:
+    """Exclusive sums, previous values and last known values along a window, as ``__o`` columns."""
     before = window.rowsBetween(W.unboundedPreceding, -1)
     found = {f"__o{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}
+    found |= {f"__o{c}": F.last(c, ignorenulls=True).over(before) for c in latest}
     found |= {f"__o{c}": F.lag(c).over(window) for c in lags}
     # Tells a previous value that is null from having no previous row.
     return found | ({"__first": F.row_number().over(window) == 1} if lags else {})
@@ -70,20 +71,23 @@ def ordered_scan(
     by: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
+    latest: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add running values of each ``by`` group, in ``order``.
 
     ``sums``: sum over the earlier rows of the group. ``lags``: value of the
-    previous row. ``totals``: sum over the whole group. The rows are shuffled
+    previous row. ``latest``: value of the last earlier row that has one (is not
+    null). ``totals``: sum over the whole group. The rows are shuffled
     once, by group and finest block. The input is read twice, so hand in a
     stored table or one that is cheap to derive.
     """
-    sums, lags, totals = dict(sums or {}), dict(lags or {}), dict(totals or {})
+    sums, lags, latest, totals = dict(sums or {}), dict(lags or {}), dict(latest or {}), dict(totals or {})
     s_col = {n: f"__s{i}" for i, n in enumerate(sums)}
     l_col = {n: f"__l{i}" for i, n in enumerate(lags)}
     t_col = {n: f"__t{i}" for i, n in enumerate(totals)}
-    added, carried, whole = list(s_col.values()), list(l_col.values()), list(t_col.values())
+    k_col = {n: f"__a{i}" for i, n in enumerate(latest)}
+    added, carried, whole, known = list(s_col.values()), list(l_col.values()), list(t_col.values()), list(k_col.values())
     group = ["__g"] if by else []
     flag = ["__first"] if carried else []
 
@@ -93,18 +97,20 @@ def ordered_scan(
         | {s_col[n]: e for n, e in sums.items()}
         | {t_col[n]: e for n, e in totals.items()}
         | {l_col[n]: e for n, e in lags.items()}
+        | {k_col[n]: e for n, e in latest.items()}
     ).withColumn("__b0", F.shiftright("__k", order.shifts[0]))
 
-    def rollup(table: DataFrame, block: str, latest: Column) -> DataFrame:
+    def rollup(table: DataFrame, block: str, newest: Column) -> DataFrame:
         return table.groupBy(*group, block).agg(
             F.count(F.lit(1)).alias("__n"),
             *[F.sum(c).alias(c) for c in added + whole],
-            *[F.max_by(c, latest).alias(c) for c in carried],
+            *[F.max_by(c, newest).alias(c) for c in carried],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c) for c in known],
         )
 
     # Up: totals of the finest blocks, then of the blocks of blocks.
-    latest = F.struct("__k", *order.tie) if order.tie else F.col("__k")
-    table = rollup(work, "__b0", latest)
+    newest = F.struct("__k", *order.tie) if order.tie else F.col("__k")
+    table = rollup(work, "__b0", newest)
     levels = []
     for i in range(1, len(order.shifts)):
         step = order.shifts[i] - order.shifts[i - 1]
@@ -113,12 +119,12 @@ def ordered_scan(
         table = rollup(table, f"__b{i}", F.col(f"__b{i - 1}"))
 
     # Down: what precedes each block, starting from the few coarsest ones.
-    offsets = [f"__o{c}" for c in added + carried] + flag
+    offsets = [f"__o{c}" for c in added + carried + known] + flag
     finals = [f"__w{c}" for c in whole]
     top = len(order.shifts) - 1
     along = W.partitionBy(*group).orderBy(f"__b{top}")
     entire = {f"__w{c}": F.sum(c).over(W.partitionBy(*group)) for c in whole}
-    table = table.withColumns(_preceding(along, added, carried) | entire)
+    table = table.withColumns(_preceding(along, added, carried, known) | entire)
     table = table.select(*group, f"__b{top}", *offsets, *finals)
 
     def descend(inner: DataFrame, outer: DataFrame, block: str, kept: list[Column]) -> DataFrame:
@@ -130,21 +136,22 @@ def ordered_scan(
             *kept,
             *[(F.col(f"__o{c}") + F.col(f"__up__o{c}")).alias(f"__o{c}") for c in added],
             *[F.when(first, F.col(f"__up__o{c}")).otherwise(F.col(f"__o{c}")).alias(f"__o{c}") for c in carried],
+            *[F.coalesce(f"__o{c}", f"__up__o{c}").alias(f"__o{c}") for c in known],
             *([(first & up_first).alias("__first")] if flag else []),
             *finals,
         )
 
     for i in range(top, 0, -1):
         along = W.partitionBy(*group, f"__b{i}").orderBy(f"__b{i - 1}")
-        inner = levels[i - 1].withColumns(_preceding(along, added, carried))
+        inner = levels[i - 1].withColumns(_preceding(along, added, carried, known))
         table = descend(inner, table, f"__b{i}", [F.col(c) for c in group + [f"__b{i - 1}"]])
 
     along = W.partitionBy(*group, "__b0").orderBy("__k", *order.tie)
-    rows = work.withColumns(_preceding(along, added, carried))
-    replaced = s_col | l_col | t_col
+    rows = work.withColumns(_preceding(along, added, carried, known))
+    replaced = s_col | l_col | k_col | t_col
     kept = [c for c in df.columns if c not in replaced]
     rows = descend(rows, table, "__b0", [F.col(c) for c in kept])
-    names = s_col | l_col
+    names = s_col | l_col | k_col
     return rows.select(
         *kept,
         *[F.col(f"__o{c}").alias(n) for n, c in names.items()],

@@ -137,14 +137,23 @@ def every_nth_step(log: DataFrame, every: int, step: str = "step") -> DataFrame:
 
 
 def train_val_gap(step_log: DataFrame, eval_log: DataFrame) -> DataFrame:
-    """``loss``, ``val_loss`` and ``train_val_gap`` where a step was evaluated.
+    """``run_id, step, loss_step, loss, val_loss, train_val_gap`` of every evaluation.
 
-    The gap is train minus validation: negative means validation is worse.
+    The loss is that of the run's last record at or before the evaluation, and
+    ``loss_step`` the step of it: logs leave steps out. Before the first record,
+    in a run without one, and where the run or the step is not known (null), both
+    are null. Of several records of one step any may be taken, so hand in
+    ``latest_attempts``. The gap is train minus validation: negative means
+    validation is worse.
+
+    One scan over both logs in order of step; no run is ever in one window.
     """
-    joined = step_log.select("run_id", "step", "loss").join(
-        eval_log.select("run_id", "step", "val_loss"), ["run_id", "step"]
-    )
-    return joined.withColumn("train_val_gap", F.col("loss") - F.col("val_loss"))
+    record = F.when(F.col("step").isNotNull(), F.struct(F.col("step").alias("loss_step"), "loss"))
+    steps = step_log.filter("run_id IS NOT NULL").select("run_id", "step", F.lit(0).alias("__kind"), F.lit(None).cast("double").alias("val_loss"), record.alias("__record"))
+    evals = eval_log.select("run_id", "step", F.lit(1).alias("__kind"), F.col("val_loss").cast("double").alias("val_loss"), F.lit(None).cast(steps.schema["__record"].dataType).alias("__record"))
+    both = ordered_scan(steps.unionByName(evals), by_column("step", "__kind"), by=["run_id"], latest={"__at": F.col("__record")})
+    found = both.filter("__kind = 1").select("run_id", "step", "__at.loss_step", "__at.loss", "val_loss")
+    return found.withColumn("train_val_gap", F.col("loss") - F.col("val_loss"))
 
 
 def run_summary(log: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def chunks(t: Tables) -> DataFrame:
     turns = t.spread("conversations", "conv_id", "turn", "role", "text")
     turns = turns.filter(F.col("role") == "assistant")
     sent = turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
         (F.col("conv_id") % 3 == 0).alias("twice"),
         F.posexplode(lines).alias("seq", "raw"),
     )
@@ -196,3 +196,44 @@ def chunks(t: Tables) -> DataFrame:
     return sent.select(
         "request_id", F.col("seq").cast("bigint").alias("seq"), "raw", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")
     ).drop("__copy")
+
+
+def mixed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, value: JSON lines of all layouts, with missing, null and mistyped keys, and broken ones."""
+    head, rest = head_and_rest(F.col("text"))
+    nothing = F.lit(None).cast("string")
+
+    def line(**keys: Column) -> Column:
+        return F.to_json(F.struct(*[c.alias(n) for n, c in keys.items()]), {"ignoreNullFields": "false"})
+
+    # Turns are written one by one, since those of one list differ in their keys.
+    turn = lambda **keys: line(**{k.rstrip("_"): c for k, c in keys.items()})
+    listed = lambda *turns: F.concat(F.lit("["), F.concat_ws(",", *turns), F.lit("]"))
+    shared = listed(turn(from_=F.lit("human"), value=head), turn(role=F.lit("gpt"), content=rest),
+                    F.when(F.col("doc_id") % 16 < 8, turn(from_=nothing, role=F.lit("user"), value=F.lit("x"))))
+    own = listed(turn(role=F.lit("user"), content=head), turn(role=F.lit("assistant"), content=rest), F.when(F.col("doc_id") % 3 == 0, turn(role=F.lit("user"), content=F.lit(5))))
+    lines = [
+        line(prompt=head, completion=rest), line(prompt=head, completion=nothing), line(prompt=head, instruction=head, output=rest),
+        line(instruction=head, input=nothing, output=nothing), line(instruction=head, input=F.lit("more")),
+        F.concat(F.lit('{"messages":"none","conversations":'), shared, F.lit("}")), F.concat(F.lit('{"prompt":"p","completion":"c","messages":'), own, F.lit("}")),
+        F.lit('{"prompt": "cut'),
+    ]
+    value = lines[-1]
+    for i, made in enumerate(lines[:-1]):
+        value = F.when(F.col("doc_id") % len(lines) == i, made).otherwise(value)
+    return docs.select("doc_id", value.alias("value"))
+
+
+def keyed_requests(t: Tables) -> DataFrame:
+    """One request per conversation whose keys are missing, null, mistyped or given in turn."""
+    kind, first = F.col("conv_id") % 6, F.get("messages", F.lit(0))["content"]
+    body = (
+        F.when(kind == 0, F.to_json(F.struct(first.alias("message"))))
+        .when(kind == 1, F.lit('{"message": null, "max_tokens": null}'))
+        .when(kind == 2, request_body(F.col("messages"), max_tokens=F.lit(128)))
+        .when(kind == 3, F.lit('{"messages": "none", "max_tokens": "12", "temperature": 1}'))
+        .when(kind == 4, F.lit('{"messages": [{"role": "user"}, {"content": null, "role": "tool"}], "temperature": null}'))
+        .otherwise(F.when(F.col("conv_id") % 12 == 5, "{}").otherwise("[1]"))
+    )
+    endpoint = F.when(kind < 2, GENERATE).when(F.col("conv_id") % 2 == 0, CHAT).otherwise(CHAT_STREAM)
+    return conversations(t).select(F.col("conv_id").alias("request_id"), endpoint.alias("endpoint"), body.alias("body"))

@@ -16,6 +16,7 @@ from turnloom.functions.messages import (
 from turnloom.functions.template import render_plain
 from turnloom.operators.corpus import cap_per_group, concatenate, load_mixture, normalise, prepare_source
 from turnloom.operators.examples import keep_eligible, render_texts
+from turnloom.operators.json_rows import ROW_KEYS, normalise_lines
 from turnloom.operators.ordered import by_column, first_n, global_index, order_of, shuffle_key, shuffled
 from turnloom.operators.split import exact_split, hash_split, heldout_overlap, overlap_rate, seeded_sample, without
 from turnloom.plans import derive, sql
@@ -101,6 +102,57 @@ def format_dispatch(t: Tables):
     return normalise(mixed, presence="value").select("doc_id", "format", _flat())
 
 
+_SHARED_ROLE = """CASE WHEN json_type(m, '$.from') IS NOT NULL THEN m->>'$.from' ELSE coalesce(m->>'$.role', '') END"""
+_MAPPED_ROLE = f"""CASE {_SHARED_ROLE} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE {_SHARED_ROLE} END"""
+_OWN_CONTENT = "CASE WHEN json_type(m, '$.content') IS NULL THEN '' WHEN json_type(m, '$.content') = 'VARCHAR' THEN m->>'$.content' END"
+_ROW_STATES = " || ' ' || ".join(
+    f"CASE WHEN NOT parsed OR json_type(j, '$.{k}') IS NULL THEN 'missing' WHEN json_type(j, '$.{k}') = 'NULL' THEN 'null' "
+    f"WHEN json_type(j, '$.{k}') = '{'ARRAY' if kind == 'list' else 'VARCHAR'}' THEN 'given' ELSE 'mistyped' END" for k, kind in ROW_KEYS.items())
+
+
+@query(
+    "mixed_rows_by_key",
+    f"""WITH made AS (
+          SELECT doc_id, {sql.HEAD} AS head, {sql.REST} AS rest,
+                 json_object('from', 'human', 'value', {sql.HEAD})::VARCHAR || ',' || json_object('role', 'gpt', 'content', {sql.REST})::VARCHAR
+                 || CASE WHEN doc_id % 16 < 8 THEN ',{{"from":null,"role":"user","value":"x"}}' ELSE '' END AS shared,
+                 json_object('role', 'user', 'content', {sql.HEAD})::VARCHAR || ',' || json_object('role', 'assistant', 'content', {sql.REST})::VARCHAR
+                 || CASE WHEN doc_id % 3 = 0 THEN ',{{"role":"user","content":5}}' ELSE '' END AS own FROM documents),
+        lines AS (
+          SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN json_object('prompt', head, 'completion', rest)::VARCHAR
+              WHEN 1 THEN json_object('prompt', head, 'completion', NULL)::VARCHAR WHEN 2 THEN json_object('prompt', head, 'instruction', head, 'output', rest)::VARCHAR
+              WHEN 3 THEN json_object('instruction', head, 'input', NULL, 'output', NULL)::VARCHAR WHEN 4 THEN json_object('instruction', head, 'input', 'more')::VARCHAR
+              WHEN 5 THEN '{{"messages":"none","conversations":[' || shared || ']}}' WHEN 6 THEN '{{"prompt":"p","completion":"c","messages":[' || own || ']}}'
+              ELSE '{{"prompt": "cut' END AS line FROM made),
+        parsed AS (SELECT doc_id, json_valid(line) AS parsed, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM lines),
+        laid AS (
+          SELECT *, CASE WHEN json_type(j, '$.messages') = 'ARRAY' THEN 'messages' WHEN json_type(j, '$.conversations') = 'ARRAY' THEN 'conversations'
+              WHEN json_type(j, '$.prompt') IS NOT NULL AND json_type(j, '$.completion') IS NOT NULL THEN 'prompt' WHEN json_type(j, '$.instruction') IS NOT NULL THEN 'instruction' END AS format
+          FROM parsed),
+        turned AS (
+          SELECT *, CASE format
+              WHEN 'messages' THEN list_transform((j->'$.messages')::JSON[], lambda m: {{'role': m->>'$.role', 'content': {_OWN_CONTENT}}})
+              WHEN 'conversations' THEN list_transform((j->'$.conversations')::JSON[], lambda m: {{'role': {_MAPPED_ROLE},
+                   'content': CASE WHEN json_type(m, '$.value') IS NOT NULL THEN m->>'$.value' ELSE coalesce(m->>'$.content', '') END}})
+              WHEN 'prompt' THEN [{{'role': 'user', 'content': j->>'$.prompt'}}, {{'role': 'assistant', 'content': j->>'$.completion'}}]
+              WHEN 'instruction' THEN [{{'role': 'user', 'content': (j->>'$.instruction') || CASE WHEN coalesce(j->>'$.input', '') <> '' THEN chr(10) || chr(10) || (j->>'$.input') ELSE '' END}},
+                   {{'role': 'assistant', 'content': CASE WHEN json_type(j, '$.output') IS NULL THEN '' ELSE j->>'$.output' END}}] END AS turns FROM laid)
+        SELECT doc_id, parsed, format, {_ROW_STATES} AS states, coalesce(len(turns), 0)::BIGINT AS n_messages,
+               coalesce(list_bool_or(list_transform(turns, lambda m: m.role IS NULL OR m.content IS NULL)), false) AS malformed,
+               md5(array_to_string(list_transform(turns, lambda m: coalesce(m.role, '?') || '=' || coalesce(m.content, '?')), '|')) AS digest
+        FROM turned""",
+)
+def mixed_rows_by_key(t: Tables):
+    """Lines of all layouts in one file, told apart by the keys that each one has."""
+    rows = normalise_lines(derive.mixed_lines(t.spread("documents", "doc_id", "text")))
+    part = lambda m: F.concat(F.coalesce(m["role"], F.lit("?")), F.lit("="), F.coalesce(m["content"], F.lit("?")))
+    return rows.select(
+        "doc_id", "parsed", "format", F.concat_ws(" ", *[F.col(f"key_states.{k}") for k in ROW_KEYS]).alias("states"),
+        F.col("facts.n_messages").alias("n_messages"), F.col("facts.malformed").alias("malformed"),
+        F.md5(F.array_join(F.transform("messages", part), "|")).alias("digest"),
+    )
+
+
 @query(
     "sharegpt_roles",
     """SELECT conv_id, md5(string_agg(CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN 'narrator' ELSE role END

@@ -18,6 +18,7 @@ from turnloom.operators.evaluate import (
     with_speed,
 )
 from turnloom.operators.ordered import by_column
+from turnloom.operators.quantiles import RANK_ERROR, length_sketches, merge_sketches, quantile_ranks, read_quantiles
 from turnloom.plans import derive, sql
 from turnloom.plans.evaluate import scoring_inputs
 from turnloom.plans.registry import Tables, query
@@ -101,12 +102,11 @@ def model_comparison(t: Tables):
     f"""WITH {sql.SCORES}
         SELECT sample_id, round(b.loss, 9) AS base_loss, round(u.loss, 9) AS tuned_loss, round(b.loss - u.loss, 9) AS improvement,
                CASE WHEN b.loss - u.loss > 0 THEN 'better' WHEN b.loss - u.loss <= 0 THEN 'worse' END AS verdict
-        FROM (SELECT * FROM scores WHERE model = 'base' AND sample_id % 13 > 0) b
-        FULL JOIN (SELECT * FROM scores WHERE model = 'tuned' AND sample_id % 17 > 0) u USING (sample_id)""",
+        FROM (SELECT * FROM scores WHERE model = 'base') b FULL JOIN (SELECT * FROM scores WHERE model = 'tuned') u USING (sample_id)""",
 )
 def sample_comparison(t: Tables):
     scores = derive.scores(t)
-    base, tuned = (scores.filter((F.col("model") == m) & (F.col("sample_id") % k > 0)) for m, k in zip(derive.MODELS, (13, 17)))
+    base, tuned = (scores.filter(F.col("model") == m) for m in derive.MODELS)
     return compare_samples(base, tuned).select(
         "sample_id", *[F.round(c, 9).alias(c) for c in ("base_loss", "tuned_loss", "improvement")], "verdict"
     )
@@ -147,6 +147,26 @@ def generation_speed(t: Tables):
     return table.withColumns(rounded)
 
 
+@query(
+    "length_quantiles",
+    f"""WITH lengths AS (SELECT source, len({sql.tokens(sql.REST)}) AS tokens FROM documents),
+        groups AS (SELECT source, tokens FROM lengths UNION ALL SELECT 'all sources', tokens FROM lengths)
+        SELECT source, q AS quantile, count(*) AS n, min(tokens)::BIGINT AS lowest, max(tokens)::BIGINT AS highest, true AS within_error
+        FROM groups, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) v(q) GROUP BY source, q""",
+)
+def length_quantiles(t: Tables):
+    """Sketches per source, stored and then merged to one of all; each quantile's rank is checked against the rows."""
+    rows = derive.prompt_rows(t.spread("documents", "doc_id", "source", "text"))
+    rows = store(rows.select("source", WhitespaceTokenizer().count(F.col("completion")).alias("tokens")), "lengths")
+    kept = store(length_sketches(rows, "tokens", ["source"]), "length-sketches")
+    together = merge_sketches(kept).select(F.lit("all sources").alias("source"), "n", "lowest", "highest", "sketch")
+    found = read_quantiles(kept.unionByName(together), ["source"])
+    everything = rows.unionByName(rows.withColumn("source", F.lit("all sources")))
+    ranked = quantile_ranks(everything, "tokens", found, ["source"])
+    within = (F.col("below") <= F.col("quantile") + RANK_ERROR) & (F.col("upto") >= F.col("quantile") - RANK_ERROR)
+    return ranked.select("source", "quantile", "n", "lowest", "highest", within.alias("within_error"))
+
+
 @query(
     "generation_previews",
     f"""WITH {_GENERATIONS}

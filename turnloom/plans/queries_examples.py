@@ -10,6 +10,7 @@ from turnloom.config import IGNORE_INDEX, PrepConfig
 from turnloom.functions.template import ChatTemplate
 from turnloom.functions.tokens import WhitespaceTokenizer
 from turnloom.operators.examples import (
+    SKIP_REASONS,
     build_examples,
     build_plain_examples,
     keep_eligible,
@@ -17,8 +18,10 @@ from turnloom.operators.examples import (
 )
 from turnloom.operators.ordered import by_column, shuffled
 from turnloom.operators.packing import pack_documents, pad_batches, training_manifest
-from turnloom.operators.report import sample_counts, skip_counts
+from turnloom.operators.permutation import examples_of_steps, number_examples, steps_of_examples
+from turnloom.operators.report import StageCounts, counts_table, sample_counts, skip_counts, watch_preparation
 from turnloom.operators.split import exact_split
+from turnloom.operators.turn_examples import build_turn_examples, build_turn_plain_examples
 from turnloom.plans import derive, sql
 from turnloom.plans.queries_corpus import split_sql
 from turnloom.plans.registry import Tables, query
@@ -109,9 +112,7 @@ def last_assistant(t: Tables):
     )
 
 
-@query(
-    "plain_examples",
-    f"""WITH {sql.FACTS}, texts AS (
+_PLAIN_SQL = f"""WITH {sql.FACTS}, texts AS (
           SELECT conv_id, any_value(CASE WHEN has_system THEN '' ELSE 'system: You are a helpful assistant.' || chr(10) END)
                  || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS full_text,
                  'assistant: ' || any_value(text) FILTER (WHERE turn = last_assistant) AS answer
@@ -120,15 +121,39 @@ def last_assistant(t: Tables):
                        least(256, len({sql.tokens('answer')})) AS answer_len FROM texts)
         SELECT conv_id, len(ids)::BIGINT AS n_tokens, least(len(ids), answer_len)::BIGINT AS n_unmasked, list_sum(ids)::BIGINT AS ids_sum,
                list_sum(list_transform(ids, lambda x, i: CASE WHEN i > len(ids) - answer_len THEN x ELSE -100 END))::BIGINT AS labels_sum
-        FROM enc""",
-)
-def plain_examples(t: Tables):
-    cfg = PrepConfig(max_seq_len=256)
-    return kept(build_plain_examples(derive.conversations(t), cfg)).select(
+        FROM enc"""
+
+
+def _plain_columns(examples):
+    return examples.select(
         "conv_id", "n_tokens", "n_unmasked", _total("input_ids").alias("ids_sum"), _total("labels").alias("labels_sum")
     )
 
 
+@query("plain_examples", _PLAIN_SQL)
+def plain_examples(t: Tables):
+    return _plain_columns(kept(build_plain_examples(derive.conversations(t), PrepConfig(max_seq_len=256))))
+
+
+@query("turn_examples", _columns_sql(1024))
+def by_token_budget(t: Tables):
+    """The flagship's examples, without putting a conversation together."""
+    return _columns(kept(build_turn_examples(t.conversations, dense=True)))
+
+
+@query("turn_examples_masked_tail", _columns_sql(300, masked_tail=True))
+def by_token_budget_in_small_blocks(t: Tables):
+    """Blocks of two turns, so that prompts, answers and the budget's end lie in different ones."""
+    cfg = PrepConfig(max_seq_len=300, trailing="mask")
+    return _columns(kept(build_turn_examples(t.conversations, cfg, dense=True, turns_per_block=1)))
+
+
+@query("turn_plain_examples", _PLAIN_SQL)
+def plain_by_token_budget(t: Tables):
+    made = build_turn_plain_examples(t.conversations, PrepConfig(max_seq_len=256), dense=True, turns_per_block=1)
+    return _plain_columns(kept(made))
+
+
 @query(
     "skip_counts",
     f"""{sql.examples(256)}
@@ -224,6 +249,31 @@ def stored_examples(t: Tables):
     )
 
 
+_MEASURES = ("n_rows", "eligible", "kept", *SKIP_REASONS, "n_tokens", "n_unmasked")
+
+
+@query(
+    "observed_counts",
+    f"""{sql.examples(256)}, measures AS (SELECT unnest({list(_MEASURES)}) AS measure),
+        rows AS (
+          SELECT 'n_rows' AS measure, 1 AS v FROM examples UNION ALL SELECT 'eligible', 1 FROM examples WHERE skip_reason IS DISTINCT FROM 'missing_role'
+          UNION ALL SELECT coalesce(skip_reason, 'kept'), 1 FROM examples
+          UNION ALL SELECT 'n_tokens', n_tokens FROM examples WHERE skip_reason IS NULL
+          UNION ALL SELECT 'n_unmasked', n_tokens - prompt_len FROM examples WHERE skip_reason IS NULL)
+        SELECT 'prepared' AS stage, measure, coalesce(sum(v), 0)::BIGINT AS n FROM measures LEFT JOIN rows USING (measure) GROUP BY measure
+        UNION ALL SELECT 'loaded', 'n_rows', count(DISTINCT conv_id) FROM conversations
+        UNION ALL SELECT 'written', 'n_rows', count(*) FROM examples WHERE skip_reason IS NULL""",
+)
+def observed_counts(t: Tables):
+    """All counts of a preparation from the one pass that writes its examples."""
+    stages = StageCounts()
+    loaded = stages.watch(derive.conversations(t), "loaded")
+    made = watch_preparation(build_examples(loaded, PrepConfig(max_seq_len=256)), stages)
+    written = stages.watch(kept(made), "written")
+    written.select("conv_id", "input_ids", "labels", "attention_mask").write.parquet(new_folder(t.spark, "examples"))
+    return counts_table(t.spark, stages.counts())
+
+
 @query(
     "padded_batches",
     f"""{sql.examples(512)}, placed AS (
@@ -300,6 +350,41 @@ def manifest(t: Tables):
     )
 
 
+def _network_sql(first: int, last: int, per_step: int) -> str:
+    """The same network in SQL: one row of the recursion per position and round, walked until it falls below n."""
+    mix = lambda half: f"('0x' || substr(md5('42:' || epoch || ':' || (i % 6) || ':' || {half}), 1, 15))::BIGINT"
+    return f"""WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS row FROM (SELECT DISTINCT conv_id FROM conversations)),
+        total AS (SELECT count(*) AS n, floor(sqrt(count(*)))::BIGINT AS root FROM ids),
+        dims AS (SELECT n, a, (n + a - 1) // a AS b FROM total, range(1, 5000) c(a)
+                 WHERE a BETWEEN root - 1024 AND root + 1024 AND a <= n ORDER BY a * ((n + a - 1) // a) - n, abs(a - root), a LIMIT 1),
+        walk AS (
+          SELECT place, place // n AS epoch, (place % n) // b AS l, (place % n) % b AS r, 0 AS i, n, a, b FROM dims, range({first * per_step}, {last * per_step}) p(place)
+          UNION ALL
+          SELECT place, epoch, CASE WHEN i % 2 = 0 THEN (l + {mix('r')}) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + {mix('l')}) % b ELSE r END, i + 1, n, a, b
+          FROM walk WHERE i = 0 OR i % 6 <> 0 OR l * b + r >= n)
+        SELECT (place // {per_step})::BIGINT AS step, (place % {per_step})::BIGINT AS slot, epoch::BIGINT AS epoch, conv_id
+        FROM walk JOIN ids ON row = l * b + r WHERE i > 0 AND i % 6 = 0 AND l * b + r < n"""
+
+
+def _numbered(t: Tables):
+    index = store(number_examples(t.conversations.select("conv_id").distinct(), "conv_id"), "numbered")
+    return index, index.count()
+
+
+@query("manifest_steps", _network_sql(120, 170, 4))
+def manifest_of_some_steps(t: Tables):
+    """Steps 120 to 169 of a run, without the epochs around them."""
+    index, n = _numbered(t)
+    return examples_of_steps(index, n, "conv_id", first_step=120, last_step=170, per_step=4)
+
+
+@query("manifest_by_example", _network_sql(0, 1000, 2))
+def manifest_from_the_examples(t: Tables):
+    """Where every example goes in the first 1,000 steps."""
+    index, n = _numbered(t)
+    return steps_of_examples(index, n, "conv_id", first_step=0, last_step=1000, per_step=2)
+
+
 _DOC_TYPE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnloom.config import DEFAULT_SYSTEM_PROMPT, LOG_EVERY
-from turnloom.operators.chatlog import read_requests, reassemble_responses
+from turnloom.operators.chatlog import read_requests, read_requests_by_key, reassemble_responses
 from turnloom.operators.runlog import (
     audit_learning_rate,
     console_evals,
@@ -25,6 +25,7 @@ from turnloom.plans import derive, sql
 from turnloom.plans.registry import Tables, query
 from turnloom.sources.readers import read_console, read_eval_log, read_step_log
 from turnloom.sources.sinks import new_folder, store
+from turnloom.streaming.responses import RESPONSE, RESULT, reassemble_stream
 
 TRAJECTORY = (1, 100, 300, 700, 930, 1000, 1500, 1780, 2000)
 
@@ -176,6 +177,22 @@ def gap(t: Tables):
     )
 
 
+@query(
+    "train_val_gap_between_records",
+    f"""WITH {sql.RUN_LOG}, records AS (SELECT run_id, step, loss FROM run_log WHERE step % 10 = 0),
+          evals AS (SELECT run_id, step, loss * 0.5 + 1 AS val_loss FROM run_log WHERE step % 15 = 5 OR step < 4)
+        SELECT e.run_id, e.step, r.step AS loss_step, r.loss, round(val_loss, 6) AS val_loss, round(r.loss - val_loss, 6) AS train_val_gap
+        FROM evals e ASOF LEFT JOIN records r ON e.run_id = r.run_id AND e.step >= r.step""",
+)
+def gap_between_records(t: Tables):
+    """A log of every tenth step, and evaluations that mostly fall between its records or before the first."""
+    steps = store(derive.run_log(t), "run-log")
+    evals = steps.filter((F.col("step") % 15 == 5) | (F.col("step") < 4)).select("run_id", "step", (F.col("loss") * 0.5 + 1).alias("val_loss"))
+    return train_val_gap(every_nth_step(steps, LOG_EVERY), evals).select(
+        "run_id", "step", "loss_step", "loss", F.round("val_loss", 6).alias("val_loss"), F.round("train_val_gap", 6).alias("train_val_gap")
+    )
+
+
 @query(
     "lr_audit",
     f"""WITH {sql.RUN_LOG}
@@ -214,14 +231,79 @@ def request_log(t: Tables):
     )
 
 
+def _state_sql(key: str, *types: str) -> str:
+    kinds = ", ".join(f"'{t}'" for t in types)
+    kind = f"json_type(body, '$.{key}')"
+    return f"CASE WHEN NOT valid OR {kind} IS NULL THEN 'missing' WHEN {kind} = 'NULL' THEN 'null' WHEN {kind} IN ({kinds}) THEN 'given' ELSE 'mistyped' END"
+
+
+_WHOLE = ("BIGINT", "UBIGINT")
+_REQUEST_STATES = {"message": ("VARCHAR",), "messages": ("ARRAY",), "max_tokens": _WHOLE, "temperature": (*_WHOLE, "DOUBLE")}
+
+
 @query(
-    "reassembled_responses",
-    f"""SELECT conv_id * 1000 + turn AS request_id, md5(regexp_replace(text, '^\\s+', '')) AS digest,
+    "requests_by_key",
+    f"""WITH made AS (
+          SELECT conv_id, arg_min(text, turn) AS first, to_json(list({{'role': role, 'content': text}} ORDER BY turn))::VARCHAR AS turns FROM conversations GROUP BY conv_id),
+        bodies AS (
+          SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN '{{"message":' || to_json(first)::VARCHAR || '}}'
+                   WHEN 1 THEN '{{"message":null,"max_tokens":null}}'
+                   WHEN 2 THEN '{{"messages":' || turns || ',"max_tokens":128}}'
+                   WHEN 3 THEN '{{"messages":"none","max_tokens":"12","temperature":1}}'
+                   WHEN 4 THEN '{{"messages":[{{"role":"user"}},{{"content":null,"role":"tool"}}],"temperature":null}}'
+                   ELSE CASE WHEN conv_id % 12 = 5 THEN '{{}}' ELSE '[1]' END END::JSON AS body FROM made),
+        states AS (SELECT *, {", ".join(f"{_state_sql(k, *t)} AS s_{k}" for k, t in _REQUEST_STATES.items())}
+                   FROM (SELECT *, json_type(body) = 'OBJECT' AS valid, conv_id % 6 < 2 AS single, conv_id % 6 > 1 AND conv_id % 2 = 1 AS streamed FROM bodies)),
+        asked AS (
+          SELECT *, CASE WHEN single THEN ['user=' || coalesce(CASE s_message WHEN 'missing' THEN '' WHEN 'given' THEN body->>'$.message' END, '?')]
+                         WHEN s_messages = 'missing' THEN [] WHEN s_messages = 'given'
+                         THEN list_transform((body->'$.messages')::JSON[], lambda m: coalesce(m->>'$.role', '?') || '=' || coalesce(m->>'$.content', '?')) END AS parts FROM states)
+        SELECT conv_id AS request_id, valid, s_message || ' ' || s_messages || ' ' || s_max_tokens || ' ' || s_temperature AS states,
+               CASE WHEN valid AND parts IS NOT NULL THEN md5(array_to_string(list_prepend('system={DEFAULT_SYSTEM_PROMPT}', parts), '|')) END AS digest,
+               CASE WHEN valid THEN CASE s_max_tokens WHEN 'missing' THEN CASE WHEN streamed THEN 512 ELSE 256 END WHEN 'given' THEN (body->>'$.max_tokens')::BIGINT END END::BIGINT AS max_tokens,
+               CASE WHEN valid THEN CASE s_temperature WHEN 'missing' THEN 0.7 WHEN 'given' THEN (body->>'$.temperature')::DOUBLE END END::DOUBLE AS temperature
+        FROM asked""",
+)
+def requests_by_key(t: Tables):
+    """Requests in which a key that is null is no key that is missing."""
+    part = lambda m: F.concat(F.coalesce(m["role"], F.lit("?")), F.lit("="), F.coalesce(m["content"], F.lit("?")))
+    digest = F.md5(F.array_join(F.transform("messages", part), "|"))
+    states = F.concat_ws(" ", *[F.col(f"key_states.{k}") for k in _REQUEST_STATES])
+    return read_requests_by_key(derive.keyed_requests(t)).select(
+        "request_id", "valid", states.alias("states"), digest.alias("digest"), "max_tokens", "temperature"
+    )
+
+
+_RESPONSES_SQL = f"""SELECT conv_id || ':' || turn AS request_id, md5(regexp_replace(text, '^\\s+', '')) AS digest,
                len({sql.tokens('text')})::BIGINT AS n_chunks, CASE WHEN conv_id % 4 IN (1, 2) THEN 1 ELSE 0 END::BIGINT AS n_malformed,
                conv_id % 4 = 0 AS complete
-        FROM conversations WHERE role = 'assistant'""",
-)
+        FROM conversations WHERE role = 'assistant'"""
+
+
+@query("reassembled_responses", _RESPONSES_SQL)
 def responses(t: Tables):
     return reassemble_responses(derive.chunks(t)).select(
         "request_id", F.md5("response").alias("digest"), "n_chunks", "n_malformed", "complete"
     )
+
+
+_CHUNK_SCHEMA = "request_id string, seq bigint, raw string, ts timestamp"
+
+
+@query("streamed_responses", _RESPONSES_SQL)
+def responses_from_a_stream(t: Tables):
+    """The same chunks as a stream of files, out of order, and a last file that lets event time pass."""
+    sent = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))
+    folder, path, state = (new_folder(t.spark, name) for name in ("chunks", "responses", "responses-state"))
+    chunks = store(derive.chunks(t).select("request_id", "seq", "raw", sent.alias("ts")), "chunk-log")
+    part = F.pmod(F.xxhash64("request_id", "seq"), F.lit(3))
+    for k in (2, 0, 1):
+        chunks.where(part == k).coalesce(1).write.mode("append").json(folder)
+    closing = chunks.agg(F.lit("end of log").alias("request_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("data: [DONE]").alias("raw"),
+                         F.timestamp_seconds(F.lit(1_700_000_000) + F.max("seq") + 86_400).alias("ts"))
+    closing.coalesce(1).write.mode("append").json(folder)
+    stream = t.spark.readStream.schema(_CHUNK_SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    made = reassemble_stream(stream, delay="12 hours", lifetime="1 hour")
+    made.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.schema(RESULT).parquet(path).where((F.col("kind") == RESPONSE) & (F.col("request_id") != "end of log"))
+    return out.select("request_id", F.md5("response").alias("digest"), "n_chunks", "n_malformed", "complete")
