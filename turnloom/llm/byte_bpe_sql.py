@@ -31,17 +31,22 @@ WORDS_AT_ONCE = 20_000
 REMEMBERED = 400_000    # words per generation; two generations are kept
 DECODED_AT_ONCE = 1 << 19
 
-# One pair of each word per step. A key is word << 8 | place, and n the key of the next token.
+# One pair of each word per step. A key is word << 8 | place; a token knows the key and the id of the next one (n, r) and
+# what it makes with that (m). The right half of a pair stays and becomes the pair's token; only the tokens on both sides
+# of a new border are looked up again.
 _SHORT_WORDS = """
-WITH RECURSIVE parts(k, n, t, done) AS (
-  SELECT k, n, t, false FROM given
+WITH RECURSIVE parts(k, n, t, r, m, done) AS (
+  SELECT k, k + 1, t, r, made, false FROM given LEFT JOIN merges ON pair = (t << 32 | r)
   UNION ALL
-  (WITH live AS MATERIALIZED (SELECT k, n, t FROM parts WHERE NOT done),
+  (WITH live AS MATERIALIZED (SELECT k, n, t, r, m FROM parts WHERE NOT done),
    best AS MATERIALIZED (
-     SELECT a.k >> 8 AS w, min(made << 8 | (a.k & 255)) AS v, arg_min(a.n, made << 8 | (a.k & 255)) AS gone, arg_min(b.n, made << 8 | (a.k & 255)) AS n
-     FROM live a JOIN live b ON b.k = a.n JOIN merges ON pair = (a.t << 32 | b.t) GROUP BY 1)
-   SELECT live.k, CASE WHEN (v & 255) = (k & 255) THEN best.n ELSE live.n END, CASE WHEN (v & 255) = (k & 255) THEN v >> 8 ELSE t END, w IS NULL
-   FROM live LEFT JOIN best ON w = k >> 8 WHERE gone IS NULL OR k <> gone))
+     SELECT k >> 8 AS w, min(m << 8 | (k & 255)) AS v, arg_min(n, m << 8 | (k & 255)) AS kept
+     FROM live WHERE m IS NOT NULL GROUP BY 1),
+   moved AS (
+     SELECT k, CASE WHEN before THEN kept ELSE n END AS n, CASE WHEN k = kept THEN v >> 8 ELSE t END AS t,
+            CASE WHEN before THEN v >> 8 ELSE r END AS r, m, coalesce(before OR k = kept, false) AS changed, w IS NULL AS done
+     FROM (SELECT *, n = (w << 8 | (v & 255)) AS before FROM live LEFT JOIN best ON w = k >> 8) WHERE w IS NULL OR k & 255 <> v & 255)
+   SELECT k, n, t, r, CASE WHEN changed THEN made ELSE m END, done FROM moved LEFT JOIN merges ON pair = CASE WHEN changed THEN t << 32 | r END))
 SELECT k >> 8 AS w, t FROM parts WHERE done ORDER BY k"""
 
 # All equal pairs of a word in one step, which long words need: every other pair of a run, from its left end. Contracting
@@ -170,9 +175,11 @@ class RankCodec:
         if long:
             out = self._rows(_LONG_WORDS, pa.table({"w": w, "p": p, "n": p + 1, "t": t}))
         else:
-            out = self._rows(_SHORT_WORDS, pa.table({"k": w << 8 | p, "n": (w << 8 | p) + 1, "t": t}))
+            r = np.append(t[1:], 0)
+            r[np.cumsum(n) - 1] = -1    # nothing follows
+            out = self._rows(_SHORT_WORDS, pa.table({"k": w << 8 | p, "t": t, "r": pa.array(r, mask=r < 0)}))
         ends = np.cumsum(np.bincount(out["w"].to_numpy(), minlength=len(words))).tolist()
-        ids = out["t"].to_pylist()
+        ids = out["t"].to_numpy().tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
@@ -199,22 +206,22 @@ class RankCodec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         split = list(map(self.split, texts))
-        used: dict[str, tuple[int, ...]] = dict.fromkeys(chain.from_iterable(split), ())
+        words = list(dict.fromkeys(chain.from_iterable(split)))
+        used = dict(zip(words, map(self.young.get, words)))
         missing = []
-        for word in used:
-            ids = self.young.get(word)
+        for word in [w for w, ids in used.items() if ids is None]:
+            ids = self.old.get(word)
             if ids is None:
-                ids = self.old.get(word)
-                if ids is None:
-                    missing.append(word)
-                    continue
-                self.young[word] = ids
-            used[word] = ids
+                missing.append(word)
+            else:
+                used[word] = self.young[word] = ids
         fresh = self.words(missing)
         used.update(fresh)
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        self.young.update((w, i) for w, i in fresh.items() if len(w) <= 64)
+        self.young.update(fresh)
+        for word in [w for w in fresh if len(w) > 64]:
+            del self.young[word]
         get = used.__getitem__
         per_text = [list(chain.from_iterable(map(get, words))) for words in split]
         counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
