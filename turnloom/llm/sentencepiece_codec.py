@@ -104,7 +104,8 @@ def read_model(data: bytes) -> PieceModel:
 
 
 class PieceCodec:
-    LIMIT = 800_000     # words remembered; the memory starts anew beyond
+    # Words and neighbours remembered, about 100 MB together at most; a full memory starts anew.
+    WORDS, NEIGHBOURS = 250_000, 300_000
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -211,7 +212,7 @@ class PieceCodec:
         ok = self.follows.get((a, b))
         if ok is not None:
             return ok
-        if len(self.follows) > 1_000_000:
+        if len(self.follows) > self.NEIGHBOURS:
             self.follows.clear()
         pieces, ids, rank = self.model.pieces, self.ids, self.rank
         x, y, until, ok = a, b, len(rank) + 1, True
@@ -286,7 +287,7 @@ class PieceCodec:
         if ids is None:
             ids = self._word(word)
             if len(word) <= 64:
-                if len(self.known) > self.LIMIT:
+                if len(self.known) > self.WORDS:
                     self.known.clear()
                 self.known[word] = ids
         return ids
