@@ -69,3 +69,23 @@ def test_manifest_reshuffles_every_epoch(spark):
     assert training_manifest(spark.range(0), "id", max_steps=3, per_step=2).count() == 0
     with pytest.raises(ValueError):
         training_manifest(spark.range(3), "id", max_steps=0, per_step=2)
+
+
+def test_bucketed_arrays_do_not_move(spark, tiny):
+    """Without a broadcast: the side with the arrays is read as it lies, and only the batches are shuffled."""
+    from turnloom.sources.sinks import store_bucketed
+
+    rows = spark.range(200).select(F.col("id").alias("conv_id"), (F.col("id") % 7 + 1).alias("n_tokens"), F.array_repeat(F.col("id"), 3).alias("input_ids"))
+    rows = rows.withColumns({"labels": F.col("input_ids"), "attention_mask": F.col("input_ids")})
+    stored = store_bucketed(rows, "examples", "conv_id", 8)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        padded = pad_batches(stored, ["conv_id"], shuffled("conv_id"), 4)
+        plan = padded._jdf.queryExecution().executedPlan().toString()
+        assert padded.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    left = plan[plan.index("SortMergeJoin"):].split("\n   ")
+    arrays = next(i for i, line in enumerate(left) if "FileScan" in line and "input_ids" in line)
+    assert "Bucketed: true" in left[arrays] and not any("Exchange" in line for line in left[:arrays])

@@ -61,6 +61,8 @@ class PrepConfig:
     trailing: str = "train"
     # True skips rows whose last assistant message is empty.
     reject_empty_target: bool = False
+    # True adds ``prefix_ok``: whether the full text's ids begin with the prompt's.
+    check_prefix: bool = False
 
     def __post_init__(self) -> None:
         if self.max_seq_len < 1:

@@ -134,13 +134,20 @@ def build_examples(
     """Add ``input_ids, labels, attention_mask``, their counts and ``skip_reason``.
 
     The prompt is everything before the last assistant message. Only its length
-    is used: that many leading tokens are ignored, whatever they are.
+    is used: that many leading tokens are ignored, whatever they are. With
+    ``cfg.check_prefix``, ``prefix_ok`` says whether they are the prompt's own
+    ids, also of rows skipped for their length; it is null where nothing is rendered.
     """
     df = render_texts(df, cfg, template)
     counts = {"prompt_len": "prompt_text"}
     if cfg.trailing == "mask":
         counts["answer_end"] = "answer_text"
     df = tokenizer.encode(df, "full_text", "input_ids", cfg.max_seq_len, counts)
+    if cfg.check_prefix:
+        # The mask goes by the prompt's length; a token over the border makes that length wrong.
+        df = tokenizer.encode(df, "prompt_text", "__prompt_ids", cfg.max_seq_len, {})
+        begin = F.slice("input_ids", F.lit(1), F.array_size("__prompt_ids"))
+        df = df.withColumn("prefix_ok", begin == F.col("__prompt_ids")).drop("__prompt_ids")
     df = df.drop("full_text", "prompt_text", "answer_text")
     df = df.withColumn("n_tokens", F.array_size("input_ids").cast("bigint"))
     end = F.col("answer_end") if cfg.trailing == "mask" else None

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.config import IGNORE_INDEX, PrepConfig
+from turnloom.config import DEFAULT_SYSTEM_PROMPT, IGNORE_INDEX, PrepConfig
 from turnloom.functions.template import ChatTemplate
 from turnloom.functions.tokens import WhitespaceTokenizer
 from turnloom.operators.examples import (
@@ -25,7 +25,7 @@ from turnloom.operators.turn_examples import build_turn_examples, build_turn_pla
 from turnloom.plans import derive, sql
 from turnloom.plans.queries_corpus import split_sql
 from turnloom.plans.registry import Tables, query
-from turnloom.sources.sinks import new_folder, store, write_examples
+from turnloom.sources.sinks import new_folder, store, store_bucketed, write_examples
 from turnloom.streaming.prepare import prepare_stream, write_stream
 
 
@@ -99,6 +99,36 @@ def attention_masks(t: Tables):
     )
 
 
+def _glued(role: str, content: str) -> str:
+    return f"('<|' || {role} || '|>' || {content} || {sql.NL} || '<|end|>' || {sql.NL})"
+
+
+def _prefix_sql() -> str:
+    """Ids of whole texts and prompts, compared from the start, in the default layout and in one without a blank behind the role."""
+    system = "CASE WHEN has_system THEN '' ELSE {} END"
+    sides = {"apart": (sql.rendered, sql.NL), "glued": (_glued, "''")}
+    texts = ", ".join(
+        f"any_value({system.format(render(chr(39) + 'system' + chr(39), chr(39) + DEFAULT_SYSTEM_PROMPT + chr(39)))}) || string_agg({render('role', 'text')}, '' ORDER BY turn) AS full_{name}, "
+        f"any_value({system.format(render(chr(39) + 'system' + chr(39), chr(39) + DEFAULT_SYSTEM_PROMPT + chr(39)))}) || coalesce(string_agg({render('role', 'text')}, '' ORDER BY turn) "
+        f"FILTER (WHERE turn < last_assistant), '') || '<|assistant|>' || {gap} AS prompt_{name}" for name, (render, gap) in sides.items())
+    same = ", ".join(f"{sql.tokens(f'full_{name}')}[1:512][1:len(p_{name})] = p_{name} AS {name}_ok" for name in sides)
+    prompts = ", ".join(f"{sql.tokens(f'prompt_{name}')}[1:512] AS p_{name}" for name in sides)
+    return f"""WITH {sql.FACTS}, both_texts AS (
+          SELECT conv_id, {texts} FROM conversations JOIN facts USING (conv_id) WHERE has_user AND has_assistant GROUP BY conv_id)
+        SELECT conv_id, {same} FROM (SELECT *, {prompts} FROM both_texts)"""
+
+
+@query("prompt_prefix", _prefix_sql())
+def prompt_prefix(t: Tables):
+    """Whether the prompt's ids begin the example, in a layout that parts tokens there and in one that does not."""
+    rows = derive.conversations(t)
+    cfg = PrepConfig(max_seq_len=512, check_prefix=True)
+    glued = ChatTemplate(prefix="<|{role}|>", generation="<|assistant|>")
+    apart, joined = build_examples(rows, cfg), build_examples(rows, cfg, glued)
+    return apart.select("conv_id", F.col("prefix_ok").alias("apart_ok")).where("apart_ok IS NOT NULL").join(
+        joined.select("conv_id", F.col("prefix_ok").alias("glued_ok")), "conv_id")
+
+
 @query(
     "last_assistant",
     """SELECT conv_id, coalesce(max(CASE WHEN role = 'assistant' THEN turn END), -1)::BIGINT AS last_assistant,
@@ -274,21 +304,34 @@ def observed_counts(t: Tables):
     return counts_table(t.spark, stages.counts())
 
 
-@query(
-    "padded_batches",
-    f"""{sql.examples(512)}, placed AS (
+_PADDED_SQL = f"""{sql.examples(512)}, placed AS (
           SELECT *, (row_number() OVER (ORDER BY {sql.hash_key('conv_id')}, conv_id) - 1) AS p FROM examples WHERE skip_reason IS NULL),
         batched AS (SELECT *, (p // 4)::BIGINT AS batch_id, (p % 4)::BIGINT AS row_in_batch,
                            max(n_tokens) OVER (PARTITION BY p // 4) AS batch_len FROM placed)
         SELECT conv_id, batch_id, row_in_batch, batch_len::BIGINT AS ids_len, list_sum(ids)::BIGINT AS ids_sum,
                (list_sum(list_transform(ids, lambda x, i: CASE WHEN i > prompt_len THEN x ELSE -100 END)) - 100 * (batch_len - n_tokens))::BIGINT AS labels_sum,
                n_tokens::BIGINT AS mask_sum
-        FROM batched""",
-)
+        FROM batched"""
+
+
+@query("padded_batches", _PADDED_SQL)
 def padded_batches(t: Tables):
+    return _padded_columns(store(_batch_input(t), "examples"))
+
+
+@query("padded_batches_bucketed", _PADDED_SQL)
+def padded_batches_bucketed(t: Tables):
+    """Stored by the id that the batches come with, so that the arrays do not move again."""
+    return _padded_columns(store_bucketed(_batch_input(t), "examples", "conv_id", 8))
+
+
+def _batch_input(t: Tables):
     cfg = PrepConfig(max_seq_len=512)
-    made = kept(sft_examples(t, cfg)).select("conv_id", "n_tokens", "input_ids", "labels", "attention_mask")
-    padded = pad_batches(store(made, "examples"), ["conv_id"], shuffled("conv_id"), 4)
+    return kept(sft_examples(t, cfg)).select("conv_id", "n_tokens", "input_ids", "labels", "attention_mask")
+
+
+def _padded_columns(examples):
+    padded = pad_batches(examples, ["conv_id"], shuffled("conv_id"), 4)
     return padded.select(
         "conv_id", "batch_id", "row_in_batch", F.array_size("input_ids").cast("bigint").alias("ids_len"),
         _total("input_ids").alias("ids_sum"), _total("labels").alias("labels_sum"),
@@ -394,16 +437,44 @@ _DOC_TYPE = T.StructType(
 )
 
 
-@query(
-    "streamed_examples",
-    f"""WITH enc AS (
+_STREAMED_SQL = f"""WITH enc AS (
           SELECT doc_id, {sql.token_ids(sql.tokens("full_text") + '[1:512]')} AS ids, least(512, len({sql.tokens('prompt_text')})) AS prompt_len,
                  CASE WHEN ({sql.hash_key('doc_id')})::DOUBLE < 0.95 * 1152921504606846976.0 THEN 'train' ELSE 'eval' END AS split
           FROM (SELECT doc_id, p || '<|assistant|>' || chr(10) AS prompt_text, p || {sql.rendered("'assistant'", sql.REST)} AS full_text
                 FROM (SELECT doc_id, text, {sql.rendered("'system'", "'You are a helpful assistant.'")} || {sql.rendered("'user'", sql.HEAD)} AS p FROM documents)))
         SELECT doc_id, split, len(ids)::BIGINT AS n_tokens, prompt_len::BIGINT AS prompt_len, list_sum(ids)::BIGINT AS ids_sum
-        FROM enc WHERE prompt_len < len(ids)""",
-)
+        FROM enc WHERE prompt_len < len(ids)"""
+
+
+_DELIVERED = "doc_id bigint, source string, text string, ts timestamp"
+
+
+@query("streamed_examples_once", _STREAMED_SQL)
+def streamed_once(t: Tables):
+    """Files that are delivered again, some while the stream stands still: the restarted stream adds no row for them."""
+    folder, path, state = (new_folder(t.spark, name) for name in ("delivered", "stream", "stream-state"))
+    docs = t.spread("documents", "doc_id", "source", "text").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600))
+
+    def deliver(rows):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+
+    def take_in():
+        stream = t.spark.readStream.schema(_DELIVERED).option("maxFilesPerTrigger", 1).parquet(folder)
+        prompt, completion = derive.head_and_rest(F.col("text"))
+        rows = stream.select("doc_id", "source", "ts", prompt.alias("prompt"), completion.alias("completion"))
+        made = kept(prepare_stream(rows, ["doc_id"], PrepConfig(max_seq_len=512), event_time="ts", repeats_within="2 hours"))
+        write_stream(made.select("doc_id", "split", "n_tokens", "prompt_len", "input_ids"), path, state).awaitTermination()
+
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    deliver(docs.where(half == 0))
+    deliver(docs.where(half == 0))
+    take_in()
+    deliver(docs)
+    take_in()
+    return t.spark.read.parquet(path).select("doc_id", "split", "n_tokens", "prompt_len", _total("input_ids").alias("ids_sum"))
+
+
+@query("streamed_examples", _STREAMED_SQL)
 def streamed(t: Tables):
     """Documents as a stream of files into Parquet, read back afterwards."""
     files = t.spark.readStream.schema(_DOC_TYPE).option("pathGlobFilter", "documents.parquet")

@@ -35,6 +35,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``store``, as a table hashed and sorted by a key.
+
+    Joins and aggregations by that key take the table as it lies: only the other
+    side is shuffled, into as many buckets. A bucket is one file.
+    """
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    out = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    out.option("path", new_folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_examples(
     examples: DataFrame, path: str, mode: str = "errorifexists", even_files: bool = False
 ) -> None:

@@ -29,8 +29,19 @@ def prepare_stream(
     presence: str = "schema",
     template: ChatTemplate = ChatTemplate(),
     tokenizer: Tokenizer = WhitespaceTokenizer(),
+    event_time: str | None = None,
+    repeats_within: str = "1 day",
 ) -> DataFrame:
-    """Rows with one conversation each to examples with ``skip_reason``, ``split``."""
+    """Rows with one conversation each to examples with ``skip_reason``, ``split``.
+
+    With ``event_time`` a conversation that is delivered again (the same ``ids``)
+    within ``repeats_within`` of it gives no second row, also after a restart:
+    the ids are keyed state, which the watermark lets go of. Later repeats, and
+    rows behind the watermark, are not told apart from new ones or are dropped
+    by it, as Structured Streaming defines.
+    """
+    if event_time is not None:
+        rows = rows.withWatermark(event_time, repeats_within).dropDuplicatesWithinWatermark(list(ids))
     examples = build_examples(normalise(rows, presence), cfg, template, tokenizer)
     return examples.withColumn("split", hash_split(ids, split))
 
