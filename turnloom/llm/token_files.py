@@ -146,7 +146,6 @@ class TokenMatrix:
 # Text between these borders is encoded by itself: a byte-level tokenizer never joins a blank to what is before it.
 _SPACE = "\t-\r \x85\xa0 ᠎ -     　\x1c-\x1f"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_LATIN_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")  # no apostrophe, which may begin a token with letters
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
 
 
@@ -158,6 +157,7 @@ class ChunkEncoder:
     """
 
     LIMIT = 1_000_000     # chunks remembered; the memory starts anew beyond
+    AT_ONCE = 4096
 
     def __init__(self, definition: bytes, special: bool = False):
         from tokenizers import Tokenizer
@@ -169,13 +169,10 @@ class ChunkEncoder:
         self.added = either(added)
         # One that takes blanks around it, or depends on them, is left to the library with the whole text.
         self.bound = either([t for t in added if t.lstrip or t.rstrip or t.single_word])
-        self.model = self.tokenizer.model
         # A byte is a visible character of its own to the model: itself where it is one, else the next free one from 256 on.
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         others = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
-        self.blank = chr(self.alphabet[32])
-        self.signs: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -185,32 +182,21 @@ class ChunkEncoder:
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _ids_of(self, chunk: str) -> list[int]:
-        """A Latin word, with or without a blank before and signs behind, is what the model is given for it; else the whole way."""
-        word = _LATIN_WORD.fullmatch(chunk)
-        if word is None or self.added and self.added.search(chunk):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        blank, stem, signs = word.groups()
-        if not stem.isascii():
-            stem = stem.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(self.blank + stem if blank else stem)]
-        if not signs:
-            return ids
-        if signs not in self.signs:
-            if len(self.signs) > 10_000:
-                self.signs.clear()
-            self.signs[signs] = self.tokenizer.encode(signs, add_special_tokens=False).ids
-        return ids + self.signs[signs]
-
     def _learn(self, chunks: list[str]) -> None:
-        found = [self._ids_of(c) for c in chunks]
-        base, sizes = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
+        # Chunks go to the library as the words of one text, which it encodes each by itself: one call for many.
+        flat, sizes = [], np.zeros(len(chunks), np.int64)
+        for a in range(0, len(chunks), self.AT_ONCE):
+            found = self.tokenizer.encode(chunks[a : a + self.AT_ONCE], is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(found.ids, np.uint32))
+            owner = np.array(found.word_ids, np.int64)
+            sizes[a : a + self.AT_ONCE] = np.bincount(owner, minlength=min(self.AT_ONCE, len(chunks) - a))
+        base = len(self.known)
         while base + len(chunks) > len(self.first):
             self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
         while self.used + sizes.sum() > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         ends = self.used + np.cumsum(sizes)
-        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.flat[self.used : ends[-1]] = np.concatenate(flat)
         self.first[base : base + len(chunks)], self.count[base : base + len(chunks)] = ends - sizes, sizes
         self.used = int(ends[-1])
         self.known.update(zip(chunks, range(base, base + len(chunks))))
