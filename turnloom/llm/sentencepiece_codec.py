@@ -104,8 +104,8 @@ def read_model(data: bytes) -> PieceModel:
 
 
 class PieceCodec:
-    # Words and neighbours remembered, about 100 MB together at most; a full memory starts anew.
-    WORDS, NEIGHBOURS = 250_000, 300_000
+    # Words and neighbours remembered, up to about 370 MB together; a full memory starts anew.
+    WORDS, NEIGHBOURS = 800_000, 1_000_000
 
     def __init__(self, model: PieceModel):
         self.model = model
