@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,8 +133,41 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+_HELD: dict[tuple[str, int], tuple[object, int | None]] = {}
+
+
+def _task() -> int | None:
+    context = TaskContext.get()
+    return None if context is None else context.taskAttemptId()
+
+
+def held(name: str, key: int, make: Callable[[], object]) -> object:
+    """An object that this worker process keeps for later tasks, one for a name; ``byte_blocks`` drops it in a task that does not ask for it."""
+    found = _HELD.get((name, key))
+    if found is None:
+        for other in [k for k in _HELD if k[0] == name]:
+            del _HELD[other]
+    value = make() if found is None else found[0]
+    _HELD[name, key] = value, _task()
+    return value
+
+
+def _drop_unused() -> None:
+    """Give back what was held for tasks of other operators; workers live as long as the executor."""
+    unused = [k for k, (_, task) in _HELD.items() if task != _task()]
+    if unused and _task() is not None:
+        for k in unused:
+            del _HELD[k]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def byte_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column``; rows stay whole."""
+    _drop_unused()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         block = np.cumsum(sizes) // limit

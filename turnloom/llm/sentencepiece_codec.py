@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import as_named, as_numbered, byte_blocks, file_bytes, kept_columns, numbered_fields, query, table
+from turnloom.llm.common import as_named, as_numbered, byte_blocks, file_bytes, held, kept_columns, numbered_fields, query, table
 
 # --- Fixed values of the model format -----------------------------------------
 BLANK = "▁"
@@ -104,7 +105,7 @@ def read_model(data: bytes) -> PieceModel:
 
 
 class PieceCodec:
-    # Words and neighbours remembered, up to about 370 MB together; a full memory starts anew.
+    # Words and neighbours remembered, up to about 300 MB together; a full memory starts anew.
     WORDS, NEIGHBOURS = 800_000, 1_000_000
 
     def __init__(self, model: PieceModel):
@@ -123,7 +124,7 @@ class PieceCodec:
                          for p, k in zip(model.pieces, model.kinds)]
         order = sorted(self.ids.values(), key=lambda i: -model.scores[i])
         self.rank = dict(zip(order, range(len(order))))     # when a piece is made: the smaller, the earlier
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}   # ids as 32-bit integers
         self.made_of: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
@@ -260,16 +261,14 @@ class PieceCodec:
 
     # -- texts
 
-    def _word(self, word: str) -> list[int]:
-        m, out, at = self.model, [], 0
+    def _word(self, word: str) -> bytes:
+        m, at = self.model, 0
         stop = len(word)
         while stop > 2 and not word[stop - 1].isalnum() and word[stop - 2 : stop] not in self.neighbours:
             stop -= 1   # no piece goes over this border
         if stop < len(word):
-            out += self._known(word[:stop])
-            for sign in word[stop:]:
-                out += self._known(sign)
-            return out
+            return b"".join([self._known(word[:stop]), *map(self._known, word[stop:])])
+        out = array("i")
         for i in self.steps(word):
             if i >= 0:
                 out.append(i)
@@ -280,9 +279,9 @@ class PieceCodec:
                 else:
                     out.append(m.unknown_id)
                 at += 1
-        return out
+        return out.tobytes()
 
-    def _known(self, word: str) -> list[int]:
+    def _known(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
             ids = self._word(word)
@@ -292,14 +291,16 @@ class PieceCodec:
                 self.known[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """Ids as 32-bit integers in a row."""
         if not text:
-            return []
+            return b""
         text = text.replace(" ", BLANK)
-        known, out = self.known, []
-        for w in self.word.findall(BLANK + text if self.model.dummy_prefix else text):
-            out += known.get(w) or self._known(w)
-        return out
+        known = self.known
+        return b"".join([known.get(w) or self._known(w) for w in self.word.findall(BLANK + text if self.model.dummy_prefix else text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
@@ -307,16 +308,9 @@ class PieceCodec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_CODECS: dict[int, PieceCodec] = {}
-
-
 def codec(data: bytes) -> PieceCodec:
     """The codec of this worker process for a model file's bytes."""
-    key = zlib.crc32(data)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = PieceCodec(read_model(data))
-    return _CODECS[key]
+    return held("pieces", zlib.crc32(data), lambda: PieceCodec(read_model(data)))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -336,9 +330,11 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(shared.value)
         for batch in byte_blocks(batches, "text", 1 << 20):
-            ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(pieces.encode_packed(t or ""), np.int32) for t in batch.column("text").to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+            decoded = [pieces.decode(i.tolist()) for i in ids]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], schema.names)
+                [*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], schema.names)
 
     return rows.mapInArrow(run, schema).select(*as_named(kept), "ids", "decoded")
 
