@@ -32,6 +32,28 @@ def test_packing_equals_a_loop(spark, docs, length, stride, tail):
     assert {r["chunk_id"]: (r["input_ids"], r["labels"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("bits", [10, 13, 16])
+@pytest.mark.parametrize("length, stride, tail", [(16, None, False), (16, 17, True), (700, 90, True)])
+def test_packing_over_borders_of_blocks(spark, docs, length, stride, tail, bits):
+    """Blocks of one document, of a few, and of many give the same chunks; null and empty texts too."""
+    more = docs.unionByName(spark.createDataFrame([(7, None), (9, ""), (-5, "a b"), (1 << 40, "c d e")], "doc_id long, text string"))
+    got = [
+        {(r["chunk_id"], tuple(r["input_ids"]), tuple(r["labels"])) for r in
+         pack_documents(more, by_column("doc_id", bits=b), chunk_len=length, stride=stride, keep_tail=tail).collect()}
+        for b in (bits, 40)
+    ]
+    assert got[0] == got[1] and got[0]
+    assert pack_documents(more.limit(0), by_column("doc_id", bits=bits), chunk_len=length, keep_tail=tail).isEmpty()
+
+
+def test_packing_moves_tokens_once(spark, docs):
+    """One exchange carries whole documents' ids; the other one pieces at borders only."""
+    plan = pack_documents(docs, by_column("doc_id", bits=10), chunk_len=16)
+    plan.write.format("noop").mode("overwrite").save()
+    inner = plan._jdf.queryExecution().executedPlan().toString().split(":- ")[1].split("Window [min(")[0]
+    assert "ObjectHashAggregate(keys=[__block" in inner and "Exchange" not in inner
+
+
 def test_packing_rejects_gaps_between_chunks(docs):
     with pytest.raises(ValueError):
         pack_documents(docs, by_column("doc_id"), chunk_len=8, stride=10)

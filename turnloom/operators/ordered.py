@@ -44,9 +44,9 @@ def shuffled(*ids: str, seed: int = DEFAULT_SEED) -> RowOrder:
     return RowOrder(shuffle_key(*ids, seed=seed), tuple(ids), (44,))
 
 
-def by_column(name: str, *tie: str) -> RowOrder:
-    """Order of a whole-number column that is unique within its group."""
-    return RowOrder(F.col(name).cast("bigint"), tie)
+def by_column(name: str, *tie: str, bits: int = 16) -> RowOrder:
+    """Order of a whole-number column that is unique within its group, in finest blocks of ``2 ** bits`` keys."""
+    return RowOrder(F.col(name).cast("bigint"), tie, tuple(range(bits, 64, 16)))
 
 
 def order_of(df: DataFrame, name: str) -> RowOrder:
@@ -73,13 +73,15 @@ def ordered_scan(
     lags: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
+    block: str | None = None,
 ) -> DataFrame:
     """Add running values of each ``by`` group, in ``order``.
 
     ``sums``: sum over the earlier rows of the group. ``lags``: value of the
     previous row. ``latest``: value of the last earlier row that has one (is not
-    null). ``totals``: sum over the whole group. The rows are shuffled
-    once, by group and finest block. The input is read twice, so hand in a
+    null). ``totals``: sum over the whole group. ``block``: name for the number of
+    the finest block. The rows are shuffled once, by group and finest block, and
+    stay so: grouping by both moves nothing. The input is read twice, so hand in a
     stored table or one that is cheap to derive.
     """
     sums, lags, latest, totals = dict(sums or {}), dict(lags or {}), dict(latest or {}), dict(totals or {})
@@ -150,10 +152,11 @@ def ordered_scan(
     rows = work.withColumns(_preceding(along, added, carried, known))
     replaced = s_col | l_col | k_col | t_col
     kept = [c for c in df.columns if c not in replaced]
-    rows = descend(rows, table, "__b0", [F.col(c) for c in kept])
+    rows = descend(rows, table, "__b0", [F.col(c) for c in [*kept, *(["__b0"] if block else [])]])
     names = s_col | l_col | k_col
     return rows.select(
         *kept,
+        *([F.col("__b0").alias(block)] if block else []),
         *[F.col(f"__o{c}").alias(n) for n, c in names.items()],
         *[F.col(f"__w{c}").alias(n) for n, c in t_col.items()],
     )

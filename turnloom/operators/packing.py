@@ -70,9 +70,13 @@ def pack_documents(
     ``stride`` tokens later (default ``chunk_len``, sharing one token). No
     padding; an incomplete last chunk is dropped unless ``keep_tail``.
 
-    A document is cut into its pieces before anything is exploded, so what moves
-    is one row per document and chunk, and a chunk never gathers more pieces
-    than it has tokens.
+    A document is cut into its pieces before anything is exploded, so what is
+    grouped is one row per document and chunk, and a chunk never gathers more
+    pieces than it has tokens. Token ids move once, as 32-bit numbers (larger
+    ones fail), to the block of the order key; a chunk inside a block is put
+    together there, and only pieces of chunks that go over a border of blocks
+    move again. Whole texts are heavy rows, so blocks of about a thousand
+    documents suit (``by_column(..., bits=10)``).
     """
     stride = chunk_len if stride is None else stride
     if not 1 <= stride <= chunk_len + 1:
@@ -83,7 +87,7 @@ def pack_documents(
     encoded = tokenizer.encode(slim, "__text", "__ids", None, {"__n": "__text"}).drop("__text")
     encoded = encoded.withColumns(
         {
-            "__ids": F.concat("__ids", F.array(F.lit(eos_id).cast("bigint"))),
+            "__ids": F.concat("__ids", F.array(F.lit(eos_id).cast("bigint"))).cast("array<int>"),
             "__n": F.col("__n") + 1,
         }
     )
@@ -91,12 +95,24 @@ def pack_documents(
         encoded,
         RowOrder(F.col("__key"), order.tie, order.shifts),
         sums={"__start": F.col("__n")},
+        block="__block",
     )
-    start, ids = F.col("__start"), F.col("__ids")
-    end = start + F.col("__n")
+    along = W.partitionBy("__block")
+    placed = placed.select(
+        "__block",
+        "__ids",
+        F.col("__start"),
+        (F.col("__start") + F.col("__n")).alias("__end"),
+        F.min("__start").over(along).alias("__from"),
+        F.max(F.col("__start") + F.col("__n")).over(along).alias("__to"),
+    )
+    start, end, ids = F.col("__start"), F.col("__end"), F.col("__ids")
     first = F.greatest(F.ceil((start - width + 1) / stride), F.lit(0)).cast("bigint")
     last = F.floor((end - 1) / stride).cast("bigint")
 
+    def within(chunk):
+        return (chunk * stride >= F.col("__from")) & (chunk * stride + width <= F.col("__to"))
+
     def piece(chunk):
         begin = F.greatest(start, chunk * stride)
         stop = F.least(end, chunk * stride + width)
@@ -106,19 +122,23 @@ def pack_documents(
             F.slice(ids, (begin - start + 1).cast("int"), (stop - begin).cast("int")).alias("ids"),
         )
 
-    pieces = F.transform(F.sequence(first, last), piece)
-    chunks = (
-        placed.select(F.inline(pieces))
-        .groupBy("chunk_id")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("__p"))
-        .select("chunk_id", F.flatten(F.transform("__p", lambda p: p["ids"])).alias("__c"))
-    )
+    def assembled(wanted, *keys: str) -> DataFrame:
+        numbers = F.filter(F.sequence(first, last), wanted)
+        return (
+            placed.select("__block", F.inline(F.transform(numbers, piece)))
+            .groupBy(*keys, "chunk_id")
+            .agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("__p"))
+            .select("chunk_id", F.flatten(F.transform("__p", lambda p: p["ids"])).alias("__c"))
+        )
+
+    chunks = assembled(within, "__block").unionByName(assembled(lambda c: ~within(c)))
     size = F.array_size("__c")
     chunks = chunks.filter(size > 1) if keep_tail else chunks.filter(size == width)
+    tokens = F.col("__c").cast("array<bigint>")
     return chunks.select(
         "chunk_id",
-        F.slice("__c", F.lit(1), size - 1).alias("input_ids"),
-        F.slice("__c", F.lit(2), size - 1).alias("labels"),
+        F.slice(tokens, F.lit(1), size - 1).alias("input_ids"),
+        F.slice(tokens, F.lit(2), size - 1).alias("labels"),
     )
 
 

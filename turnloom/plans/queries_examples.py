@@ -367,14 +367,14 @@ def _packed_columns(chunks):
 
 @query("packed_documents", _packed_sql(128, 128, False))
 def packed(t: Tables):
-    return _packed_columns(pack_documents(t.spread("documents", "doc_id", "text"), by_column("doc_id"), chunk_len=128))
+    return _packed_columns(pack_documents(t.spread("documents", "doc_id", "text"), by_column("doc_id", bits=10), chunk_len=128))
 
 
 @query("packed_documents_apart", _packed_sql(512, 513, True))
 def packed_apart(t: Tables):
     docs = t.spread("documents", "doc_id", "text")
     return _packed_columns(
-        pack_documents(docs, by_column("doc_id"), chunk_len=512, stride=513, keep_tail=True)
+        pack_documents(docs, by_column("doc_id", bits=10), chunk_len=512, stride=513, keep_tail=True)
     )
 
 
