@@ -21,6 +21,7 @@ from turnloom.operators.packing import pack_documents, pad_batches, training_man
 from turnloom.operators.permutation import examples_of_steps, number_examples, steps_of_examples
 from turnloom.operators.report import StageCounts, counts_table, sample_counts, skip_counts, watch_preparation
 from turnloom.operators.split import exact_split
+from turnloom.operators.subwords import RankedMerges
 from turnloom.operators.turn_examples import build_turn_examples, build_turn_plain_examples
 from turnloom.plans import derive, sql
 from turnloom.plans.queries_corpus import split_sql
@@ -82,6 +83,28 @@ def tokenised_documents(t: Tables):
     )
 
 
+def _subwords() -> RankedMerges:
+    import public_tokenizers
+
+    return RankedMerges(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("subword_documents")
+def subword_documents(t: Tables):
+    docs = _subwords().encode(t.spread("documents", "doc_id", "text"), "text", "ids", None, {"n_tokens": "text"})
+    return docs.select(
+        "doc_id", "n_tokens", _total("ids").alias("ids_sum"), F.get("ids", F.lit(0)).alias("first_id"),
+        F.try_element_at("ids", F.lit(-1)).alias("last_id"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+    )
+
+
+@query("sft_examples_subword")
+def subword_examples(t: Tables):
+    """The main path with subword ids; every label is its input or ignored."""
+    talks = store(derive.conversations(t), "conversations")
+    return _columns(kept(build_examples(talks, tokenizer=_subwords())))
+
+
 @query(
     "attention_masks",
     f"""{sql.examples(512)}
