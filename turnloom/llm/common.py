@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -142,39 +143,64 @@ def _task() -> int | None:
 
 
 def held(name: str, key: int, make: Callable[[], object]) -> object:
-    """An object that this worker process keeps for later tasks, one for a name; ``byte_blocks`` drops it in a task that does not ask for it."""
+    """An object that this worker process keeps for later tasks, one for a name.
+
+    ``byte_blocks`` drops it in a task that does not ask for it, and once no task
+    has come for ``IDLE_SECONDS``.
+    """
     found = _HELD.get((name, key))
     if found is None:
         for other in [k for k in _HELD if k[0] == name]:
-            del _HELD[other]
+            _HELD.pop(other, None)
     value = make() if found is None else found[0]
     _HELD[name, key] = value, _task()
     return value
 
 
-def _drop_unused() -> None:
-    """Give back what was held for tasks of other operators; workers live as long as the executor."""
+IDLE_SECONDS = 2.0
+_IDLE: list[threading.Timer] = []
+
+
+def _give_back(keys: list[tuple[str, int]]) -> None:
+    """Drop held objects, and return free memory to the system; workers live as long as the executor, beside its JVM."""
+    for k in keys:
+        _HELD.pop(k, None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _begin_task() -> None:
+    while _IDLE:
+        _IDLE.pop().cancel()
     unused = [k for k, (_, task) in _HELD.items() if task != _task()]
     if unused and _task() is not None:
-        for k in unused:
-            del _HELD[k]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        _give_back(unused)
+
+
+def _end_task() -> None:
+    if _task() is not None:
+        timer = threading.Timer(IDLE_SECONDS, lambda: _give_back(list(_HELD)))
+        timer.daemon = True
+        _IDLE.append(timer)
+        timer.start()
 
 
 def byte_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column``; rows stay whole."""
-    _drop_unused()
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+    _begin_task()
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            block = np.cumsum(sizes) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        _end_task()
 
 
 def code_points(text: str) -> np.ndarray:
