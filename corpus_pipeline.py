@@ -70,9 +70,19 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         (F.col("decoded") == F.coalesce(names["text"], F.lit(""))).alias("same_text"))
 
 
+BATCH_BYTES = 2 << 20
+
+
 def _ready(stage):
-    """A stage whose tasks can import this package."""
-    return lambda spark, docs, sf_dir: stage(shipped(spark), docs, sf_dir)
+    """A stage whose tasks can import this package, and whose batches are cut by bytes before they are sent.
+
+    Executor and worker both hold a batch; 10,000 documents would be too much for either.
+    """
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(shipped(spark), docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
