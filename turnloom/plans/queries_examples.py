@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -497,14 +498,21 @@ def streamed_once(t: Tables):
     return t.spark.read.parquet(path).select("doc_id", "split", "n_tokens", "prompt_len", _total("input_ids").alias("ids_sum"))
 
 
+def _pattern_of(path: str) -> str:
+    """A pattern that matches this path alone."""
+    folder, name = path.rsplit("/", 1)
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", folder) + "/" + f"[{name[0]}]{name[1:]}"
+
+
 @query("streamed_examples", _STREAMED_SQL)
 def streamed(t: Tables):
     """Documents as a stream of files into Parquet, read back afterwards."""
-    files = t.spark.readStream.schema(_DOC_TYPE).option("pathGlobFilter", "documents.parquet")
-    docs = files.parquet(t.folder)
+    # As a pattern, because a plain path may only be a folder here; it takes a table of one file and a folder of files.
+    docs = t.spark.readStream.schema(_DOC_TYPE).parquet(_pattern_of(t.path("documents")))
     made = kept(prepare_stream(derive.prompt_rows(docs), ["doc_id"], PrepConfig(max_seq_len=512)))
     path, state = new_folder(t.spark, "stream"), new_folder(t.spark, "stream-state")
-    write_stream(made.select("doc_id", "split", "n_tokens", "prompt_len", "input_ids"), path, state).awaitTermination()
-    return t.spark.read.parquet(path).select(
+    examples = made.select("doc_id", "split", "n_tokens", "prompt_len", "input_ids")
+    write_stream(examples, path, state).awaitTermination()
+    return t.spark.read.schema(examples.schema).parquet(path).select(
         "doc_id", "split", "n_tokens", "prompt_len", _total("input_ids").alias("ids_sum")
     )
