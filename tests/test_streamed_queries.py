@@ -24,3 +24,14 @@ def test_a_table_that_is_a_folder_of_files(spark):
 
 def test_a_table_without_rows(spark):
     assert QUERIES["streamed_examples"](spark, documents(spark, [], 1)).collect() == []
+
+
+def test_deliveries_are_not_gathered_in_one_task(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "turnloom"
+    before = set(shared.glob("delivered-*"))
+    got = QUERIES["streamed_examples_once"](spark, documents(spark, rows(40), 9))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+    (delivered,) = set(shared.glob("delivered-*")) - before
+    assert len(list(delivered.glob("*.parquet"))) > 3

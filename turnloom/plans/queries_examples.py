@@ -478,24 +478,28 @@ def streamed_once(t: Tables):
     """Files that are delivered again, some while the stream stands still: the restarted stream adds no row for them."""
     folder, path, state = (new_folder(t.spark, name) for name in ("delivered", "stream", "stream-state"))
     docs = t.spread("documents", "doc_id", "source", "text").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600))
+    columns = ["doc_id", "split", "n_tokens", "prompt_len", "input_ids"]
 
     def deliver(rows):
-        rows.coalesce(1).write.mode("append").parquet(folder)
+        rows.write.mode("append").parquet(folder)
 
-    def take_in():
-        stream = t.spark.readStream.schema(_DELIVERED).option("maxFilesPerTrigger", 1).parquet(folder)
+    def take_in(files):
+        # As many files at a time as one delivery has, so that deliveries are taken in one after the other.
+        stream = t.spark.readStream.schema(_DELIVERED).option("maxFilesPerTrigger", files).parquet(folder)
         prompt, completion = derive.head_and_rest(F.col("text"))
         rows = stream.select("doc_id", "source", "ts", prompt.alias("prompt"), completion.alias("completion"))
-        made = kept(prepare_stream(rows, ["doc_id"], PrepConfig(max_seq_len=512), event_time="ts", repeats_within="2 hours"))
-        write_stream(made.select("doc_id", "split", "n_tokens", "prompt_len", "input_ids"), path, state).awaitTermination()
+        made = kept(prepare_stream(rows, ["doc_id"], PrepConfig(max_seq_len=512), event_time="ts", repeats_within="2 hours")).select(columns)
+        write_stream(made, path, state).awaitTermination()
+        return made.schema
 
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     deliver(docs.where(half == 0))
+    files = max(1, len(t.spark.read.schema(_DELIVERED).parquet(folder).inputFiles()))
     deliver(docs.where(half == 0))
-    take_in()
+    take_in(files)
     deliver(docs)
-    take_in()
-    return t.spark.read.parquet(path).select("doc_id", "split", "n_tokens", "prompt_len", _total("input_ids").alias("ids_sum"))
+    schema = take_in(files)
+    return t.spark.read.schema(schema).parquet(path).select("doc_id", "split", "n_tokens", "prompt_len", _total("input_ids").alias("ids_sum"))
 
 
 def _pattern_of(path: str) -> str:
