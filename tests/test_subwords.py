@@ -84,3 +84,14 @@ def test_only_rare_words_are_shuffled_to_the_word_table(spark):
     df = with_shared_folder(spark).createDataFrame([("a", "the cat " * 50)], "key string, text string")
     plan = RankedMerges(PATH).texts_to_ids(df)
     assert plan.select(F.size("ids")).first()[0] == 101 and "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_not_shuffled(spark, library, monkeypatch):
+    """What moves is a text and a word of a block, not a row per place; here each text is nearly a block of its own."""
+    monkeypatch.setattr("turnloom.operators.subwords.BLOCK_BYTES", 8)
+    texts = {f"k{i}": f"the word{i % 50} and word{i % 7} again é中" * (1 + i % 3) for i in range(200)}
+    df = with_shared_folder(spark).createDataFrame(list(texts.items()), "key string, text string")
+    made = RankedMerges(PATH).texts_to_ids(df)
+    assert {r["key"]: r["ids"] for r in made.collect()} == {k: library.encode_ordinary(t) for k, t in texts.items()}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "posexplode" not in plan
