@@ -46,3 +46,20 @@ def test_any_order_gives_the_batch_result(spark, order):
 
 def hash_of(chunk, order):
     return (order * (CHUNKS.index(chunk) + 1)) % 31 if order == 7 else order * CHUNKS.index(chunk)
+
+
+def test_requests_that_share_a_state(spark):
+    """One is closed while others of its state get chunks; a null request is one too."""
+    folder, path, state = (new_folder(spark, name) for name in ("chunks", "out", "state"))
+    day = 86_400
+    files = [[("old", 0, data("a"), 0), ("done", 0, "data: [DONE]", 0), (None, 0, data("n"), 0)], [("done", 1, data("late"), 60)],
+             [("new", 0, data("b"), day)], [("new", 1, "data: [DONE]", day), ("end", 0, data("x"), 3 * day)]]
+    for rows in files:
+        made = spark.createDataFrame([(*r[:3], 1_700_000_000 + r[3]) for r in rows], "request_id string, seq bigint, raw string, s long")
+        made.select("request_id", "seq", "raw", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").json(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    out = reassemble_stream(stream, delay="1 hour", lifetime="10 minutes", buckets=1)
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.request_id, r.kind): (r.response, r.complete, r.n_late) for r in spark.read.schema(RESULT).parquet(path).collect()}
+    assert got == {("old", RESPONSE): ("a", False, 0), ("done", RESPONSE): ("", True, 0), (None, RESPONSE): ("n", False, 0),
+                   ("done", LATE): (None, None, 1), ("new", RESPONSE): ("b", True, 0)}

@@ -297,12 +297,15 @@ def responses_from_a_stream(t: Tables):
     folder, path, state = (new_folder(t.spark, name) for name in ("chunks", "responses", "responses-state"))
     chunks = store(derive.chunks(t).select("request_id", "seq", "raw", sent.alias("ts")), "chunk-log")
     part = F.pmod(F.xxhash64("request_id", "seq"), F.lit(3))
+    files = 0
     for k in (2, 0, 1):
-        chunks.where(part == k).coalesce(1).write.mode("append").json(folder)
+        chunks.where(part == k).write.mode("append").json(folder)
+        files = files or len(t.spark.read.schema(_CHUNK_SCHEMA).json(folder).inputFiles())
     closing = chunks.agg(F.lit("end of log").alias("request_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("data: [DONE]").alias("raw"),
                          F.timestamp_seconds(F.lit(1_700_000_000) + F.max("seq") + 86_400).alias("ts"))
     closing.coalesce(1).write.mode("append").json(folder)
-    stream = t.spark.readStream.schema(_CHUNK_SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    # As many files at a time as one part has, so that the parts arrive one after the other.
+    stream = t.spark.readStream.schema(_CHUNK_SCHEMA).option("maxFilesPerTrigger", max(1, files)).json(folder)
     made = reassemble_stream(stream, delay="12 hours", lifetime="1 hour")
     made.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     out = t.spark.read.schema(RESULT).parquet(path).where((F.col("kind") == RESPONSE) & (F.col("request_id") != "end of log"))
