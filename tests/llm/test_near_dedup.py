@@ -94,3 +94,48 @@ def test_components_of_a_path_and_a_star(llm):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (2001, 2000)]
     got = {r.node: r.component for r in connected_components(llm.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}, 2000: 2000, 2001: 2000}
+
+
+def test_group_of_unlinked_texts_is_not_paired(llm, monkeypatch):
+    """Edited copies of one text, unlike enough for no link but for a few twins: neither their pairs are confirmed, nor is a twin lost."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(150)]
+
+    def edited(text, times):
+        text = list(text)
+        for _ in range(times):
+            text[rng.randrange(len(text))] = f"new{rng.randrange(10**9)}"
+        return text
+
+    texts = [edited(base, 4 + i % 2) for i in range(40)]
+    texts += [edited(texts[i], 1) for i in (3, 17, 31)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    confirmed, asked = nd.confirmed, []
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(nd, "confirmed", counted)
+    got = nd.near_duplicates(llm.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
+    assert sum(asked) < len(rows) * (len(rows) - 1) // 4
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_linked_by_differences_equals_all_pairs(llm, percent):
+    """Groups around a hub, near it and far from it; two sets under one id, and repeated rows."""
+    rng = np.random.default_rng(percent)
+    sets = [(0, np.arange(60))]
+    for i in range(1, 50):
+        near = np.setdiff1d(np.arange(60), rng.choice(60, int(rng.integers(0, 14)), False))
+        sets.append((i, np.unique(np.concatenate((near, rng.integers(60, 90, int(rng.integers(0, 12))))))))
+    sets += [(50, np.arange(500, 520)), (51, np.arange(500, 521)), (7, np.arange(499, 520)), sets[9], sets[0]]
+    rows = llm.createDataFrame([(i, bytearray(np.sort(s.astype(np.uint64)).tobytes())) for i, s in sets], "id long, items binary")
+    groups = llm.createDataFrame([(0, i, i) for i in range(52)], "hub long, node long, c long")
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if a != b and 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))]
+    want = {r.node: r.component for r in connected_components(llm.createDataFrame(links, "a long, b long")).collect()}
+    found = nd.linked_by_differences(groups, rows, percent)
+    assert {r.node: r.component for r in connected_components(found).collect()} == want
+    assert {tuple(sorted(p)) for p in found.collect()} <= {tuple(sorted(p)) for p in links}

@@ -9,8 +9,10 @@ confirmed on the full sets.
 
 Pairs of a key are never all listed. Equal sets are one node. The members of a
 key are first compared with the key's best connected member only; after two
-such rounds only members of still different components are paired, and keys
-with many of them are refined by a second chunk.
+such rounds only members of still different components are paired: in keys of
+few members one by one, each pair at the first key that it shares. Members of
+larger keys are written as differences from the key's hub, and pairs are found
+by the rare differences that they share (``linked_by_differences``).
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ SYMBOLS, CHUNKS = 64, 16
 SYMBOL_BITS, LANE = 14, 15      # a lane's top bit is free
 MAX_DISTANCE = 29
 STAR_ROUNDS = 2
-LARGE = 1000        # members of different components from which a key is refined
+LARGE = 16          # members of a key up to which they are paired one by one
+BANDS = 8           # classes of members of a large group, by their distance from the hub
+COPY_MEMBERS = 256  # members of a group that share one copy of the hub's set
 _NO_ID = -(1 << 63)
 
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -131,8 +135,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["id", "items"])
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Symbols in which two signatures differ."""
+def _chunk_distances(a: Column, b: Column) -> list[Column]:
     # A lane that is not zero carries into its top bit; the sum stays below 2**60.
     carry = sum(((1 << SYMBOL_BITS) - 1) << LANE * i for i in range(4))
     tops = sum(1 << LANE * i + SYMBOL_BITS for i in range(4))
@@ -141,7 +144,20 @@ def distance(a: Column, b: Column) -> Column:
         return F.bit_count((x.bitwiseXOR(y) + F.lit(carry)).bitwiseAND(F.lit(tops)))
 
     # Written out chunk by chunk, which compiles; a function over arrays would be interpreted for each pair.
-    return reduce(add, [differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(CHUNKS)])
+    return [differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(CHUNKS)]
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Symbols in which two signatures differ."""
+    return reduce(add, _chunk_distances(a, b))
+
+
+def _first_shared(number: Column, a: Column, b: Column) -> Column:
+    """Whether the key of that number, which both signatures have, is the first one that they share."""
+    first = F.least(*[F.when(d <= 1, i) for i, d in enumerate(_chunk_distances(a, b))])
+    chunk = F.shiftright(number, 2)
+    # Equal chunks share four keys, chunks with one wrong symbol a single one.
+    return (chunk == first) & ((number % 4 == 0) | (F.get(a, chunk) != F.get(b, chunk)))
 
 
 def chunk_keys(sig: Column) -> Column:
@@ -173,6 +189,86 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(judge, "a bigint, b bigint")
 
 
+def _hubs(members: DataFrame, degrees: DataFrame) -> DataFrame:
+    """``key, b, cb``: every key's best connected member, and its component."""
+    rank = F.struct("degree", F.bitwise_not("node").alias("low"))
+    return (members.join(degrees, "node").groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node", "c")).alias("hub"))
+            .select("key", F.col("hub.node").alias("b"), F.col("hub.c").alias("cb")))
+
+
+def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``hub, node, c, v, e, items``: the items that a member's set ``v`` and the hub's do not share, and the excess ``e`` of the member."""
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_blocks(batches, "x", 1 << 20):
+            found, versions, excess = [], [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                found.append(np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+                versions.append(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True))
+                excess.append((100 + percent) * len(found[-1]) - (100 - percent) * (len(x) // 8))
+            ends = np.concatenate(([0], np.cumsum([len(d) for d in found]))).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("hub", "node", "c")), pa.array(versions, pa.int64()), pa.array(excess, pa.int64()), items],
+                                             ["hub", "node", "c", "v", "e", "items"])
+
+    # Members of a large group meet copies of the hub's set, not all of them one; of several sets under one id any will do.
+    shares = groups.groupBy("hub").agg(F.ceil(F.count("*") / COPY_MEMBERS).alias("copies"))
+    hubs = (sets.join(shares, F.col("id") == F.col("hub")).groupBy("hub", "copies").agg(F.min("items").alias("y"))
+            .select("hub", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")))
+    both = (groups.join(sets.select(F.col("id").alias("node"), F.col("items").alias("x")), "node")
+            .join(shares, "hub").withColumn("copy", F.pmod(F.xxhash64("node"), "copies")).join(hubs, ["hub", "copy"]))
+    return (both.select("hub", "node", "c", "x", "y").mapInArrow(differ, "hub bigint, node bigint, c bigint, v bigint, e bigint, items array<bigint>")
+            .dropDuplicates(["hub", "node", "v"]))
+
+
+def linked_by_differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join what is linked within each group ``hub, node, c``; members of one ``c`` are joined already.
+
+    With ``dx`` and ``dy`` the differences of two sets x, y from the hub's, x and y
+    have ``|dx| + |dy| - 2 |dx & dy|`` items apart, and are linked if that is at
+    most ``(100 - percent) / (100 + percent)`` of ``|x| + |y|``. So their excesses,
+    ``(100 + percent) |d| - (100 - percent) |x|`` each, say how many differences
+    they must share: none, if the sum is not positive, else the sum divided by
+    ``2 (100 + percent)``. Whoever needs none with the member of least excess
+    is linked with it. The others must share one of their rare differences:
+    in one order of a group's items, rarest first, one before the last
+    ``need - 1``. Items that one member alone has are shared with nobody, so
+    members that need more than they have left meet no one. All of it is exact.
+    """
+    unit = 2 * (100 + percent)
+    diffs = stored(_differences(groups, sets, percent))
+    spans = diffs.groupBy("hub").agg(F.min(F.struct("e", "node", "c")).alias("low"), F.max("e").alias("top")).select(
+        "hub", "low", F.greatest(F.lit(unit), F.ceil((F.col("top") - F.col("low.e")) / BANDS)).alias("width"))
+    placed = diffs.drop("items").join(spans, "hub").withColumn("sure", F.col("e") + F.col("low.e") <= 0)
+    sure = placed.where(F.col("sure") & (F.col("node") != F.col("low.node"))).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+
+    items = diffs.select("hub", "node", "v", F.explode("items").alias("item"))
+    counts = items.groupBy("hub", "item").agg(F.count("*").alias("members")).where("members > 1")
+    ranked = (items.join(counts, ["hub", "item"]).groupBy("hub", "node", "v")
+              .agg(F.sort_array(F.collect_list(F.struct("members", "item"))).getField("item").alias("items")))
+    members = stored(placed.join(ranked, ["hub", "node", "v"]).select(
+        "hub", "node", "v", F.when(F.col("sure"), F.col("low.c")).otherwise(F.col("c")).alias("c"), "e", "items", F.size("items").alias("size"),
+        F.floor((F.col("e") - F.col("low.e")) / F.col("width")).alias("band"), F.col("low.e").alias("least"), "width"))
+
+    def need(x: Column, y: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil((x + y) / unit))
+
+    # What a member must show to a band is what the band's least excess asks for.
+    shown = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BANDS).cast("bigint"))))
+    shown = shown.withColumn("first", F.col("size") - need(F.col("e"), F.col("least") + F.col("other") * F.col("width")) + 1).where("first > 0")
+    shown = shown.select("hub", "node", "v", "c", "e", "size", "band", "other", F.posexplode(F.slice("items", F.lit(1), F.col("first").cast("int"))).alias("place", "item"))
+    x, y = (shown.select("hub", "item", F.col("band").alias(own), F.col("other").alias(other), *[F.col(k).alias(f"{k}{side}") for k in ("node", "v", "c", "e", "size", "place")])
+            for side, own, other in (("a", "low", "high"), ("b", "high", "low")))
+    asked = need(F.col("ea"), F.col("eb"))
+    within = (F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & (F.col("placea") <= F.col("sizea") - asked) & (F.col("placeb") <= F.col("sizeb") - asked)
+    on = ["hub", "item", "low", "high"]
+    met = x.alias("x").join(y.alias("y"), reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]) & within)
+    met = met.select(F.col("x.hub").alias("hub"), "nodea", "va", "nodeb", "vb").distinct()
+    side = lambda k: members.select("hub", *[F.col(c).alias(f"{c}{k}") for c in ("node", "v", "e", "items")])
+    found = (met.join(side("a"), ["hub", "nodea", "va"]).join(side("b"), ["hub", "nodeb", "vb"])
+             .where(unit * F.size(F.array_intersect("itemsa", "itemsb")) >= F.col("ea") + F.col("eb")))
+    return sure.unionByName(found.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))).distinct()
+
+
 def _with_components(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of keys that still hold more than one component."""
     named = members.join(components.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -199,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = stored(rows.mapInArrow(_describe, "id bigint, n bigint, k1 bigint, k2 bigint, sig array<bigint>"))
     nodes = stored(described.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "sig")).alias("m"))
                    .select(F.col("m.id").alias("node"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig"), "k1", "k2"))
-    keys = nodes.select("node", F.explode(chunk_keys(F.col("sig"))).alias("key"))
+    keys = nodes.select("node", F.posexplode(chunk_keys(F.col("sig"))).alias("number", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key"))
     degrees = stored(members.groupBy("node").agg(F.sum("size").alias("degree")))
@@ -215,21 +311,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     for _ in range(STAR_ROUNDS):
         open_members = _with_components(members, components)
-        rank = F.struct("degree", F.bitwise_not("node").alias("low"))
-        hubs = open_members.join(degrees, "node").groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node", "c")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.c").alias("cb"))
-        pairs = open_members.join(hubs, "key").where("c != cb").select(F.col("node").alias("a"), "b").distinct()
+        pairs = open_members.join(_hubs(open_members, degrees), "key").where("c != cb").select(F.col("node").alias("a"), "b").distinct()
         # Each node with its nearest hub: one confirmation per node and round.
         nearest = judged(pairs).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         links = stored(links.unionByName(confirmed(nearest, sets, percent)))
         components = connected_components(links)
-    rest = stored(_with_components(members, components).join(facts, "node"))
-    small = rest.where(F.col("size") <= LARGE).select("key", F.lit(0).cast("bigint").alias("key2"), "node", "c", "n", "sig")
-    large = rest.where(F.col("size") > LARGE).select("key", F.explode(chunk_keys(F.col("sig"))).alias("key2"), "node", "c", "n", "sig").where("key != key2")
-    finer = small.unionByName(large)
-    x, y = (finer.select("key", "key2", *[F.col(c).alias(f"{c}{k}") for c in ("node", "c", "n", "sig")]) for k in "ab")
-    near = _similar_sizes("na", "nb", percent) & (distance(F.col("siga"), F.col("sigb")) <= MAX_DISTANCE)
-    across = x.join(y, (x.key == y.key) & (x.key2 == y.key2) & (F.col("ca") < F.col("cb")) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    late = stored(confirmed(across, sets, percent))
+    rest = stored(_with_components(members, components))
+    small, large = rest.where(F.col("size") <= LARGE).join(facts, "node"), rest.where(F.col("size") > LARGE)
+    x, y = (small.select("key", *([] if k == "b" else ["number"]), *[F.col(c).alias(f"{c}{k}") for c in ("node", "c", "n", "sig")]) for k in "ab")
+    near = _similar_sizes("na", "nb", percent) & (distance(F.col("siga"), F.col("sigb")) <= MAX_DISTANCE) & _first_shared(F.col("number"), F.col("siga"), F.col("sigb"))
+    across = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    groups = stored(large.join(_hubs(large, degrees), "key").select(F.col("b").alias("hub"), "node", "c").distinct())
+    late = stored(confirmed(across, sets, percent).unionByName(linked_by_differences(groups, sets, percent)))
     if not late.isEmpty():
         components = connected_components(links.unionByName(late))
     named = nodes.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
