@@ -11,8 +11,8 @@ Pairs of a key are never all listed. Equal sets are one node. The members of a
 key are first compared with the key's best connected member only; after two
 such rounds only members of still different components are paired: in keys of
 few members one by one, each pair at the first key that it shares. Members of
-larger keys are written as differences from the key's hub, and pairs are found
-by the rare differences that they share (``linked_by_differences``).
+larger keys are written as differences from a hub, and pairs are found by the
+rare differences that they share (``linked_by_differences``).
 """
 
 from __future__ import annotations
@@ -196,6 +196,19 @@ def _hubs(members: DataFrame, degrees: DataFrame) -> DataFrame:
             .select("key", F.col("hub.node").alias("b"), F.col("hub.c").alias("cb")))
 
 
+def _groups(members: DataFrame, degrees: DataFrame) -> DataFrame:
+    """``hub, node, c``: the members of each key, under the best connected of the hubs that the key's own hub meets.
+
+    Members of one key are in one group. Keys of variants thereby join the group
+    of the text that they vary, instead of repeating it under hubs of their own.
+    """
+    hubs = stored(_hubs(members, degrees).select("key", "b"))
+    met = members.select("key", F.col("node").alias("own")).join(hubs, "key").join(hubs.select(F.col("b").alias("own")).distinct(), "own").select("own", "b").distinct()
+    rank = F.struct("degree", F.bitwise_not("b").alias("low"), "b")
+    best = met.join(degrees.withColumnRenamed("node", "b"), "b").groupBy("own").agg(F.max(rank).getField("b").alias("hub")).withColumnRenamed("own", "b")
+    return members.join(hubs, "key").join(best, "b").select("hub", "node", "c").distinct()
+
+
 def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``hub, node, c, v, e, items``: the items that a member's set ``v`` and the hub's do not share, and the excess ``e`` of the member."""
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x, y = (small.select("key", *([] if k == "b" else ["number"]), *[F.col(c).alias(f"{c}{k}") for c in ("node", "c", "n", "sig")]) for k in "ab")
     near = _similar_sizes("na", "nb", percent) & (distance(F.col("siga"), F.col("sigb")) <= MAX_DISTANCE) & _first_shared(F.col("number"), F.col("siga"), F.col("sigb"))
     across = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    groups = stored(large.join(_hubs(large, degrees), "key").select(F.col("b").alias("hub"), "node", "c").distinct())
+    groups = stored(_groups(large, degrees))
     late = stored(confirmed(across, sets, percent).unionByName(linked_by_differences(groups, sets, percent)))
     if not late.isEmpty():
         components = connected_components(links.unionByName(late))
