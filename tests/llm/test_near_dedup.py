@@ -139,3 +139,28 @@ def test_linked_by_differences_equals_all_pairs(llm, percent):
     found = nd.linked_by_differences(groups, rows, percent)
     assert {r.node: r.component for r in connected_components(found).collect()} == want
     assert {tuple(sorted(p)) for p in found.collect()} <= {tuple(sorted(p)) for p in links}
+
+
+def test_components_of_later_links_join_those_of_earlier_ones(llm):
+    rng = random.Random(3)
+    table = lambda x: llm.createDataFrame(x, "a long, b long")
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    whole = {r.node: r.component for r in connected_components(table(links)).collect()}
+    first = connected_components(table(links[:20]))
+    both = connected_components(table(links[20:]), first)
+    assert sorted(map(tuple, both.collect())) == sorted(whole.items())
+    assert connected_components(table([(r.node, r.component) for r in first.collect()]), first) is first
+
+
+def test_jobs_of_small_input(llm):
+    """Each job takes memory of the driver, whatever its rows."""
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40)) + f" {i}") for i in range(30)]
+    context = llm.sparkContext
+    context.setJobGroup("near duplicates", "")
+    try:
+        got = nd.near_duplicates(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+        jobs = context.statusTracker().getJobIdsForGroup("near duplicates")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.component_id for r in got) == [i // 3 * 3 for i in range(30)]
+    assert len(jobs) <= 95

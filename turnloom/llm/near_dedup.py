@@ -284,7 +284,7 @@ def linked_by_differences(groups: DataFrame, sets: DataFrame, percent: int) -> D
 
 def _with_components(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of keys that still hold more than one component."""
-    named = members.join(components.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named = members.drop("c").join(components.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
     return named.drop("size").join(mixed, "key")
 
@@ -313,31 +313,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(keys.join(shared, "key"))
     degrees = stored(members.groupBy("node").agg(F.sum("size").alias("degree")))
     sets = stored(rows.join(degrees.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_sets, "id bigint, items binary"))
-    facts = nodes.join(degrees, "node").select("node", "n", "sig")
+    facts = stored(nodes.join(degrees, "node").select("node", "n", "sig"))
 
     def judged(pairs: DataFrame) -> DataFrame:
         x, y = (facts.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
         return (pairs.join(x, "a").join(y, "b").where(_similar_sizes("na", "nb", percent))
                 .withColumn("d", distance(F.col("sa"), F.col("sb"))).where(F.col("d") <= MAX_DISTANCE).select("a", "b", "d"))
 
-    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    # Small plans, each of them stored: the driver plans a whole one anew at each of its stages.
+    rest, components = members.withColumn("c", F.col("node")), None
     for _ in range(STAR_ROUNDS):
-        open_members = _with_components(members, components)
-        pairs = open_members.join(_hubs(open_members, degrees), "key").where("c != cb").select(F.col("node").alias("a"), "b").distinct()
+        pairs = rest.join(_hubs(rest, degrees), "key").where("c != cb").select(F.col("node").alias("a"), "b").distinct()
         # Each node with its nearest hub: one confirmation per node and round.
-        nearest = judged(pairs).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        links = stored(links.unionByName(confirmed(nearest, sets, percent)))
-        components = connected_components(links)
-    rest = stored(_with_components(members, components))
+        nearest = stored(judged(pairs).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+        components = connected_components(confirmed(nearest, sets, percent), components)
+        # Keys of one component keep one; those that are left hold all later ones that are mixed.
+        rest = stored(_with_components(rest, components))
     small, large = rest.where(F.col("size") <= LARGE).join(facts, "node"), rest.where(F.col("size") > LARGE)
     x, y = (small.select("key", *([] if k == "b" else ["number"]), *[F.col(c).alias(f"{c}{k}") for c in ("node", "c", "n", "sig")]) for k in "ab")
     near = _similar_sizes("na", "nb", percent) & (distance(F.col("siga"), F.col("sigb")) <= MAX_DISTANCE) & _first_shared(F.col("number"), F.col("siga"), F.col("sigb"))
     across = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
     groups = stored(_groups(large, degrees))
-    late = stored(confirmed(across, sets, percent).unionByName(linked_by_differences(groups, sets, percent)))
-    if not late.isEmpty():
-        components = connected_components(links.unionByName(late))
+    late = stored(confirmed(across, sets, percent)).unionByName(stored(linked_by_differences(groups, sets, percent)))
+    components = connected_components(late, components)
     named = nodes.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = described.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("c"))
