@@ -93,3 +93,17 @@ def test_added_tokens_that_take_blanks():
     ends = np.cumsum(n)
     for t, a, b in zip(texts, ends - n, ends):
         assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_chunks_end_before_signs(library):
+    """Words are learned without the signs behind them; texts of any blanks and borders are as the library has them."""
+    own = ChunkEncoder(file_bytes(default_tokenizer()))
+    words = ["word", " word", "über", " Ünï", "ɏ", "×", "÷", "ɐ", "a'b", "ñ's", "你", "x1", "_", "\n", " \n ", "\t", "  ", " ", "", "\xa0z", "\x00"]
+    texts = [a + s + b for a in words for s in (",", ".\"", "!!", "'", "(-)", "--", "$", "") for b in words]
+    ids, n = own.encode(texts)
+    ends = np.cumsum(n)
+    for t, a, b, e in zip(texts, ends - n, ends, library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[a:b].tolist() == e.ids, t
+    own = ChunkEncoder(file_bytes(default_tokenizer()))
+    own.encode([" word" + s for s in (",", ".", "!", "...", ";", ":", "?", "!!", "--")])
+    assert list(own.known).count(" word") == 1 and not any(k.startswith(" word") and k != " word" for k in own.known)

@@ -17,11 +17,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import byte_blocks, file_bytes, query, shared_folder, table
+from turnloom.llm.common import byte_blocks, file_bytes, query, shared_folder, table, utf8
 from turnloom.llm.ranges import key_ranges
 
 END_ID = 0
@@ -54,7 +55,7 @@ def write_matrix(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     for level in range(bits - 1, -1, -1):
         bit = ((values >> values.dtype.type(level)) & one).astype(bool)
         out.append(_pack(squeeze(np.packbits(bit, bitorder="little").tobytes())))
-        values = np.concatenate((values[~bit], values[bit]))
+        values = np.concatenate((values.compress(~bit), values.compress(bit)))
     return b"".join(out)
 
 
@@ -135,8 +136,8 @@ class TokenMatrix:
             bit = self._bits(level)
             zeros = self.size - int(np.count_nonzero(bit))
             up = np.empty_like(values)
-            up[~bit] = values[:zeros]
-            up[bit] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~bit)] = values[:zeros]
+            up[np.flatnonzero(bit)] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - level))
             values = up
         return values
 
@@ -147,9 +148,49 @@ class TokenMatrix:
 _SPACE = "\t-\r \x85\xa0 ᠎ -     　\x1c-\x1f"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _LATIN_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")  # no apostrophe, which may begin a token with letters
+_LATIN_STEM = "^ ?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _table(signs: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(signs.encode("latin-1"))] = True
+    return out
+
+
+_BLANK = _table("\t\n\x0b\x0c\r ")
+_LETTER = _table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_SIGN = _table("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # no apostrophe
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts begin, in the bytes of all; texts hold no other blanks than those of ASCII.
+
+    As with ``_CHUNK``, and signs behind a Latin letter begin a chunk too.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    blank = _BLANK[data]
+    start = np.zeros(len(data), bool)
+    # The first of several blanks; the last, which may belong to what follows; and what follows one that is no space.
+    start[1:] = (blank[1:] & ~blank[:-1]) | (~blank[1:] & blank[:-1] & (data[:-1] != 32))
+    last = np.zeros(len(data), bool)
+    last[:-1] = blank[:-1] & ~blank[1:]
+    last[offsets[1:][offsets[1:] > 0] - 1] = False
+    start |= last
+    letter = _LETTER[data]
+    wide = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))  # leads of À to ɏ, but for the two signs among them
+    lead, follow = data[wide], data[wide + 1]
+    letter[wide + 1] = ~((lead == 0xC3) & ((follow == 0x97) | (follow == 0xB7)) | (lead == 0xC9) & (follow > 0x8F))
+    start[1:] |= _SIGN[data[1:]] & letter[:-1]
+    start[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(start)
+
+
 class ChunkEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer; chunks met before are looked up.
 
@@ -167,6 +208,7 @@ class ChunkEncoder:
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         either = lambda tokens: re.compile("(" + "|".join(re.escape(t.content) for t in sorted(tokens, key=lambda t: -len(t.content))) + ")") if tokens else None
         self.added = either(added)
+        self.added_strings = [t.content for t in added]
         # One that takes blanks around it, or depends on them, is left to the library with the whole text.
         self.bound = either([t for t in added if t.lstrip or t.rstrip or t.single_word])
         self.model = self.tokenizer.model
@@ -175,15 +217,14 @@ class ChunkEncoder:
         others = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
         self.blank = chr(self.alphabet[32])
+        self.visible = np.array([b if b == 10 else self.alphabet.get(b, b) for b in range(256)], "<u4")  # line feeds stay
         self.signs: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)   # where a chunk's ids begin in flat
-        self.count = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.ends = np.zeros(1 << 16, np.int64)    # of a chunk's ids in flat, with a 0 before
 
     def _ids_of(self, chunk: str) -> list[int]:
         """A Latin word, with or without a blank before and signs behind, is what the model is given for it; else the whole way."""
@@ -202,18 +243,35 @@ class ChunkEncoder:
             self.signs[signs] = self.tokenizer.encode(signs, add_special_tokens=False).ids
         return ids + self.signs[signs]
 
-    def _learn(self, chunks: list[str]) -> None:
-        found = [self._ids_of(c) for c in chunks]
-        base, sizes = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
-        while base + len(chunks) > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
-        while self.used + sizes.sum() > len(self.flat):
+    def _stem_ids(self, stems: list[str]) -> list[list[int]]:
+        """The same for Latin words alone, with or without a blank before, written in the model's alphabet all at once."""
+        visible = self.visible[np.frombuffer("\n".join(stems).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        return [[t.id for t in found] for found in map(self.model.tokenize, visible.split("\n"))]
+
+    def _learn(self, chunks: pa.Array, plain: bool) -> np.ndarray:
+        """Numbers of new chunks. ``plain``: no added token is in them."""
+        stem = pc.match_substring_regex(chunks, _LATIN_STEM) if plain else pa.array(np.zeros(len(chunks), bool))
+        stems, others = _strings(chunks.filter(stem)), _strings(chunks.filter(pc.invert(stem)))
+        found = [*(self._stem_ids(stems) if stems else ()), *map(self._ids_of, others)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        base, used = len(self.known), int(self.ends[len(self.known)])
+        while base + len(found) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while used + sizes.sum() > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        ends = self.used + np.cumsum(sizes)
-        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.first[base : base + len(chunks)], self.count[base : base + len(chunks)] = ends - sizes, sizes
-        self.used = int(ends[-1])
-        self.known.update(zip(chunks, range(base, base + len(chunks))))
+        self.ends[base + 1 : base + 1 + len(found)] = used + np.cumsum(sizes)
+        self.flat[used : used + sizes.sum()] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.known.update(zip(chain(stems, others), range(base, base + len(found))))
+        return base + np.argsort(np.argsort(~stem.to_numpy(zero_copy_only=False), kind="stable"))
+
+    def _numbers(self, chunks: pa.Array, plain: bool) -> np.ndarray:
+        """The number of each chunk among those that are known by then."""
+        coded = chunks.dictionary_encode()
+        numbers = np.fromiter(map(self.known.get, _strings(coded.dictionary), repeat(-1)), np.int64, len(coded.dictionary))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            numbers[missing] = self._learn(coded.dictionary.take(pa.array(missing)), plain)
+        return numbers[coded.indices.to_numpy()]
 
     def _split(self, text: str) -> list[str]:
         """Chunks that are encoded by themselves: added tokens, and what lies between borders."""
@@ -228,23 +286,36 @@ class ChunkEncoder:
     def _chunks(text: str) -> list[str]:
         return [text] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are not split by their bytes: those with other blanks than ASCII's, or with added tokens."""
+        odd = pc.match_substring_regex(texts, _ODD_SPACE.pattern)
+        for token in self.added_strings:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         if len(self.known) > self.LIMIT:
             self._forget()
-        split = list(map(self._split, texts))
-        chunks = list(chain.from_iterable(split))
-        which = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(which < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([chunks[i] for i in missing])))
-            which[missing] = [self.known[chunks[i]] for i in missing]
-        n = self.count[which]
-        ends = np.cumsum(n)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.first[which], n)]
-        per_text = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        ends = np.concatenate(([0], ends))
-        return ids, np.diff(ends[np.concatenate(([0], per_text))])
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = self._odd(texts)
+        data, offsets = utf8(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        starts = chunk_starts(data, offsets)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+        which = self._numbers(chunks, True)
+        per_text = np.diff(np.searchsorted(starts, offsets))
+        if odd.any():
+            split = list(map(self._split, texts.filter(pa.array(odd)).to_pylist()))
+            per_text[odd] = list(map(len, split))
+            apart = np.repeat(odd, per_text)
+            plain, which = which, np.empty(len(apart), np.int64)
+            which[~apart] = plain
+            which[apart] = self._numbers(pa.array(chain.from_iterable(split), pa.large_string()), False)
+        known = len(self.known)
+        lists = pa.LargeListArray.from_arrays(pa.array(self.ends[: known + 1]), pa.array(self.flat[: self.ends[known]]))
+        ids = lists.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(self.ends[which + 1] - self.ends[which])))
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(per_text)))])
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -301,7 +372,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
                         yield shard()
                     number = 0
                 part = int(parts[a])
-                found, n = encoder.encode(batch.column("text").slice(a, b - a).to_pylist())
+                found, n = encoder.encode(batch.column("text").slice(a, b - a))
                 with_end = np.full(len(found) + len(n), end_id, np.uint32)
                 stay = np.ones(len(with_end), bool)
                 stay[np.cumsum(n + 1) - 1] = False
